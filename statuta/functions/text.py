@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statuta import constants as K
 
@@ -26,15 +28,14 @@ def normalise_space(c: Column) -> Column:
     return strip(c)
 
 
-@F.pandas_udf("string")
-def _nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
-
-
 def nfc(c: Column) -> Column:
     """Canonical composition; only rows with a character ≥ U+0300 leave the JVM."""
+
+    def compose(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
     needs = c.rlike("[^\\u0000-\\u02ff]")
-    return F.coalesce(_nfc(F.when(needs, c)), c)
+    return F.coalesce(F.pandas_udf(compose, T.StringType())(F.when(needs, c)), c)
 
 
 def sanitise(c: Column, compose: bool = True) -> Column:
@@ -90,22 +91,39 @@ def _compat_tables() -> tuple[str, str, dict[str, str]]:
 _ONE_FROM, _ONE_TO, _MANY = _compat_tables()
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind an expression once and use it several times without it being evaluated again."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fold_ascii(c: Column) -> Column:
     """`fold`, then compatibility decomposition down to ASCII (the search variant).
 
-    One-to-one characters go through `translate`; the rare characters that expand (ligatures,
-    fractions) are mapped one by one, and only in rows that hold one.
+    ASCII rows are done after folding; one-to-one characters go through `translate`; the rare
+    characters that expand (ligatures, fractions) are looked at only in rows still not ASCII.
     """
-    folded = fold(c)
-    expand = F.create_map(*[F.lit(x) for pair in sorted(_MANY.items()) for x in pair])
+    return let(
+        fold(c),
+        lambda folded: F.when(_is_ascii(folded), folded).otherwise(
+            let(
+                F.translate(folded, _ONE_FROM, _ONE_TO),
+                lambda plain: F.when(_is_ascii(plain), plain).otherwise(_expand(plain)),
+            )
+        ),
+    )
+
+
+def _is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
+def _expand(c: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in sorted(_MANY.items()) for x in pair])
     spelled = F.array_join(
-        F.transform(F.split(folded, ""), lambda ch: F.coalesce(F.try_element_at(expand, ch), ch)),
-        "",
+        F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), ""
     )
-    rare = folded.rlike("[" + "".join(_ranges(sorted(ord(x) for x in _MANY))) + "]")
-    folded = F.when(rare, spelled).otherwise(folded)
-    plain = F.regexp_replace(F.translate(folded, _ONE_FROM, _ONE_TO), "[^\\x00-\\x7f]", "")
-    return F.when(folded.rlike("[^\\x00-\\x7f]"), plain).otherwise(folded)
+    rare = c.rlike("[" + "".join(_ranges(sorted(ord(x) for x in _MANY))) + "]")
+    return F.regexp_replace(F.when(rare, spelled).otherwise(c), "[^\\x00-\\x7f]+", "")
 
 
 def _ranges(codes: list[int]) -> list[str]:
@@ -227,7 +245,7 @@ def secret_count(c: Column) -> Column:
 
 def count_marker_split(c: Column, min_len: int = 25) -> Column:
     """Text with `(n)` at line starts → array<struct<count, text>>, pieces > min_len chars."""
-    pattern = r"(?m)^\s*\((\d{1,2})\)\s+"
+    pattern = r"(?md)^\s*\((\d{1,2})\)\s+"
     pieces = F.arrays_zip(
         F.regexp_extract_all(c, F.lit(pattern), F.lit(1)).alias("count"),
         F.transform(
@@ -237,17 +255,22 @@ def count_marker_split(c: Column, min_len: int = 25) -> Column:
     return F.filter(pieces, lambda p: F.length(p.text) > min_len)
 
 
+def raw_sentences(c: Column) -> Column:
+    """White space collapsed, split after . ! ?"""
+    flat = strip(F.regexp_replace(c, r"\s+", " "))
+    marked = F.regexp_replace(flat, r"([.!?])\s+", "$1\u0001")
+    return F.filter(F.split(marked, "\u0001"), lambda s: F.length(s) > 0)
+
+
 def sentences(c: Column) -> Column:
     """Sentences of a description: rhetorical questions out, purpose clauses of seller preambles
     and system subjects added as `Wir …` sentences (never replacing the original)."""
-    flat = strip(F.regexp_replace(c, r"\s+", " "))
-    raw = F.filter(
-        F.split(F.regexp_replace(flat, r"([.!?])\s+", "$1\u0001"), "\u0001"),
-        lambda s: F.length(s) > 0,
-    )
-    kept = drop_rhetorical(raw)
-    derived = F.filter(F.transform(kept, _derive), lambda s: s.isNotNull())
-    return F.concat(kept, F.array_except(derived, kept))
+
+    def derive(kept: Column) -> Column:
+        derived = F.filter(F.transform(kept, _derive), lambda s: s.isNotNull())
+        return F.concat(kept, F.array_except(derived, kept))
+
+    return let(let(raw_sentences(c), drop_rhetorical), derive)
 
 
 def drop_rhetorical(raw: Column) -> Column:

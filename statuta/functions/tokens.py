@@ -6,13 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from statuta import constants as K
-from statuta.functions.text import fold_ascii
+from statuta.functions.text import fold_ascii, let
 
 
 def words(c: Column, folded: bool = False) -> Column:
     """Words of ≥2 characters without stop words, plus the parts (>2) of hyphen compounds again."""
-    flat = c if folded else fold_ascii(c)
-    stop = F.array(*[F.lit(w) for w in K.STOP_WORDS])
+    return _words(c) if folded else let(fold_ascii(c), _words)
+
+
+def _words(flat: Column) -> Column:
     plain = F.filter(
         F.regexp_extract_all(flat, F.lit("[a-z0-9]+"), F.lit(0)),
         lambda w: (F.length(w) >= 2) & ~w.isin(*K.STOP_WORDS),
@@ -20,9 +22,9 @@ def words(c: Column, folded: bool = False) -> Column:
     compounds = F.regexp_extract_all(flat, F.lit("[a-z]+(?:-[a-z]+)+"), F.lit(0))
     parts = F.filter(
         F.flatten(F.transform(compounds, lambda w: F.split(w, "-"))),
-        lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w),
+        lambda w: (F.length(w) > 2) & ~w.isin(*K.STOP_WORDS),
     )
-    return F.concat(plain, parts)
+    return F.when(F.contains(flat, F.lit("-")), F.concat(plain, parts)).otherwise(plain)
 
 
 def bucket(word: Column, buckets: int = K.HASH_BUCKETS) -> Column:
