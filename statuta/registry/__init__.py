@@ -6,7 +6,7 @@ import importlib
 
 from statuta.registry.base import ORACLES, QUERIES
 
-MODULES = ("search", "text")
+MODULES = ("search", "text", "survey")
 
 
 def load_all():
