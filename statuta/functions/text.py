@@ -96,6 +96,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def settled(c: Column) -> Column:
+    """A computed column that later filters read instead of repeating.
+
+    The optimizer copies deterministic expressions into every filter it pushes down; a long rule
+    expression would then be evaluated once per copy. Depending on the partition id keeps it whole.
+    """
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def fold_ascii(c: Column) -> Column:
     """`fold`, then compatibility decomposition down to ASCII (the search variant).
 
@@ -164,51 +173,49 @@ def normalise_answer(c: Column) -> Column:
 
 
 def redact(c: Column) -> Column:
-    """Log-safe text: secrets replaced, long chains counted, control characters out, length capped."""
-    c = F.replace(F.replace(c, F.lit("\r"), F.lit(" ")), F.lit("\n"), F.lit(K.NEWLINE_MARK))
-    named = F.array_join(
-        F.transform(
-            _pieces(c, K.SECRET_NAMED),
-            lambda p: F.when(
-                p.hit.isNotNull(), F.concat(p.before, _keep_name(p.hit))
-            ).otherwise(p.before),
-        ),
-        "",
-    )
-    c = F.when(c.rlike(K.SECRET_NAMED), named).otherwise(c)
+    """Log-safe text: secrets replaced, long chains counted, control characters out, length capped.
+
+    The named fields come first so that their names survive; each step reads the step before once.
+    """
+    flat = F.replace(F.replace(c, F.lit("\r"), F.lit(" ")), F.lit("\n"), F.lit(K.NEWLINE_MARK))
+    c = _replace_hits(flat, K.SECRET_NAMED, _keep_name)
     c = F.regexp_replace(c, K.SECRET_VENDOR, K.SECRET_MARK)
     c = F.regexp_replace(c, K.SECRET_BEARER, K.SECRET_MARK)
-    urls = F.array_join(
-        F.transform(
-            _pieces(c, K.SECRET_URL),
-            lambda p: F.when(
-                p.hit.isNotNull(), F.concat(p.before, _keep_name(p.hit))
-            ).otherwise(p.before),
+    c = _replace_hits(c, K.SECRET_URL, _keep_name)
+    c = _replace_hits(
+        c,
+        K.LONG_CHAIN,
+        lambda hit: F.concat(
+            F.lit("⟨lange Zeichenkette, "),
+            F.length(hit).cast("string"),
+            F.lit(" Zeichen, entfernt⟩"),
         ),
-        "",
     )
-    c = F.when(c.rlike(K.SECRET_URL), urls).otherwise(c)
-    chains = F.array_join(
-        F.transform(
-            _pieces(c, K.LONG_CHAIN),
-            lambda p: F.when(
-                p.hit.isNotNull(),
-                F.concat(
-                    p.before,
-                    F.lit("⟨lange Zeichenkette, "),
-                    F.length(p.hit).cast("string"),
-                    F.lit(" Zeichen, entfernt⟩"),
-                ),
-            ).otherwise(p.before),
-        ),
-        "",
+    return let(
+        F.regexp_replace(c, r"[\p{Cf}\p{Cc}]", ""),
+        lambda line: F.when(
+            F.length(line) > K.MAX_LOG_LINE,
+            F.concat(F.substring(line, 1, K.MAX_LOG_LINE), F.lit(K.CUT_LOG_MARK)),
+        ).otherwise(line),
     )
-    c = F.when(c.rlike(K.LONG_CHAIN), chains).otherwise(c)
-    c = F.regexp_replace(c, r"[\p{Cf}\p{Cc}]", "")
-    return F.when(
-        F.length(c) > K.MAX_LOG_LINE,
-        F.concat(F.substring(c, 1, K.MAX_LOG_LINE), F.lit(K.CUT_LOG_MARK)),
-    ).otherwise(c)
+
+
+def _replace_hits(c: Column, pattern: str, replacement: Callable[[Column], Column]) -> Column:
+    """Like `regexp_replace`, with a replacement computed from the matched text."""
+
+    def rebuild(text: Column) -> Column:
+        joined = F.array_join(
+            F.transform(
+                _pieces(text, pattern),
+                lambda p: F.when(
+                    p.hit.isNotNull(), F.concat(p.before, replacement(p.hit))
+                ).otherwise(p.before),
+            ),
+            "",
+        )
+        return F.when(text.rlike(pattern), joined).otherwise(text)
+
+    return let(c, rebuild)
 
 
 def _pieces(c: Column, pattern: str) -> Column:

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statuta.functions.text import settled
 from statuta.functions.tokens import fraction
 from statuta.operators.survey import (
     COVERED,
@@ -370,10 +371,15 @@ def random_answers(cases: DataFrame, compiled: Compiled, seed: int, gate: str |
     """
     ids = F.array(*[F.lit(q.id) for q in compiled.questions])
     rows = cases.select("case_id", F.explode(ids).alias("question_id"))
-    u = fraction(F.lit(seed), F.col("case_id"), F.col("question_id"))
     gate = gate or (compiled.survey.pre[0].id if compiled.survey.pre else "")
+    drawn = rows.select(
+        "case_id",
+        "question_id",
+        fraction(F.lit(seed), F.col("case_id"), F.col("question_id")).alias("_u"),
+    )
+    u = F.col("_u")
     usual = F.when(u < 0.35, "yes").when(u < 0.85, "no").otherwise("na")
-    return rows.select(
+    return drawn.select(
         "case_id",
         "question_id",
         F.when(F.col("question_id") == gate, F.when(u < 0.92, "yes").otherwise("no"))
@@ -477,7 +483,7 @@ def findings(state: DataFrame, compiled: Compiled) -> DataFrame:
         .when(F.col("condition").isNotNull() & F.col("no_profiling"), "hochrisiko_ausnahme")
         .otherwise("hochrisiko_anhang_iii")
     )
-    settled = reduced.withColumn("class", klass)
+    decided = reduced.withColumn("class", settled(klass))
     early = F.col("class").isin("kein_ki_system", "hochrisiko_anhang_i")
     excepted = F.col("class") == "hochrisiko_ausnahme"
     rule = s.pre_rules.get(s.pre[0].id, PreRule()) if s.pre else PreRule()
@@ -504,7 +510,7 @@ def findings(state: DataFrame, compiled: Compiled) -> DataFrame:
         )
         .otherwise(empty)
     )
-    return settled.select(
+    return decided.select(
         "case_id",
         "class",
         F.when(early | (F.col("class") == "kein_hohes_risiko"), empty)

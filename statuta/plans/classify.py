@@ -17,6 +17,7 @@ from statuta.functions.phrases import (
     required_wording,
     strong_hit,
 )
+from statuta.functions.text import settled
 from statuta.operators.duties import duty_array, privacy_array
 from statuta.operators.features import SAFETY, derived, value, with_features
 from statuta.operators.rulebook import AreaRule, Prohibition, RuleBook, TransparencyRule
@@ -199,7 +200,7 @@ def hints(descriptions: DataFrame, book: RuleBook, purposes: DataFrame | None =
         staged = staged.withColumn("_purposes", F.lit(None).cast(PURPOSES))
     staged = staged.select(
         "*",
-        _collect([_prohibition(p) for p in book.prohibitions]).alias("_bans"),
+        settled(_collect([_prohibition(p) for p in book.prohibitions])).alias("_bans"),
         no_influence(book).alias("_no_influence"),
         literal_hit(F.col("_t4"), book.area_relief).alias("_relieved"),
     )
@@ -216,11 +217,11 @@ def hints(descriptions: DataFrame, book: RuleBook, purposes: DataFrame | None =
     later = F.concat(replace_class(F.concat(one("_product"), F.col("_areas")), F.col("_exception")),
                      one("_exception"), F.col("_transparency"), F.col("_model"))
     found = F.when(F.size("_bans") > 0, F.col("_bans")).otherwise(F.coalesce(later, none))
-    staged = staged.withColumn("_found", found)
+    staged = staged.withColumn("_found", settled(found))
     minimal = hint("minimal", book.minimal_id, LIKELY, book.minimal_basis, book.minimal_reason, False)
     return staged.withColumn(
         "hints",
-        F.when(F.size("_found") == 0, F.array(minimal.cast(HINT))).otherwise(F.col("_found")),
+        settled(F.when(F.size("_found") == 0, F.array(minimal.cast(HINT))).otherwise(F.col("_found"))),
     )
 
 
@@ -281,7 +282,7 @@ def classify(
     staged = hints(descriptions, book, purposes, key)
     staged = staged.select(
         "*",
-        sorted_classes(F.col("hints")).alias("classes"),
+        settled(sorted_classes(F.col("hints"))).alias("classes"),
         F.when(F.size("roles") == 0, _strings(K.DEFAULT_ROLES))
         .otherwise(F.col("roles"))
         .alias("effective_roles"),
@@ -293,8 +294,8 @@ def classify(
         "hints",
         F.array_sort("roles").alias("roles"),
         "effective_roles",
-        duty_array(book).alias("duties"),
-        privacy_array(book).alias("privacy"),
-        open_questions(fields).alias("open_questions"),
+        settled(duty_array(book)).alias("duties"),
+        settled(privacy_array(book)).alias("privacy"),
+        settled(open_questions(fields)).alias("open_questions"),
         F.lit(book.as_of).cast("date").alias("as_of"),
     )

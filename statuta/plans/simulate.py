@@ -11,37 +11,44 @@ from statuta.session import cut_lineage
 MAX_STEPS = 60
 
 
-def advance(running: DataFrame, compiled: Compiled) -> DataFrame:
-    """Answer the next sheet of every case from its pattern; a missing answer means No."""
-    indexed = running.withColumn("_next", compiled.next_index())
-    words = compiled.sheet_words(F.col("_next"))
-    sheets = indexed.select(
-        *running.columns,
-        *[words[w].alias(f"_s{w}") for w in range(compiled.words)],
-        F.col("_next"),
-    )
-    changed = {}
-    for w in range(compiled.words):
-        sheet = F.when(F.col("_next").isNull(), F.lit(0).cast("bigint")).otherwise(F.col(f"_s{w}"))
-        yes, na = F.col(f"p_yes_{w}"), F.col(f"p_na_{w}")
-        changed[f"yes_{w}"] = F.col(f"yes_{w}").bitwiseOR(sheet.bitwiseAND(yes))
-        changed[f"na_{w}"] = F.col(f"na_{w}").bitwiseOR(sheet.bitwiseAND(na))
-        changed[f"no_{w}"] = F.col(f"no_{w}").bitwiseOR(
-            sheet.bitwiseAND(F.bitwise_not(yes.bitwiseOR(na)))
+class Step:
+    """One round, compiled once: the Columns depend on names only and fit every round's frame."""
+
+    def __init__(self, compiled: Compiled) -> None:
+        self.compiled = compiled
+        self.next = compiled.next_index()
+        self.words = compiled.sheet_words(F.col("_next"))
+        self.asked = compiled.question_id(F.col("_next"))
+
+    def advance(self, running: DataFrame) -> DataFrame:
+        """Answer the next sheet of every case from its pattern; a missing answer means No."""
+        width = range(self.compiled.words)
+        sheets = running.withColumn("_next", self.next).select(
+            *running.columns,
+            F.col("_next"),
+            *[
+                F.when(F.col("_next").isNull(), F.lit(0).cast("bigint"))
+                .otherwise(self.words[w])
+                .alias(f"_s{w}")
+                for w in width
+            ],
         )
-    return sheets.select(
-        "case_id",
-        *[c for c in running.columns if c.startswith("p_")],
-        *[changed[c].alias(c) for c in compiled.state_columns()],
-        (F.col("steps") + F.col("_next").isNotNull().cast("int")).alias("steps"),
-        F.when(
-            F.col("_next").isNotNull(),
-            F.array_append("trace", compiled.question_id(F.col("_next"))),
+        changed = []
+        for w in width:
+            sheet, yes, na = F.col(f"_s{w}"), F.col(f"p_yes_{w}"), F.col(f"p_na_{w}")
+            no = F.bitwise_not(yes.bitwiseOR(na))
+            for kind, given in (("yes", yes), ("no", no), ("na", na)):
+                name = f"{kind}_{w}"
+                changed.append(F.col(name).bitwiseOR(sheet.bitwiseAND(given)).alias(name))
+        going = F.col("_next").isNotNull()
+        return sheets.select(
+            "case_id",
+            *[c for c in running.columns if c.startswith("p_")],
+            *changed,
+            (F.col("steps") + going.cast("int")).alias("steps"),
+            F.when(going, F.array_append("trace", self.asked)).otherwise(F.col("trace")).alias("trace"),
+            (~going).alias("done"),
         )
-        .otherwise(F.col("trace"))
-        .alias("trace"),
-        F.col("_next").isNull().alias("done"),
-    )
 
 
 def run_to_end(patterns: DataFrame, compiled: Compiled, max_steps: int = MAX_STEPS) -> DataFrame:
@@ -60,9 +67,10 @@ def run_to_end(patterns: DataFrame, compiled: Compiled, max_steps: int = MAX_STE
         F.lit(False).alias("done"),
     )
     finished: list[DataFrame] = []
-    running = start
+    running = cut_lineage(start)
+    step = Step(compiled)
     for _ in range(max_steps + 1):
-        running = cut_lineage(advance(running, compiled))
+        running = cut_lineage(step.advance(running))
         finished.append(running.where("done"))
         running = running.where("NOT done")
         if running.isEmpty():

@@ -6,7 +6,7 @@ import importlib
 
 from statuta.registry.base import ORACLES, QUERIES
 
-MODULES = ("search", "text", "survey")
+MODULES = ("search", "text", "survey", "rules")
 
 
 def load_all():
