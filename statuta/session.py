@@ -29,18 +29,27 @@ def get_session(master: str | None = None, app: str = "statuta") -> SparkSession
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names.
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a frame once to the shared folder and go on from the written table.
 
-    Survives the loss of executors. Only where the session names no folder (local tests) is a
-    temporary one set.
+    Survives the loss of executors, evaluates the frame a single time, and later steps read only the
+    columns they need.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not _checkpoint_dir(spark):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _checkpoint_dir(spark: SparkSession) -> str | None:
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     return found.get() if found.isDefined() else None
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder; a local one only where none is set."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or _checkpoint_dir(spark)
+    if not base:
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
