@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +19,7 @@ NODE_DDL = (
     "seq int, end_seq int, depth int, parent_seq int, path array<int>, tag string, node_id string, "
     "class string, text string"
 )
+ROWS_PER_BATCH = 10_000
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 DROPPED = frozenset(("script", "style", "noscript"))
 NO_TEXT = frozenset(("html", "head", "body"))
@@ -132,23 +133,38 @@ class _Nodes(HTMLParser):
 def node_table(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """pages → (page_id, seq, end_seq, depth, parent_seq, path, tag, node_id, class, text).
 
-    Streams batch by batch; a worker holds the nodes of one page at a time.
+    Streams batch by batch; a worker holds the nodes of some 10,000 rows, or of one long page.
     """
     kind = pages.schema[key].dataType.simpleString()
-    names = [key, *[part.split()[0] for part in NODE_DDL.split(", ")]]
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        int32, text = pa.int32(), pa.string()
+        types = [int32, int32, int32, int32, pa.list_(int32), text, text, text, text]
+        names = [key, *[part.split()[0] for part in NODE_DDL.split(", ")]]
+
+        def emit(ids: list, columns: list[list], id_type: pa.DataType) -> pa.RecordBatch:
+            arrays = [pa.array(ids, id_type), *[pa.array(c, t) for c, t in zip(columns, types)]]
+            return pa.RecordBatch.from_arrays(arrays, names)
+
         for batch in batches:
-            for page, source in zip(batch[key], batch[html], strict=True):
+            sources = batch.column(html)
+            id_type = batch.schema.field(key).type
+            ids: list = []
+            columns: list[list] = [[] for _ in types]
+            for page, source in zip(batch.column(key).to_pylist(), sources):
                 nodes = _Nodes()
-                nodes.feed(source or "")
+                nodes.feed(source.as_py() or "")
                 rows = nodes.finish()
-                if rows:
-                    frame = pd.DataFrame([[page, *row] for row in rows], columns=names)
-                    frame["parent_seq"] = frame["parent_seq"].astype("Int32")
-                    yield frame
-
-    parsed = pages.select(key, html).mapInPandas(parse, f"{key} {kind}, {NODE_DDL}")
+                ids.extend([page] * len(rows))
+                for column, values in zip(columns, zip(*rows)):
+                    column.extend(values)
+                if len(ids) >= ROWS_PER_BATCH:
+                    yield emit(ids, columns, id_type)
+                    ids, columns = [], [[] for _ in types]
+            if ids:
+                yield emit(ids, columns, id_type)
+
+    parsed = pages.select(key, html).mapInArrow(parse, f"{key} {kind}, {NODE_DDL}")
     return parsed.withColumn("text", normalise_space(F.col("text")))
 
 
