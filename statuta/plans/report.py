@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from statuta import constants as K
 from statuta.functions.citations import answer_citations, evidence_marks
 from statuta.functions.text import shorten
+from statuta.operators.scale import lookup_join
 from statuta.plans.classify import OPEN_QUESTIONS
 
 # ---- fixed values: lines of the report ------------------------------------------
@@ -241,4 +242,4 @@ def duty_evidence(classified: DataFrame, duties: DataFrame, units: DataFrame, ke
         "duty_id", F.posexplode(F.array_union("basis", "also_cited")).alias("pos", "unit_key")
     ).join(units.select("unit_key", "citation"), "unit_key", "left")
     named = classified.select(key, F.explode("duties").alias("d")).select(key, F.col("d.id").alias("duty_id"))
-    return named.join(F.broadcast(resolved), "duty_id")
+    return lookup_join(named, resolved, ["duty_id"])

@@ -6,7 +6,7 @@ import importlib
 
 from statuta.registry.base import ORACLES, QUERIES
 
-MODULES = ("search", "text", "survey", "rules", "corpus", "answers")
+MODULES = ("search", "text", "survey", "rules", "corpus", "answers", "streams")
 
 
 def load_all():
