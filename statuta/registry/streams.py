@@ -84,7 +84,7 @@ def r03(spark, sf):
     """The last output of every case equals the batch evaluation of its latest answers."""
     use_rocksdb(spark)
     stream = replay(spark, event_answers(spark, sf).withColumn("us", admission.micros(F.col("ts"))), 2)
-    out = drain(live_questionnaire(stream, SURVEY), "sitzung")
+    out = drain(live_questionnaire(stream, SURVEY), "sitzung", clock_timers=True)
     last = out.groupBy("case_id").agg(F.max_by(F.struct("answered", "sheet", "class"), "answered").alias("o"))
     return last.select("case_id", F.col("o.answered").cast("bigint").alias("answered"), F.array_join("o.sheet", "|").alias("sheet"), "o.class")
 
