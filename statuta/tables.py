@@ -22,5 +22,20 @@ LOG_DDL = (
 )
 
 
+# tables whose rows cost much computing: long texts, pages, cases with a whole questionnaire each
+HEAVY = ("documents", "pages", "conversations", "orders")
+
+
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name in HEAVY else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the scan has fewer splits than cores (one small file).
+
+    A table of many splits, as on a cluster, is left as it is. Filters and column selections still
+    reach the scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
