@@ -9,17 +9,18 @@ neighbours fill it greedily; the one that does not fit is cut, and its rest open
 from __future__ import annotations
 
 import functools
+import json
 import math
-import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.words import PIECE, special_pattern
+from statuta.llm.words import PATTERN, PIECE, Memo, byte_letters, special_pattern
 from statuta.session import cut_lineage
 
 WINDOW = 2048
@@ -28,51 +29,47 @@ SHARD_IDS = 2_000_000
 K1, B = 1.2, 0.75
 #: Terms of a seed that are looked up: those that weigh most in it.
 QUERY_TERMS = 16
-CHUNK_CHARS = 1_500_000
 
 
 class Encoder:
-    """Identifiers of whole texts by the vocabulary's library, kept by piece."""
+    """Identifiers of whole texts as the `tokenizers` library gives them for a byte-level BPE file.
 
-    KEEP = 500_000
+    The file's tokens are in the order of its merges, so they are also ranks: the faster engine of `tiktoken`
+    reads the same file and gives the same ids (the tests hold both against each other).
+    """
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        added = self.library.get_added_tokens_decoder()
-        self.special = special_pattern(tuple(t.content for t in added.values()))
-        self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.specials = {t.content: self.kind.type(i).tobytes() for i, t in added.items()}
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The identifiers of each text, little-endian, in the smallest kind that holds the vocabulary."""
-        if len(self.known) > self.KEEP:
-            self.known = {}
-        parts = [self.parts(t) for t in texts]
-        new = list({p for text in parts for p in text}.difference(self.known, self.specials))
-        for piece, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[piece] = np.array(found.ids, self.kind).tobytes()
-        get = self.known.__getitem__
-        out = []
-        for text in parts:
-            try:
-                out.append(b"".join(map(get, text)))
-            except KeyError:  # a special string
-                out.append(b"".join(self.specials.get(p) or self.known[p] for p in text))
-        return out
-
-    def parts(self, text: str) -> list[str]:
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        letters = byte_letters()
+        special = {t["content"]: t["id"] for t in told["added_tokens"]}
+        ranks = {bytes(map(letters.__getitem__, t)): i for t, i in told["model"]["vocab"].items() if t not in special}
+        merged = [ranks[bytes(map(letters.__getitem__, "".join(_pair(m))))] for m in told["model"]["merges"]]
+        if merged != sorted(merged):
+            raise ValueError(f"{path}: ids are not in the order of the merges")
+        engine = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.size = max(*ranks.values(), *special.values()) + 1
+        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.special = special_pattern(tuple(special))
+        self.specials = {t: self.kind.type(i).tobytes() for t, i in special.items()}
+        self.known = Memo(lambda piece: np.array(engine.encode_ordinary(piece), self.kind).tobytes())
+
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, PIECE.findall(text)))
+
+    def encode(self, text: str) -> bytes:
+        """The identifiers of a text, little-endian, in the smallest kind that holds the vocabulary."""
         if self.special is None or not self.special.search(text):
-            return PIECE.findall(text)
+            return self.plain(text)
         found, at = [], 0
         for m in self.special.finditer(text):
-            found += PIECE.findall(text[at : m.start()])
-            found.append(m[0])
+            found += [self.plain(text[at : m.start()]), self.specials[m[0]]]
             at = m.end()
-        return found + PIECE.findall(text[at:])
+        return b"".join([*found, self.plain(text[at:])])
+
+
+def _pair(merge: str | list[str]) -> list[str]:
+    return merge.split(" ") if isinstance(merge, str) else merge
 
 
 @functools.lru_cache(maxsize=2)
@@ -90,21 +87,14 @@ def encoded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
         enc, row = encoder(vocabulary), 0
         last = enc.kind.type(end).tobytes()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                first, chars = at, 0
-                while at < len(texts) and (at == first or chars < CHUNK_CHARS):
-                    chars += len(texts[at] or "")
-                    at += 1
-                ids = [x + last for x in enc.encode([t or "" for t in texts[first:at]])]
-                sizes = [len(x) // enc.kind.itemsize for x in ids]
-                spread = [zlib.crc32(x[:4096], row + i) for i, x in enumerate(ids)]
-                row += len(ids)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, at - first), pa.array(ids, pa.binary()), pa.array(sizes, pa.int32()), pa.array(spread, pa.int64())],
-                    names=["doc_id", "ids", "n", "spread"],
-                )
+            ids = [enc.encode(t or "") + last for t in batch.column(1).to_pylist()]
+            sizes = [len(x) // enc.kind.itemsize for x in ids]
+            spread = [zlib.crc32(x[:4096], row + i) for i, x in enumerate(ids)]
+            row += len(ids)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int32()), pa.array(spread, pa.int64())],
+                names=["doc_id", "ids", "n", "spread"],
+            )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -240,7 +230,7 @@ def pack(
     kind = encoder(vocabulary).kind
     n_docs, n_ids = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     counts = document_frequencies(rows, kind).toArrow()
-    df = np.zeros(max(encoder(vocabulary).library.get_vocab_size(), end + 1), np.int64)
+    df = np.zeros(max(encoder(vocabulary).size, end + 1), np.int64)
     df[counts["id"].to_numpy()] = counts["n"].to_numpy()
     idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
     idf[end] = 0.0  # it ends every document

@@ -17,10 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.words import PIECE, Memo, special_pattern
+from statuta.llm.words import PATTERN, PIECE, Memo, byte_letters, special_pattern
 
-# the pattern of the byte-level vocabulary's pre-tokeniser: a fixed value
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD = regex.compile(PATTERN)
 
 
@@ -34,10 +32,7 @@ class Merges:
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         self.specials = tuple(t["content"] for t in told["added_tokens"])
-        # printable bytes stand for themselves, the others for the code points from 256 on, in order
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in set(shown)]
-        number = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+        number = byte_letters()
         self.ranks: dict[tuple[int, int], int] = {}
         for rank, pair in enumerate(told["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair

@@ -18,6 +18,10 @@ KEEP = 700_000
 KEEP_CHARS = 48
 
 
+# the pattern of the byte-level vocabulary's pre-tokeniser: a fixed value
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class Memo(dict):
     """Results by piece, computed when first met; long pieces are not kept, and a full store starts anew."""
 
@@ -34,6 +38,14 @@ class Memo(dict):
         return found
 
 
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in the vocabulary file: printable bytes for themselves, the
+    others for the code points from 256 on, in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 @functools.lru_cache(maxsize=4)
 def special_pattern(specials: tuple[str, ...]) -> re.Pattern | None:
     if not specials:
