@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from statuta.llm import language_id, packing, simhash, token_counts
+from statuta.llm import language_id, maxscore, nearest, packing, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,28 @@ def op7_simhash_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_packing")
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), VOCABULARY)
+
+
+VECTORS = "SELECT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+@query(
+    "op8_nearest",
+    f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) e FROM ({VECTORS}) WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    s AS (SELECT q.vec_id query_id, c.vec_id vec_id, list_inner_product(q.e, c.e) score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+)
+def op8_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.nearest(table(spark, folder, "embeddings"))
+
+
+@query(
+    "op9_maxscore",
+    f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) e FROM ({VECTORS})),
+    s AS (SELECT q.vec_id query_id, c.vec_id vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+)
+def op9_maxscore(spark: SparkSession, folder: str) -> DataFrame:
+    return maxscore.top_scores(table(spark, folder, "embeddings"))
