@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from statuta.llm import language_id, maxscore, nearest, packing, simhash, token_counts
+from statuta.llm import language_id, maxscore, nearest, packing, secret_scan, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,8 @@ def op8_nearest(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op9_maxscore(spark: SparkSession, folder: str) -> DataFrame:
     return maxscore.top_scores(table(spark, folder, "embeddings"))
+
+
+@query("op6_secret_scan")
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.secret_spans(table(spark, folder, "documents"))
