@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 BLOCK_BYTES = 8 << 20
 #: Share of a history's probability that its own arcs hold; the failure arc has the rest.
-ARC_SHARE = 0.2
+ARC_SHARE = 0.4
 END, START = b"\n", b" "  # no word holds white space
 HELD_OUT = 7, 2
 FLUSH = 400_000
