@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from statuta.llm import language_id, lm_score, maxscore, nearest, packing, secret_scan, simhash, token_counts
+from statuta.llm import html_extract, language_id, lm_score, maxscore, nearest, packing, secret_scan, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,11 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(table(spark, folder, "documents"))
 
 
+@query("op4_html_extract")
+def op4_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.main_text(table(spark, folder, "pages"))
+
+
 @query("op5_token_counts")
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), VOCABULARY)
