@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from statuta.llm import html_extract, language_id, lm_score, maxscore, nearest, packing, secret_scan, simhash, token_counts
+from statuta.llm import html_extract, language_id, lm_score, maxscore, mixing, nearest, packing, secret_scan, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -15,6 +15,10 @@ ORACLES: dict[str, str] = {}
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Shares of the tokens wanted of each domain.
+MIXTURE = {"high": 0.9, "low": 0.1, "toxic": 0.0}
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
@@ -39,6 +43,13 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(table(spark, folder, "documents"))
 
 
+@query("op3_mixing")
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Nine tenths of the tokens from documents of high quality, none from toxic ones."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return mixing.mixed(docs, labels, mixing.quality_domain(), MIXTURE)
+
+
 @query("op4_html_extract")
 def op4_html_extract(spark: SparkSession, folder: str) -> DataFrame:
     return html_extract.main_text(table(spark, folder, "pages"))
