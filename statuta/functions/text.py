@@ -17,7 +17,7 @@ SPACES = "\u00a0\u2009"
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def normalise_space(c: Column) -> Column:
@@ -256,7 +256,7 @@ def count_marker_split(c: Column, min_len: int = 25) -> Column:
     pieces = F.arrays_zip(
         F.regexp_extract_all(c, F.lit(pattern), F.lit(1)).alias("count"),
         F.transform(
-            F.slice(F.split(c, pattern, -1), 2, 1_000_000), lambda t: normalise_space(t)
+            F.slice(F.split(c, pattern, -1), F.lit(2), F.size(F.split(c, pattern, -1))), lambda t: normalise_space(t)
         ).alias("text"),
     )
     return F.filter(pieces, lambda p: F.length(p.text) > min_len)
@@ -264,7 +264,7 @@ def count_marker_split(c: Column, min_len: int = 25) -> Column:
 
 def raw_sentences(c: Column) -> Column:
     """White space collapsed, split after . ! ?"""
-    flat = strip(F.regexp_replace(c, r"\s+", " "))
+    flat = strip(F.regexp_replace(c, r"(?U)\s+", " "))
     marked = F.regexp_replace(flat, r"([.!?])\s+", "$1\u0001")
     return F.filter(F.split(marked, "\u0001"), lambda s: F.length(s) > 0)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from statuta import constants as K
+from statuta.functions.text import settled
 from statuta.functions.tokens import words
 from statuta.operators.scale import fits, salted_join
 
@@ -17,23 +18,35 @@ SCORE_DIGITS = 9
 
 @dataclass(frozen=True)
 class TextStatistics:
-    """Words per unit, hash-partitioned by unit, and the corpus totals."""
+    """Words per unit where they are read, or the counts of a stored index, and the corpus totals."""
 
-    tokens: DataFrame  # unit_key, words
+    tokens: DataFrame | None  # unit_key, words
     totals: DataFrame  # one row: units, words, avg_len
+    stored: DataFrame | None = None  # unit_key, word, tf, len
 
     def term_frequency(self) -> DataFrame:
-        """(unit_key, word, tf, len). The exchange by unit serves the grouping as well."""
-        return (
-            self.tokens.select(
-                "unit_key", F.size("words").alias("len"), F.explode("words").alias("word")
-            )
-            .groupBy("unit_key", "word")
-            .agg(F.count(F.lit(1)).alias("tf"), F.max("len").alias("len"))
-        )
+        """(unit_key, word, tf, len)."""
+        return self._counted(self._exploded()) if self.stored is None else self.stored
+
+    def term_frequency_of(self, asked: DataFrame, small: bool) -> DataFrame:
+        """Term counts of the asked words only; other words never leave the row they stand in."""
+        rows = self._exploded() if self.stored is None else self.stored
+        if small:
+            rows = rows.join(F.broadcast(asked), "word", "left_semi")
+        else:
+            rows = salted_join(rows, asked, ["word"])
+        return self._counted(rows) if self.stored is None else rows
+
+    def _exploded(self) -> DataFrame:
+        return self.tokens.select("unit_key", F.size("words").alias("len"), F.explode("words").alias("word"))
+
+    def _counted(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy("unit_key", "word").agg(F.count(F.lit(1)).alias("tf"), F.max("len").alias("len"))
 
     def document_frequency(self) -> DataFrame:
         """(word, df), counted on the per-unit distinct words (partial sums before the shuffle)."""
+        if self.stored is not None:
+            return self.stored.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
         return (
             self.tokens.select(F.explode(F.array_distinct("words")).alias("word"))
             .groupBy("word")
@@ -42,9 +55,8 @@ class TextStatistics:
 
 
 def text_statistics(units: DataFrame, key: str = "unit_key", text: str = "text") -> TextStatistics:
-    tokens = units.select(F.col(key).alias("unit_key"), words(F.col(text)).alias("words")).repartition(
-        "unit_key"
-    )
+    # settled: an explode would else copy the tokeniser into a filter above the scan
+    tokens = units.select(F.col(key).alias("unit_key"), settled(words(F.col(text))).alias("words"))
     totals = tokens.agg(
         F.count(F.lit(1)).alias("units"),
         F.sum(F.size("words")).alias("words"),
@@ -74,24 +86,14 @@ def query_words(queries: DataFrame) -> DataFrame:
 def bm25_scores(stats: TextStatistics, queries: DataFrame) -> DataFrame:
     """(query_id, unit_key, score) for every unit that shares a word with the query.
 
-    Only words that occur in a query leave the tokeniser. While the counted query words fit into a
-    broadcast, the term counts stay partitioned by unit through both joins and the summation, so
-    the text crosses the network once. Beyond the bound the word join is shuffled with hot words
-    salted.
+    Only words that occur in a query are exchanged. While the counted query words fit into a
+    broadcast, they are picked out where the text (or the stored count) is read. Beyond the bound the
+    word join is shuffled with hot words salted.
     """
     wanted = query_words(queries)
     small = fits(wanted)
     distinct = wanted.select("word").distinct()
-    tokens = stats.tokens.select(
-        "unit_key", F.size("words").alias("len"), F.explode("words").alias("word")
-    )
-    if small:
-        hits = tokens.join(F.broadcast(distinct), "word", "left_semi")
-    else:
-        hits = salted_join(tokens, distinct, ["word"])
-    tf = hits.groupBy("unit_key", "word").agg(
-        F.count(F.lit(1)).alias("tf"), F.max("len").alias("len")
-    )
+    tf = stats.term_frequency_of(distinct, small)
     df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     weights = wanted.join(df, "word").select(
         "query_id",

@@ -71,7 +71,9 @@ def fuse(ranked: DataFrame, k: int = K.RRF_K) -> DataFrame:
     )
 
 
-def candidate_cut(fused: DataFrame, n: int = K.DEFAULT_HITS, acts: tuple[str, ...] = ()) -> DataFrame:
+def candidate_cut(
+    fused: DataFrame, n: int | Column = K.DEFAULT_HITS, acts: tuple[str, ...] = ()
+) -> DataFrame:
     """Act filter on the fused list, then the first max(n, 30) per query.
 
     The filter must not move below the per-way lists: it would change which units are fused.
@@ -80,13 +82,13 @@ def candidate_cut(fused: DataFrame, n: int = K.DEFAULT_HITS, acts: tuple[str, ..
         fused = fused.where(F.col("act").isin(*acts))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("unit_key"))
     return fused.withColumn("rank", F.row_number().over(order)).where(
-        F.col("rank") <= max(n, K.RESCORE)
+        F.col("rank") <= (max(n, K.RESCORE) if isinstance(n, int) else F.greatest(n, F.lit(K.RESCORE)))
     )
 
 
-def cap_cases(ranked: DataFrame, n: int = K.DEFAULT_HITS) -> DataFrame:
+def cap_cases(ranked: DataFrame, n: int | Column = K.DEFAULT_HITS) -> DataFrame:
     """At most a third of cases among n hits; skipped cases fill up a list that is too short."""
-    cap = max(1, n // 3)
+    cap = max(1, n // 3) if isinstance(n, int) else F.greatest(F.lit(1), F.floor(n / 3))
     is_case = F.col("kind") == K.KIND_CASE
     in_kind = W.partitionBy("query_id", is_case).orderBy("rank")
     order = W.partitionBy("query_id").orderBy(F.col("_late"), "rank")

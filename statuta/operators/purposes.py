@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from statuta import constants as K
 from statuta.functions.text import let, sentences
 from statuta.functions.vectors import hash_buckets
+from statuta.operators.rescore import loaded
 
 
 @dataclass(frozen=True)
@@ -150,7 +151,7 @@ def score_pairs(
     texts = {line.id: line.text for line in lines}
 
     def run(sentence: pd.Series, line_id: pd.Series) -> pd.Series:
-        scorer = load()
+        scorer = loaded(load)
         return pd.Series(scorer(list(sentence), [texts[i] for i in line_id]))
 
     return pairs.withColumn(

@@ -60,8 +60,11 @@ class Compiled:
     def state_columns(self) -> list[str]:
         return [f"{k}_{w}" for k in KINDS for w in range(self.words)]
 
-    def state(self, answers: DataFrame) -> DataFrame:
-        """answers (case_id, question_id, answer, each pair once) → one row of bit sets per case."""
+    def state(self, answers: DataFrame, cases: DataFrame | None = None) -> DataFrame:
+        """answers (case_id, question_id, answer, each pair once) → one row of bit sets per case.
+
+        With `cases` (case_id, ...) every one of them has a row, also without any answer.
+        """
         spark = answers.sparkSession
         places = spark.createDataFrame(
             [(q, i // WORD, i % WORD) for q, i in self.index.items()],
@@ -70,7 +73,7 @@ class Compiled:
         placed = answers.join(F.broadcast(places), "question_id").withColumn(
             "_bit", F.expr("shiftleft(1L, _b)")
         )
-        return placed.groupBy("case_id").agg(
+        found = placed.groupBy("case_id").agg(
             *[
                 F.coalesce(
                     F.bit_or(F.when((F.col("_w") == w) & (F.col("answer") == k), F.col("_bit"))),
@@ -80,6 +83,9 @@ class Compiled:
                 for w in range(self.words)
             ]
         )
+        if cases is None:
+            return found
+        return cases.select("case_id").distinct().join(found, "case_id", "left").fillna(0, self.state_columns())
 
     def random_state(self, cases: DataFrame, seed: int, gate: str | None = None) -> DataFrame:
         return self.state(random_answers(cases, self, seed, gate))

@@ -5,12 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from statuta.functions.citations import label
+
 MARK = "kreuzbewerter"
 
+_scorers: dict[bytes, Callable] = {}
+
+
+def loaded(load: Callable[[], Callable]) -> Callable:
+    """The scorer `load` returns, loaded once in each worker process however many tasks and batches ask."""
+    name = cloudpickle.dumps(load)
+    if name not in _scorers:
+        _scorers[name] = load()
+    return _scorers[name]
+
 
 def rescore(
     ranked: DataFrame,
@@ -27,13 +40,14 @@ def rescore(
     """
     if load is None:
         return ranked
-    texts = units.select("unit_key", F.substring("text", 1, chars).alias("_text"))
+    cited = label(*[F.col(c) for c in ("kind", "act", "number", "paragraph", "title")])
+    texts = units.select("unit_key", F.concat_ws("\n", cited, F.substring("text", 1, chars)).alias("_text"))
     asked = queries.select("query_id", F.col("text").alias("_question"))
     pairs = texts.join(ranked, "unit_key").join(asked, "query_id")
     columns = ranked.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = load()
+        scorer = loaded(load)
         for batch in batches:
             batch = batch.copy()
             batch["score"] = scorer(list(batch["_question"]), list(batch["_text"]))

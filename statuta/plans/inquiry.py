@@ -33,12 +33,13 @@ def accepted(inquiries: DataFrame) -> DataFrame:
 def answer(
     inquiries: DataFrame, units: DataFrame, book: RuleBook, n: int = K.DEFAULT_HITS, purposes=None
 ) -> DataFrame:
-    """One answer row per accepted inquiry.
+    """One row per inquiry; a rejected one has its status (leer, zu_lang) and nothing else.
 
     Classification and search fork from the same sanitised rows and meet again on the inquiry id;
     hits are written once because evidence, lesson and report all read them.
     """
-    ok = accepted(inquiries).where("status = 'ok'")
+    judged_inputs = accepted(inquiries)
+    ok = judged_inputs.where("status = 'ok'")
     told = ok.select(
         "inquiry_id",
         F.coalesce(F.nullif("description", F.lit("")), F.col("question")).alias("text"),
@@ -47,8 +48,8 @@ def answer(
     judged = classify(described, book, purposes, key="inquiry_id")
     queries = ok.select(
         F.col("inquiry_id").alias("query_id"),
-        F.concat(
-            F.col("question"), F.lit("\n"), F.substring("description", 1, K.INQUIRY_SEARCH_TEXT)
+        F.substring(
+            F.concat(F.col("question"), F.lit("\n"), F.col("description")), 1, K.INQUIRY_SEARCH_TEXT
         ).alias("text"),
     )
     hits = cut_lineage(hybrid_search(units, queries, n), "hits")
@@ -65,8 +66,10 @@ def answer(
             "classes",
             "text",
             F.coalesce(F.transform("evidence", lambda e: e["unit_key"]), F.array().cast("array<string>")).alias("evidence"),
+            F.col("evidence").alias("records"),
             F.coalesce("lesson", F.lit("")).alias("lesson"),
             F.coalesce("cases", F.array().cast("array<string>")).alias("cases"),
             F.array(F.lit(WITHOUT_MODEL)).alias("warnings"),
         )
+        .join(judged_inputs.select("inquiry_id", "status"), "inquiry_id", "right")
     )

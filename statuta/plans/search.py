@@ -9,16 +9,28 @@ from pyspark.sql import functions as F
 
 from statuta import constants as K
 from statuta.functions.citations import label
-from statuta.functions.text import excerpt
-from statuta.operators.bm25 import bm25_search
+from statuta.functions.text import excerpt, search_text
+from statuta.functions.tokens import words
+from statuta.operators.bm25 import TextStatistics, bm25_scores, text_statistics, top_per_query
 from statuta.operators.dense import dense_search
 from statuta.operators.encode import hashing_dense
 from statuta.operators.fusion import candidate_cut, cap_cases, citation_search, fuse, union_ways
 from statuta.operators.rescore import rescore
-from statuta.operators.scale import BROADCAST_ROWS
+from statuta.operators.scale import lookup_join
 from statuta.operators.sparse import sparse_search
 
 
+def searchable(units: DataFrame) -> DataFrame:
+    """The units with the text that is searched: citation, title and chapter above the text.
+
+    A column a unit table does not have counts as empty; without kind and act the text stands alone.
+    """
+    have = set(units.columns)
+    col = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
+    cited = label(*[col(c) for c in ("kind", "act", "number", "paragraph", "title")]) if {"kind", "act"} <= have else F.lit(None).cast("string")
+    return units.withColumn("text", search_text(cited, col("title"), col("chapter"), F.col("text")))
+
+
 def ranked_ways(
     units: DataFrame,
     queries: DataFrame,
@@ -26,11 +38,13 @@ def ranked_ways(
     query_vectors: DataFrame | None = None,
     unit_weights: DataFrame | None = None,
     query_weights: DataFrame | None = None,
+    statistics: TextStatistics | None = None,
 ) -> dict[str, DataFrame]:
-    """The ranked lists that can be computed from what is given."""
+    """The ranked lists that can be computed from what is given; words are those of the searched text."""
+    statistics = statistics or text_statistics(searchable(units))
     ways = {
         "fundstelle": citation_search(units, queries),
-        "stichwort": bm25_search(units, queries),
+        "stichwort": top_per_query(bm25_scores(statistics, queries)),
     }
     if unit_vectors is not None and query_vectors is not None:
         ways["vektor"] = dense_search(unit_vectors, query_vectors)
@@ -45,25 +59,54 @@ def hybrid_search(
     n: int = K.DEFAULT_HITS,
     acts: tuple[str, ...] = (),
     scorer: Callable | None = None,
-    **vectors: DataFrame | None,
+    **vectors: DataFrame | TextStatistics | None,
 ) -> DataFrame:
-    """units (unit_key, act, kind, text …) × queries (query_id, text) → n hits per query.
+    """units (unit_key, act, kind, text …) × queries (query_id, text[, acts, n]) → n hits per query.
 
+    A query may bring its own list of acts and its own number of hits; null or empty means the arguments.
     Without given vectors the dense way uses the hashing encoder. The fused list holds at most
-    4 × 50 units per query plus the cited ones, so its size is bounded by the counted queries: it
-    is broadcast to the unit table while that bound allows.
+    4 × 50 units per query plus the cited ones.
     """
     if vectors.get("unit_vectors") is None:
-        vectors["unit_vectors"] = hashing_dense(units, "unit_key", "text")
+        vectors["unit_vectors"] = hashing_dense(searchable(units), "unit_key", "text")
+    if vectors.get("query_vectors") is None:
         vectors["query_vectors"] = hashing_dense(queries, "query_id", "text")
     fused = fuse(union_ways(ranked_ways(units, queries, **vectors)))
-    if queries.count() * len(K.WAY_WEIGHT) * K.PER_WAY <= BROADCAST_ROWS:
-        fused = F.broadcast(fused)
-    named = units.select("unit_key", "act", "kind").join(fused, "unit_key")
-    ranked = candidate_cut(named, n, acts)
+    named = lookup_join(units.select("unit_key", "act", "kind"), fused, ["unit_key"])
+    if "acts" in queries.columns or "n" in queries.columns:
+        own = F.col("acts") if "acts" in queries.columns else F.lit(None).cast("array<string>")
+        most = F.col("n") if "n" in queries.columns else F.lit(None).cast("int")
+        given = F.array(*[F.lit(a) for a in acts]).cast("array<string>")
+        options = queries.select(
+            "query_id",
+            F.when(F.size(own) > 0, own).otherwise(given).alias("_acts"),
+            F.coalesce(most.cast("int"), F.lit(n)).alias("_n"),
+        )
+        named = named.join(options, "query_id").where((F.size("_acts") == 0) | F.array_contains("_acts", F.col("act")))
+        ranked, n = candidate_cut(named.drop("_acts"), F.col("_n")), F.col("_n")
+    else:
+        ranked = candidate_cut(named, n, acts)
     if scorer is not None:
         ranked = rescore(ranked, queries, units, scorer)
-    return cap_cases(ranked, n)
+    return cap_cases(ranked, n).drop("_n")
+
+
+def indexed(index, queries: DataFrame) -> dict:
+    """What a search reads of a stored index, for `hybrid_search`."""
+    return {
+        "statistics": TextStatistics(None, index.totals, index.tf),
+        "unit_vectors": index.vectors.select("unit_key", "embedding"),
+        "unit_weights": index.tf.select(
+            "unit_key", F.col("word").alias("token"), (F.col("tf") / F.col("len")).alias("weight")
+        ),
+        "query_weights": word_weights(queries),
+    }
+
+
+def word_weights(queries: DataFrame) -> DataFrame:
+    """(query_id, token, weight): the distinct search words of a query in equal parts."""
+    asked = queries.select("query_id", F.array_distinct(words(F.col("text"))).alias("w"))
+    return asked.select("query_id", F.explode("w").alias("token"), (F.lit(1.0) / F.size("w")).alias("weight"))
 
 
 def evidence(hits: DataFrame, units: DataFrame, chars: int = K.EXCERPT) -> DataFrame:

@@ -9,6 +9,7 @@ from statuta import constants as K
 from statuta.operators import corpus, diff, quality
 from statuta.operators import units as U
 from statuta.registry.base import query
+from statuta.registry.search import HYBRID_CTE
 from statuta.registry.frames import BASE_CTE, UNITS_SQL, as_text, normalise_sql, quote, strip_sql, units
 from statuta.session import cut_lineage, scratch
 from statuta.sources import articles, corpus_io, index_io
@@ -538,19 +539,22 @@ def s14(spark, sf):
     return index_io.pending(u, spark.read.parquet(path), "m").select("unit_key", "content")
 
 
-@query("h09_index_build_and_probe", None)
+@query(
+    "h09_index_build_and_probe",
+    HYBRID_CTE + " SELECT query_id, CAST(place AS BIGINT) AS place, unit_key, act, kind, round(score, 6) AS score, ways FROM capped",
+)
 def h09(spark, sf):
-    """Build, load behind the guard, and one probe search on the stored vectors."""
-    from statuta.operators.dense import dense_search
-    from statuta.operators.encode import hashing_dense
+    """Build, load behind the guard, and search on the stored index alone; equal to the search without one."""
+    from statuta.plans.search import hybrid_search, indexed
     from statuta.registry.frames import questions
 
     path = scratch(spark, "bestand")
-    u = units(spark, sf)
+    u, q = units(spark, sf), questions(spark, sf)
     index_io.build_index(spark, u, path)
     index = index_io.load_index(spark, path, u, "hashing-256")
-    probe = hashing_dense(questions(spark, sf), "query_id", "text")
-    return dense_search(index.vectors, probe, 3).select("query_id", "unit_key", F.round("score", 5).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    return hybrid_search(u, q, **indexed(index, q)).select(
+        "query_id", F.col("place").cast("bigint").alias("place"), "unit_key", "act", "kind", F.round("score", 6).alias("score"), as_text("ways")
+    )
 
 
 @query("e09_inventory", COUNTS + """ SELECT act, CAST(count(*) AS BIGINT) AS units, count(*) < 100 AS thin, '256' AS dimensions FROM units GROUP BY act""")

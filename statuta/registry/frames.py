@@ -42,6 +42,15 @@ UNIT_COLUMNS = {
 }
 UNITS_SQL = "SELECT " + ", ".join(f"{e} AS {n}" for n, e in UNIT_COLUMNS.items()) + " FROM documents"
 
+LABEL_SQL = """CASE WHEN kind = 'fallbeispiel' THEN 'Anwendungsfall: ' || coalesce(nullif(title, ''), number)
+    WHEN kind = 'leitlinie' THEN coalesce(nullif(title, ''), number)
+    ELSE CASE kind WHEN 'artikel' THEN 'Artikel ' WHEN 'paragraf' THEN '§ ' WHEN 'anhang' THEN 'Anhang '
+      ELSE 'Erwägungsgrund ' END || number || CASE WHEN paragraph IS NULL THEN ''
+      WHEN paragraph LIKE 'Nummer %' THEN ' ' || paragraph
+      WHEN kind = 'anhang' THEN ' Nummer ' || paragraph ELSE ' Absatz ' || paragraph END
+      || CASE WHEN kind = 'erwaegungsgrund' AND coalesce(paragraph NOT LIKE 'Nummer %', TRUE) THEN ' der ' ELSE ' ' END || act END"""
+SEARCH_SQL = f"""concat_ws(chr(10), nullif(concat_ws(' — ', {LABEL_SQL}, nullif(title, ''), nullif(chapter, '')), ''), text)"""
+
 # benchmark → questions that also name places in the law
 QUESTION_EXPR = """concat('Art. ', CAST(item_id % 40 + 1 AS STRING), ' Abs. ', CAST(item_id % 4 AS STRING),
     CASE item_id % 3 WHEN 0 THEN ' KI-VO' WHEN 1 THEN ' DSGVO' ELSE '' END,
@@ -104,7 +113,8 @@ def fraction_sql(*parts: str) -> str:
 
 
 def strip_sql(c: str) -> str:
-    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+    blank = "[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+    return f"regexp_replace({c}, '^{blank}+|{blank}+$', '', 'g')"
 
 
 def normalise_sql(c: str) -> str:

@@ -8,10 +8,13 @@ from statuta import constants as K
 from statuta.functions.citations import cited_keys
 from statuta.functions.tokens import words
 from statuta.operators import bm25, dense, encode, fusion, sparse
+from statuta.operators.scale import lookup_join
 from statuta.plans import search as plan
 from statuta.registry.base import query
 from statuta.registry.frames import (
     BASE_CTE,
+    LABEL_SQL,
+    SEARCH_SQL,
     as_text,
     bucket_sql,
     fold_ascii_sql,
@@ -22,10 +25,12 @@ from statuta.registry.frames import (
 )
 from statuta.tables import load
 
+SEARCHED_CTE = f", searched AS (SELECT unit_key, {SEARCH_SQL} AS text FROM units)"
 TOKENS_CTE = (
     BASE_CTE
     + f""",
-ufold AS MATERIALIZED (SELECT unit_key, {fold_ascii_sql('text')} AS f FROM units),
+searched AS (SELECT unit_key, {SEARCH_SQL} AS text FROM units),
+ufold AS MATERIALIZED (SELECT unit_key, {fold_ascii_sql('text')} AS f FROM searched),
 uwords AS MATERIALIZED (SELECT unit_key, {words_sql('f')} AS w FROM ufold),
 qfold AS (SELECT query_id, {fold_ascii_sql('text')} AS f FROM questions),
 qwords AS MATERIALIZED (SELECT DISTINCT query_id, word FROM
@@ -84,7 +89,7 @@ def hashed_cte(name: str, key: str, source: str) -> str:
 
 
 DENSE_CTE = (
-    hashed_cte("uh", "unit_key", "units")
+    hashed_cte("uh", "unit_key", "searched")
     + hashed_cte("qh", "query_id", "questions")
     + """,
 dn0 AS (SELECT query_id, unit_key, round(sum(q.x * u.x), 9) AS score FROM qh_v q JOIN uh_v u USING (b)
@@ -134,15 +139,12 @@ capped AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY late, ran
 def _ways(spark, sf):
     """All four ranked lists over the stand-in corpus."""
     u, q = units(spark, sf), questions(spark, sf)
-    stats = bm25.text_statistics(u)
+    stats = bm25.text_statistics(plan.searchable(u))
     tf = stats.term_frequency()
     unit_weights = tf.select("unit_key", F.col("word").alias("token"), (F.col("tf") / F.col("len")).alias("weight"))
-    asked = q.select("query_id", F.array_distinct(words(F.col("text"))).alias("w"))
-    query_weights = asked.select(
-        "query_id", F.explode("w").alias("token"), (F.lit(1.0) / F.size("w")).alias("weight")
-    )
+    query_weights = plan.word_weights(q)
     return u, q, {
-        "unit_vectors": encode.hashing_dense(u, "unit_key", "text"),
+        "unit_vectors": encode.hashing_dense(plan.searchable(u), "unit_key", "text"),
         "query_vectors": encode.hashing_dense(q, "query_id", "text"),
         "unit_weights": unit_weights,
         "query_weights": query_weights,
@@ -156,9 +158,7 @@ def _fused(spark, sf):
 
 def _cut(spark, sf, acts=()):
     u, fused = _fused(spark, sf)
-    return fusion.candidate_cut(
-        u.select("unit_key", "act", "kind").join(F.broadcast(fused), "unit_key"), 8, acts
-    )
+    return fusion.candidate_cut(lookup_join(u.select("unit_key", "act", "kind"), fused, ["unit_key"]), 8, acts)
 
 
 SCORE = F.round("score", 5).alias("score")
@@ -171,7 +171,7 @@ SCORE = F.round("score", 5).alias("score")
 )
 def x15(spark, sf):
     w = words(F.col("text"))
-    return units(spark, sf).select(
+    return plan.searchable(units(spark, sf)).select(
         "unit_key", F.size(w).cast("bigint").alias("n"), F.array_join(F.array_sort(w), " ").alias("words")
     )
 
@@ -193,7 +193,7 @@ def x16(spark, sf):
     CAST(max(n) AS BIGINT) AS longest FROM tf JOIN doclen USING (unit_key) GROUP BY word""",
 )
 def a01(spark, sf):
-    tf = bm25.text_statistics(units(spark, sf)).term_frequency()
+    tf = bm25.text_statistics(plan.searchable(units(spark, sf))).term_frequency()
     return tf.groupBy("word").agg(
         F.sum("tf").alias("tf"), F.count("tf").alias("df"), F.max("len").cast("bigint").alias("longest")
     )
@@ -205,7 +205,7 @@ def a01(spark, sf):
     + " SELECT CAST(units AS BIGINT) AS units, CAST(words AS BIGINT) AS words, round(avg_len, 6) AS avg_len FROM totals",
 )
 def a01_totals(spark, sf):
-    return bm25.text_statistics(units(spark, sf)).totals.select(
+    return bm25.text_statistics(plan.searchable(units(spark, sf))).totals.select(
         "units", "words", F.round("avg_len", 6).alias("avg_len")
     )
 
@@ -217,9 +217,7 @@ def a01_totals(spark, sf):
     FROM qwords JOIN tf USING (word) GROUP BY query_id, word""",
 )
 def j01(spark, sf):
-    tf = bm25.text_statistics(units(spark, sf)).term_frequency()
-    from statuta.operators.scale import lookup_join
-
+    tf = bm25.text_statistics(plan.searchable(units(spark, sf))).term_frequency()
     return (
         lookup_join(tf.select("word", "tf"), bm25.query_words(questions(spark, sf)), ["word"])
         .groupBy("query_id", "word")
@@ -230,7 +228,7 @@ def j01(spark, sf):
 @query("a02_bm25_score", SCORES_CTE + " SELECT query_id, unit_key, round(score, 5) AS score FROM bm")
 def a02(spark, sf):
     return bm25.bm25_scores(
-        bm25.text_statistics(units(spark, sf)), questions(spark, sf)
+        bm25.text_statistics(plan.searchable(units(spark, sf))), questions(spark, sf)
     ).withColumn("score", SCORE)
 
 
@@ -239,7 +237,7 @@ def a02(spark, sf):
     SCORES_CTE + f" SELECT query_id, unit_key, round(score, 5) AS score, rank FROM {top_sql('bm', 50)}",
 )
 def h01(spark, sf):
-    return bm25.bm25_search(units(spark, sf), questions(spark, sf)).select(
+    return bm25.bm25_search(plan.searchable(units(spark, sf)), questions(spark, sf)).select(
         "query_id", "unit_key", SCORE, F.col("rank").cast("bigint").alias("rank")
     )
 
@@ -279,13 +277,14 @@ def h02(spark, sf):
 @query(
     "j02_dense_similarity",
     BASE_CTE
+    + SEARCHED_CTE
     + DENSE_CTE
     + f" SELECT query_id, unit_key, round(score, 5) AS score, rank FROM {top_sql('dn', 50)}",
 )
 def j02(spark, sf):
     u, q = units(spark, sf), questions(spark, sf)
     return dense.dense_search(
-        encode.hashing_dense(u, "unit_key", "text"), encode.hashing_dense(q, "query_id", "text")
+        encode.hashing_dense(plan.searchable(u), "unit_key", "text"), encode.hashing_dense(q, "query_id", "text")
     ).select("query_id", "unit_key", SCORE, F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -431,6 +430,30 @@ def p13(spark, sf):
     )
 
 
+# questions with their own acts and number of hits: three kinds, one of them without either
+OPTIONS_CTE = """, options AS (SELECT query_id, CASE query_id % 3 WHEN 0 THEN ['KI-VO', 'BDSG'] WHEN 1 THEN ['DSGVO'] ELSE ['KI-VO', 'DSGVO', 'BDSG', 'Leitlinie'] END AS acts,
+    CASE query_id % 3 WHEN 0 THEN 5 WHEN 1 THEN 12 ELSE 8 END AS n FROM questions),
+ocut AS MATERIALIZED (SELECT f.*, u.act, u.kind, o.n, row_number() OVER (PARTITION BY query_id ORDER BY f.score DESC, unit_key) AS rank
+    FROM fused f JOIN units u USING (unit_key) JOIN options o USING (query_id) WHERE list_contains(o.acts, u.act) QUALIFY rank <= 30),
+ocap AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY late, rank) AS place FROM (
+    SELECT *, kind = 'fallbeispiel' AND row_number() OVER (PARTITION BY query_id, kind = 'fallbeispiel' ORDER BY rank) > greatest(1, n // 3) AS late
+    FROM ocut) QUALIFY place <= n)"""
+
+
+@query(
+    "p13_options_per_query",
+    HYBRID_CTE + OPTIONS_CTE + " SELECT query_id, CAST(place AS BIGINT) AS place, unit_key, act, round(score, 6) AS score FROM ocap",
+)
+def p13_options(spark, sf):
+    u, q, vectors = _ways(spark, sf)
+    third = F.col("query_id") % 3
+    acts = F.when(third == 0, F.array(F.lit(K.ACT_AI), F.lit(K.ACT_BDSG))).when(third == 1, F.array(F.lit(K.ACT_GDPR)))
+    asked = q.withColumn("acts", acts).withColumn("n", F.when(third == 0, 5).when(third == 1, 12))
+    return plan.hybrid_search(u, asked, **vectors).select(
+        "query_id", F.col("place").cast("bigint").alias("place"), "unit_key", "act", F.round("score", 6).alias("score")
+    )
+
+
 @query("t02_candidate_cut", HYBRID_CTE + " SELECT query_id, unit_key, CAST(rank AS BIGINT) AS rank FROM cut")
 def t02(spark, sf):
     return _cut(spark, sf).select("query_id", "unit_key", F.col("rank").cast("bigint").alias("rank"))
@@ -482,9 +505,9 @@ def h05(spark, sf):
 @query(
     "t07_rescore",
     HYBRID_CTE
-    + """, rescored AS (SELECT c.query_id, c.unit_key, c.kind, CAST(length(substr(u.text, 1, 1800)) % 101 AS DOUBLE) AS s,
-      row_number() OVER (PARTITION BY c.query_id ORDER BY length(substr(u.text, 1, 1800)) % 101 DESC, c.unit_key) AS rank
-      FROM cut c JOIN units u USING (unit_key))
+    + """, rescored AS (SELECT c.query_id, c.unit_key, CAST((length(""" + LABEL_SQL + """) + 1 + length(substr(u.text, 1, 1800))) % 101 AS DOUBLE) AS s,
+      row_number() OVER (PARTITION BY c.query_id ORDER BY s DESC, c.unit_key) AS rank
+      FROM (SELECT query_id, unit_key FROM cut) c JOIN units u USING (unit_key))
     SELECT query_id, unit_key, s AS score, CAST(rank AS BIGINT) AS rank FROM rescored""",
 )
 def t07(spark, sf):

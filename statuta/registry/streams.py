@@ -9,6 +9,7 @@ from statuta.registry import survey as S
 from statuta.registry.base import query
 from statuta.registry.demo_rules import BOOK
 from statuta.registry.demo_survey import SURVEY
+from statuta.plans.search import searchable
 from statuta.registry.frames import UNITS_SQL, as_text, units
 from statuta.registry.search import TOKENS_CTE
 from statuta.session import scratch
@@ -99,5 +100,5 @@ def r04(spark, sf):
 def r05(spark, sf):
     """Units arrive in three batches; term statistics from the store equal those of the whole."""
     path = scratch(spark, "bestand")
-    upkeep.maintain(replay(spark, units(spark, sf).select("unit_key", "text")), path)
+    upkeep.maintain(replay(spark, searchable(units(spark, sf)).select("unit_key", "text")), path)
     return upkeep.document_frequency(spark, path)

@@ -148,7 +148,7 @@ def answers(spark, sf):
 
 
 def state(spark, sf):
-    return C.state(answers(spark, sf))
+    return C.state(answers(spark, sf), cases(spark, sf))
 
 
 @query("q11_random_patterns", BASE + " SELECT question_id, answer, CAST(count(*) AS BIGINT) AS n, CAST(sum(case_id) AS BIGINT) AS cases FROM full_ans GROUP BY ALL")

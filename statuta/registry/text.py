@@ -9,6 +9,8 @@ from statuta.functions import attributes, citations, phrases, text
 from statuta.registry.base import query
 from statuta.registry.frames import (
     BASE_CTE,
+    LABEL_SQL,
+    SEARCH_SQL,
     UNITS_SQL,
     fold_ascii_sql,
     fold_sql,
@@ -107,15 +109,6 @@ def p05(spark, sf):
     )
 
 
-LABEL_SQL = """CASE WHEN kind = 'fallbeispiel' THEN 'Anwendungsfall: ' || coalesce(nullif(title, ''), number)
-    WHEN kind = 'leitlinie' THEN coalesce(nullif(title, ''), number)
-    ELSE CASE kind WHEN 'artikel' THEN 'Artikel ' WHEN 'paragraf' THEN '§ ' WHEN 'anhang' THEN 'Anhang '
-      ELSE 'Erwägungsgrund ' END || number || CASE WHEN paragraph IS NULL THEN ''
-      WHEN paragraph LIKE 'Nummer %' THEN ' ' || paragraph
-      WHEN kind = 'anhang' THEN ' Nummer ' || paragraph ELSE ' Absatz ' || paragraph END
-      || CASE WHEN kind = 'erwaegungsgrund' AND coalesce(paragraph NOT LIKE 'Nummer %', TRUE) THEN ' der ' ELSE ' ' END || act END"""
-
-
 def unit_label():
     return citations.label(*[F.col(c) for c in ("kind", "act", "number", "paragraph", "title")])
 
@@ -127,8 +120,7 @@ def p06(spark, sf):
 
 @query(
     "p07_search_text",
-    f"""WITH units AS ({UNITS_SQL}) SELECT unit_key, concat_ws(chr(10), nullif(concat_ws(' — ', {LABEL_SQL},
-    nullif(title, ''), nullif(chapter, '')), ''), text) AS search_text FROM units""",
+    f"WITH units AS ({UNITS_SQL}) SELECT unit_key, {SEARCH_SQL} AS search_text FROM units",
 )
 def p07(spark, sf):
     return units(spark, sf).select(

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.operators.bm25 import text_statistics
+from statuta.operators.bm25 import TextStatistics, text_statistics
 from statuta.operators.encode import Encoder, encode, hashing_dense
+from statuta.plans.search import searchable
 
 
 def content_hash(text: str = "text"):
@@ -50,12 +51,16 @@ class Index:
     vectors: DataFrame
     tf: DataFrame
     df: DataFrame
+    totals: DataFrame
     manifest: DataFrame
 
 
 def build_index(spark: SparkSession, units: DataFrame, path: str, encoder: Encoder | None = None) -> None:
-    """Compute what is missing and write all tables. Vectors are appended, so a run that was cut
-    short continues where it stopped; term statistics are rewritten from the texts."""
+    """Compute what is missing and write all tables, over the searched text (citation, title, chapter, text).
+
+    Vectors are appended, so a run that was cut short continues where it stopped; term statistics are
+    rewritten from the texts."""
+    units = searchable(units)
     model = encoder.name if encoder else "hashing-256"
     size = encoder.dimensions if encoder else 256
     target = f"{path}/vectors"
@@ -69,7 +74,10 @@ def build_index(spark: SparkSession, units: DataFrame, path: str, encoder: Encod
     todo.select("unit_key", "content", "model").join(coded, "unit_key").write.mode("append").parquet(target)
     stats = text_statistics(units)
     stats.term_frequency().write.mode("overwrite").parquet(f"{path}/tf")
-    stats.document_frequency().write.mode("overwrite").parquet(f"{path}/df")
+    TextStatistics(None, stats.totals, spark.read.parquet(f"{path}/tf")).document_frequency().write.mode(
+        "overwrite"
+    ).parquet(f"{path}/df")
+    stats.totals.write.mode("overwrite").parquet(f"{path}/totals")
     manifest(units, model, size).write.mode("overwrite").parquet(f"{path}/manifest")
 
 
@@ -85,11 +93,12 @@ def load_index(spark: SparkSession, path: str, units: DataFrame, model: str) ->
         apart = key_differences(vectors, units).select("unit_key").distinct().orderBy("unit_key").limit(3)
         first = ", ".join(r["unit_key"] for r in apart.collect())
         raise ValueError(f"index belongs to another corpus: {row['units']} / {live['units']} units, first {first}")
-    current = units.select("unit_key", content_hash().alias("content"))
+    current = searchable(units).select("unit_key", content_hash().alias("content"))
     return Index(
         vectors.join(current, ["unit_key", "content"], "left_semi"),
         spark.read.parquet(f"{path}/tf"),
         spark.read.parquet(f"{path}/df"),
+        spark.read.parquet(f"{path}/totals"),
         stored,
     )
 

@@ -13,25 +13,27 @@ MODEL = "hashing-256"
 
 
 def add_units(units: DataFrame, path: str, version: int = 0) -> None:
-    """Append vectors and term counts of units that the index does not hold in this form.
+    """Write vectors and term counts of units whose newest stored form is another one.
 
-    `version` grows with each batch (a stream passes its batch id); of a unit that came again with
-    another text, readers take the newest version. Repeating a batch adds nothing.
+    `version` grows with each batch (a stream passes its batch id). A batch owns the folders of its version
+    and replaces them whole, so a batch that broke off and is repeated leaves nothing twice; a version
+    counts once its vectors are written, which are last. Of several texts of a unit in one batch the
+    greatest is kept, so that a repeat chooses the same.
     """
     spark = units.sparkSession
-    live = units.select("unit_key", "text", content_hash().alias("content")).dropDuplicates(
-        ["unit_key", "content"]
+    live = (
+        units.groupBy("unit_key").agg(F.max("text").alias("text")).withColumn("content", content_hash())
     )
     if _exists(spark, f"{path}/vectors"):
-        held = spark.read.parquet(f"{path}/vectors").select("unit_key", "content")
+        before = spark.read.parquet(f"{path}/vectors").where(F.col("version") < version)
+        held = before.groupBy("unit_key").agg(F.max_by("content", "version").alias("content"))
         live = live.join(held, ["unit_key", "content"], "left_anti")
     live = live.persist()
     try:
-        tags = live.select("unit_key", "content", F.lit(version).cast("bigint").alias("version"))
         tf = text_statistics(live).term_frequency()
-        tf.join(tags, "unit_key").write.mode("append").parquet(f"{path}/tf")
-        vectors = hashing_dense(live, "unit_key", "text")
-        tags.join(vectors, "unit_key").write.mode("append").parquet(f"{path}/vectors")
+        tf.write.mode("overwrite").parquet(f"{path}/tf/version={version}")
+        vectors = live.select("unit_key", "content").join(hashing_dense(live, "unit_key", "text"), "unit_key")
+        vectors.write.mode("overwrite").parquet(f"{path}/vectors/version={version}")
     finally:
         live.unpersist()
 
