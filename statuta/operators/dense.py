@@ -2,73 +2,119 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statuta import constants as K
 from statuta.operators.bm25 import SCORE_DIGITS, top_per_query
 
-QUERY_BLOCK = 4_096
+QUERY_BLOCK = 1_024
+UNIT_BLOCK = 8_192
 
 
 def dense_search(
-    units: DataFrame, queries: DataFrame, k: int = K.PER_WAY, block: int = QUERY_BLOCK
+    units: DataFrame,
+    queries: DataFrame,
+    k: int = K.PER_WAY,
+    query_block: int = QUERY_BLOCK,
+    unit_block: int = UNIT_BLOCK,
 ) -> DataFrame:
     """Top-k units per query by dot product (cosine, as vectors are normalised).
 
-    Never pairs every unit with every query in a DataFrame: each Arrow batch of units is multiplied
-    with a bounded block of query vectors and only its k best units per query leave the worker. A
-    query table of any size is walked block by block.
+    Vectors travel in blocks: units are read once and dealt to slots, and each slot gets a copy of every
+    block of queries. A task multiplies two blocks at a time and carries the k best of a block of queries
+    from unit block to unit block, so it hands on k rows a query. Neither side passes through the driver.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    parts = []
-    for i in range(blocks):
-        chunk = (
-            queries
-            if blocks == 1
-            else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        )
-        parts.append(_block_search(units, chunk, k))
-    return top_per_query(reduce(DataFrame.unionByName, parts), k)
-
-
-def _block_search(units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    spark = units.sparkSession
-    rows = queries.select("query_id", "embedding").toPandas()
-    ids = rows["query_id"].to_numpy()
-    matrix = np.array([np.asarray(v, dtype=np.float64) for v in rows["embedding"]])
-    shared = spark.sparkContext.broadcast((ids, matrix.T if len(rows) else matrix))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, vectors = shared.value
-        if len(ids) == 0:
-            return
+    slots = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    u_type = units.schema["unit_key"].dataType.simpleString()
+    q_type = queries.schema["query_id"].dataType.simpleString()
+    own = _blocks(units.select("unit_key", "embedding"), u_type, unit_block).select(
+        F.pmod(F.xxhash64("keys"), F.lit(slots)).cast("int").alias("slot"),
+        F.col("keys").alias("unit_keys"),
+        F.col("rows").alias("unit_rows"),
+    )
+    asked = _blocks(queries.select("query_id", "embedding"), q_type, query_block).select(
+        F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"),
+        F.xxhash64("keys").alias("block"),
+        F.col("keys").alias("query_keys"),
+        F.col("rows").alias("query_rows"),
+    )
+    met = (
+        asked.hint("shuffle_merge")
+        .join(own, "slot")
+        .select("block", "query_keys", "query_rows", "unit_keys", "unit_rows")
+        .sortWithinPartitions("block")
+    )
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, found = None, None, []
         for batch in batches:
-            if batch.empty:
-                continue
-            keys = batch["unit_key"].to_numpy()
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            own = np.array([np.asarray(v, dtype=np.float64) for v in batch["embedding"]])[order]
-            scores = np.round(own @ vectors, SCORE_DIGITS)
-            # stable sort on the key-sorted rows: score descending, key ascending
-            top = np.argsort(-scores, axis=0, kind="stable")[:k]
-            yield pd.DataFrame(
-                {
-                    "query_id": np.repeat(ids, top.shape[0]),
-                    "unit_key": keys[top.T.ravel()],
-                    "score": np.take_along_axis(scores, top, axis=0).T.ravel(),
-                }
-            )
+            kinds = [batch.schema.field(c).type.value_type for c in ("query_keys", "unit_keys")]
+            for i in range(batch.num_rows):
+                block, query_keys, query_rows, unit_keys, unit_rows = (c[i].as_py() for c in batch.columns)
+                if block != now:
+                    if now is not None:
+                        yield _rows(keys, found, kinds)
+                    now, keys, found = block, query_keys, [[] for _ in query_keys]
+                _better(found, unit_keys, _matrix(unit_rows, unit_keys) @ _matrix(query_rows, query_keys).T, k)
+        if now is not None:
+            yield _rows(keys, found, kinds)
 
-    q_type = queries.schema["query_id"].dataType.simpleString()
-    u_type = units.schema["unit_key"].dataType.simpleString()
-    return units.select("unit_key", "embedding").mapInPandas(
-        best, f"query_id {q_type}, unit_key {u_type}, score double"
+    scored = met.mapInArrow(best, f"query_id {q_type}, unit_key {u_type}, score double")
+    return top_per_query(scored, k)
+
+
+def _matrix(raw: bytes, keys: list) -> np.ndarray:
+    return np.frombuffer(raw, np.float64).reshape(len(keys), -1)
+
+
+def _better(found: list[list[tuple]], keys: list, scores: np.ndarray, k: int) -> None:
+    """Adds a block's scores to the k best of each query: score descending, key ascending."""
+    scores = np.round(scores, SCORE_DIGITS)
+    least = np.partition(scores, -k, axis=0)[-k] if len(keys) > k else np.full(scores.shape[1], -np.inf)
+    for q, held in enumerate(found):
+        floor = max(least[q], -held[-1][0]) if len(held) == k else least[q]
+        at = np.nonzero(scores[:, q] >= floor)[0]
+        if len(at):
+            found[q] = heapq.nsmallest(k, [*held, *((-float(scores[i, q]), keys[i]) for i in at)])
+
+
+def _rows(keys: list, found: list[list[tuple]], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([q for q, held in zip(keys, found) for _ in held], kinds[0]),
+            pa.array([unit for held in found for _, unit in held], kinds[1]),
+            pa.array([-score for held in found for score, _ in held], pa.float64()),
+        ],
+        names=["query_id", "unit_key", "score"],
     )
+
+
+def _blocks(vectors: DataFrame, kind: str, size: int) -> DataFrame:
+    """(keys, rows): keys and vectors of a task's rows, at most `size` together."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list = []
+        rows: list = []
+
+        def block() -> pa.RecordBatch:
+            raw = np.asarray(rows, dtype=np.float64).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([keys], pa.list_(batch.column(0).type)), pa.array([raw], pa.binary())], names=["keys", "rows"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                if keys and len(keys) + part.num_rows > size:
+                    yield block()
+                    keys, rows = [], []
+                keys += part.column(0).to_pylist()
+                rows += part.column(1).to_pylist()
+        if keys:
+            yield block()
+
+    return vectors.mapInArrow(build, f"keys ARRAY<{kind}>, rows BINARY")
