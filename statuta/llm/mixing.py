@@ -4,9 +4,11 @@ A classifier learnt from a labelled table gives each document a posterior over t
 (expected copies of a document) are then fitted so that the expected tokens of each domain meet the targets:
 accelerated projected gradient on the least squares
 
-    1/2 |sum_i r_i t_i p_i / T - w|^2 + ridge/2 sum_i t_i/T (r_i - 1)^2,    r >= 0,
+    1/2 sum_k (sum_i r_i t_i p_ik / T - w_k)^2 / s_k + ridge/2 sum_i t_i/T (r_i - 1)^2,    r >= 0,
 
-with tokens t, posteriors p, all tokens T and targets w. One round is one pass over the posteriors, from which
+with tokens t, posteriors p, all tokens T, targets w and the domains' present shares s. Weighted by 1/s the
+problem has its largest curvature at 1 and, where posteriors are sharp, hardly another one, so a few rounds do,
+however small a domain is. One round is one pass over the posteriors, from which
 only one residual per domain comes back. A document's rate follows from its posterior and the residuals so far,
 so no rates are stored between the rounds, and a lost task is simply run again.
 """
@@ -29,9 +31,10 @@ from statuta.session import cut_lineage
 #: Bounds of the training sample, in documents, and of the features chosen from it.
 SAMPLE = 4000
 FEATURES = 1500
-RIDGE = 1e-3
+RIDGE = 0.05
 ROUNDS = 60
-TOLERANCE = 1e-5
+TOLERANCE = 1e-3
+LEAST_SHARE = 1e-3
 NEAR = 0.15
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -205,8 +208,10 @@ def _each(batches: Iterator[pa.RecordBatch], width: int):
         yield batch, np.array(batch.column("posterior").flatten()).reshape(-1, width)
 
 
-def fit(table: DataFrame, target: np.ndarray, total: float, ridge: float = RIDGE, rounds: int = ROUNDS) -> list[np.ndarray]:
-    """Residuals of the rounds from which `rates_of` gives the fitted rates."""
+def fit(
+    table: DataFrame, target: np.ndarray, share: np.ndarray, total: float, ridge: float = RIDGE, rounds: int = ROUNDS
+) -> list[np.ndarray]:
+    """Weighted residuals of the rounds, from which `rates_of` gives the fitted rates."""
     residuals: list[np.ndarray] = []
     width = len(target)
     while len(residuals) < rounds:
@@ -222,7 +227,7 @@ def fit(table: DataFrame, target: np.ndarray, total: float, ridge: float = RIDGE
         now = np.zeros(width)
         for r in found.collect():  # one row a domain
             now[r["domain"]] = r["tokens"]
-        residuals.append(now / max(1.0, total) - target)
+        residuals.append((now / max(1.0, total) - target) / np.maximum(share, LEAST_SHARE))
         if len(residuals) > 3 and np.abs(residuals[-1] - residuals[-2]).max() < TOLERANCE and np.abs(residuals[-2] - residuals[-3]).max() < TOLERANCE:
             break
     return residuals
@@ -255,7 +260,7 @@ def mixed(
     ).first()
     total, natural = float(sums[0]), np.array([float(x) for x in sums[1:]])
     wanted = np.array([(targets or {}).get(d, now / max(1.0, total)) for d, now in zip(names, natural)])
-    residuals = fit(table, wanted, total, ridge) if total else []
+    residuals = fit(table, wanted, natural / max(1.0, total), total, ridge) if total else []
     width = len(names)
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,0 +1,67 @@
+"""The pipeline's stages: what they keep, change and drop, and the packed result against a brute-force walk."""
+
+import pytest
+from pyspark.sql import functions as F
+from test_texts import packed_right
+
+import __spark_entry__ as entry
+import corpus_pipeline as P
+from statuta.llm import language_id, mixing, secret_scan, simhash
+from statuta.session import cut_lineage
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    out = [docs]
+    for name, stage in P.STAGES:
+        out.append(cut_lineage(stage(spark, out[-1], FOLDER), name))
+    return out
+
+
+def rows(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def test_order_and_columns(stages):
+    assert [n for n, _ in P.STAGES] == ["language_id", "near_duplicates", "secrets", "mixing", "packing"]
+    assert all(s.columns == stages[0].columns for s in stages[1:-1])
+
+
+def test_each_decision_takes_effect(spark, stages):
+    docs, named, single, clean, mixed, packed = stages
+    model = language_id.train(docs.where(~language_id.held_out()))
+    assert rows(named).keys() == {r["doc_id"] for r in language_id.predict(docs, model).where("NOT rejected").collect()}
+    assert rows(single).keys() == {r["component_id"] for r in simhash.near_duplicates(named).collect()}
+    before, after = rows(single), rows(clean)
+    spans = {r["doc_id"]: r["spans"] for r in secret_scan.secret_spans(single).collect()}
+    assert before.keys() == after.keys() and any(spans.values())
+    for i, span in spans.items():
+        assert (before[i] == after[i]) == (not span)
+        if span:
+            assert secret_scan.MASK in after[i]["text"] and after[i]["n_chars"] == len(after[i]["text"])
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    rates = {r["doc_id"]: r["rate"] for r in mixing.mixed(clean, labels, mixing.quality_domain(), P.TARGETS).collect()}
+    assert {i for i, r in rates.items() if r > 0.9} <= rows(mixed).keys() <= {i for i, r in rates.items() if r > 0.1}
+    packed_right(packed.collect(), [(r["doc_id"], r["text"]) for r in mixed.collect()])
+
+
+def test_run_equals_its_stages(spark, stages):
+    key = ["doc_id", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    ran = P.run(spark, FOLDER).select(key)
+    assert ran.exceptAll(stages[-1].select(key)).count() == 0 and ran.count() == stages[-1].count()
+
+
+def test_stages_take_empty_and_odd_tables(spark, odd, empty):
+    full = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    some = odd.select("doc_id", "text", F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    for docs in (full, some):
+        for _, stage in P.STAGES:
+            assert stage(spark, docs, FOLDER).count() >= 0
+
+
+def test_every_query_is_registered():
+    names = entry.queries().keys()
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
