@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from statuta import constants as K
 from statuta.functions.text import fold
 
-ANY_CITATION = "(?iu)(?:" + "|".join(
-    (K.CITE_ARTICLE, K.CITE_STATUTE, K.CITE_ANNEX, K.CITE_RECITAL)
-) + ")"
+ANY_CITATION = f"(?iu)(?:{K.QUESTION_CITATION})"
 
 
 def label(

@@ -21,7 +21,6 @@ UNIT_COLUMNS = (
     "page_id", "act", "unit_key", "kind", "number", "paragraph", "title", "chapter", "section",
     "text", "ord",
 )
-MAX_NESTING = 4
 
 
 def has_class(names: str) -> Column:
@@ -393,7 +392,7 @@ def annex_units(nodes: DataFrame, act: Column) -> DataFrame:
 
 
 def annex_points(ctx: DataFrame) -> DataFrame:
-    """(page_id, anx_seq, seq, mark, text): points and their sub-points down to four levels.
+    """(page_id, anx_seq, seq, mark, text): points and their sub-points, level by level to the last.
 
     A heading that names a section sets it for the points after it; headings that do not match
     leave it as it is.
@@ -423,13 +422,16 @@ def annex_points(ctx: DataFrame) -> DataFrame:
         "page_id", "anx_seq", "seq", "text_cell", F.concat_ws("-", "group", "label").alias("mark"), "text"
     )
     found = [level.where(F.length("text") > 60)]
-    for _ in range(MAX_NESTING):
+    while True:
         above = level.select("page_id", F.col("text_cell").alias("parent_seq"), F.col("mark").alias("_above"))
         level = (
             items.where(F.col("label").rlike(r"^(?:[a-z]|[ivxlc]+)$") & (F.length("text") > 40))
             .join(above, ["page_id", "parent_seq"])
             .select("page_id", "anx_seq", "seq", "text_cell", F.concat_ws("-", "_above", "label").alias("mark"), "text")
         )
+        level = cut_lineage(level, "level")
+        if level.isEmpty():
+            break
         found.append(level)
     return reduce(DataFrame.unionByName, [f.drop("text_cell") for f in found])
 

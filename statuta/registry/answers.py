@@ -61,8 +61,8 @@ def e02(spark, sf):
 
 
 # conversations: the assistant turn is the answer, user turns of the talk are its evidence
-ANSWER = "concat(substr(text, 1, 60), ' Artikel ', CAST(turn + 1 AS STRING), ' Absatz 2, § ', CAST(conv_id % 9 + 1 AS STRING), 'a; Anhang III und Art. ', CAST(conv_id % 50 AS STRING))"
-PROOF_TEXT = "concat(substr(text, 1, 60), ' Artikel ', CAST(conv_id % 25 AS STRING), '. § ', CAST(turn + 3 AS STRING), 'a')"
+ANSWER = "concat(text, ' Artikel ', CAST(turn + 1 AS STRING), ' Absatz 2, § ', CAST(conv_id % 9 + 1 AS STRING), 'a; Anhang III und Art. ', CAST(conv_id % 50 AS STRING))"
+PROOF_TEXT = "concat(text, ' Artikel ', CAST(conv_id % 25 AS STRING), '. § ', CAST(turn + 3 AS STRING), 'a')"
 PROOF_KEY = "concat('KI-VO/art-', CAST(turn + 2 AS STRING), CASE WHEN turn % 4 = 0 THEN '/abs-1' ELSE '' END)"
 CITES = f"""WITH a AS (SELECT conv_id * 100 + turn AS answer_id, conv_id, {ANSWER} AS text FROM conversations WHERE role = 'assistant'),
     e AS (SELECT a.answer_id, {PROOF_KEY.replace('turn', 'c.turn').replace('conv_id', 'c.conv_id')} AS unit_key, {PROOF_TEXT.replace('text', 'c.text').replace('turn', 'c.turn').replace('conv_id', 'c.conv_id')} AS excerpt

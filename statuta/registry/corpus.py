@@ -63,8 +63,10 @@ def x01_units(spark, sf):
 # ---- structured pages made from the documents: every construct the unit rules know ------------
 
 ESC = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
-PIECE = {f"p{i}": f"substr(text, {1 + 80 * (i - 1)}, 80)" for i in range(1, 6)}
-PIECE["p6"] = "substr(text, 401, 24)"
+# six parts that together are the whole text; the last takes what the division leaves
+SIXTH = "CAST(floor(length(text) / 6) AS INT)"
+PIECE = {f"p{i}": f"substr(text, 1 + {i - 1} * {SIXTH}, {SIXTH})" for i in range(1, 6)}
+PIECE["p6"] = f"substr(text, 1 + 5 * {SIXTH})"
 NUMBER = "CAST(doc_id % 90 + 1 AS INT)"
 
 
@@ -251,22 +253,22 @@ ART = {
 def article_json(spark, sf):
     d = load(spark, sf, "documents").selectExpr("doc_id", "text AS body", *[f"{e} AS {n}" for n, e in ART.items()])
     para = lambda n, start, letters: F.struct(
-        F.lit(n).alias("nummer"), F.substring("body", start, 60).alias("text"), letters.alias("buchstaben"))
-    letter = lambda name, start: F.struct(F.lit(name).alias("buchstabe"), F.substring("body", start, 40).alias("text"))
+        F.lit(n).alias("nummer"), F.expr(f"substr(body, {start})").alias("text"), letters.alias("buchstaben"))
+    letter = lambda name, start: F.struct(F.lit(name).alias("buchstabe"), F.expr(f"substr(body, {start})").alias("text"))
     none = F.array().cast("array<struct<buchstabe:string,text:string>>")
     nested = F.array(para("1", 1, F.array(letter("a", 10), letter("b", 300))), para("2", 200, none))
     return d.select(
         *ART, F.lit("").alias("kapitel"), F.lit("").alias("abschnitt"),
-        F.concat(F.lit("(1) "), F.substring("body", 1, 50), F.lit("\n(2) kurz")).alias("text"),
+        F.concat(F.lit("(1) "), F.col("body"), F.lit("\n(2) kurz")).alias("text"),
         F.when(F.col("doc_id") % 2 == 0, nested).alias("absaetze"), "doc_id")
 
 
-def cut(start: int, n: int) -> str:
-    return normalise_sql(f"substr(text, {start}, {n})")
+def cut(start: int) -> str:
+    return normalise_sql(f"substr(text, {start})")
 
 
-@query("x13_nested_json", f"""WITH d AS (SELECT doc_id, {ART['einheit']} AS e, {cut(1, 60)} AS p1, {cut(200, 60)} AS p2, {cut(10, 40)} AS la, {cut(300, 40)} AS lb,
-      {normalise_sql("'(1) ' || substr(text, 1, 50) || chr(10) || '(2) kurz'")} AS body, {cut(1, 50)} AS m FROM documents),
+@query("x13_nested_json", f"""WITH d AS (SELECT doc_id, {ART['einheit']} AS e, {cut(1)} AS p1, {cut(200)} AS p2, {cut(10)} AS la, {cut(300)} AS lb,
+      {normalise_sql("'(1) ' || text || chr(10) || '(2) kurz'")} AS body, {cut(1)} AS m FROM documents),
     s AS (SELECT *, 'KI-VO/' || CASE e WHEN 'anhang' THEN 'anh-' WHEN 'erwaegungsgrund' THEN 'erw-' ELSE 'art-' END || CAST(doc_id AS VARCHAR) AS stem FROM d)
     SELECT stem AS unit_key, body AS text FROM s
     UNION ALL SELECT stem || '/abs-1', p1 FROM s WHERE e = 'artikel' AND doc_id % 2 = 0 AND length(p1) >= 25
@@ -301,7 +303,7 @@ def s04(spark, sf):
         F.col("source").alias("datei_quelle"),
         F.struct(
             F.when(F.col("doc_id") % 10 != 3, F.col("doc_id").cast("string")).alias("kennung"), F.col("lang").alias("titel"),
-            F.substring("text", 1, 100).alias("lage")).alias("fall"))
+            F.col("text").alias("lage")).alias("fall"))
     d.groupBy("datei_quelle", F.pmod(F.xxhash64("fall"), F.lit(64)).alias("_s")).agg(F.collect_list("fall").alias("faelle")).select(
         F.to_json(F.struct("faelle")).alias("value"), F.col("datei_quelle")).repartition(8).select("value").write.text(path)
     lines = spark.read.text(path)
@@ -406,7 +408,7 @@ def a16(spark, sf):
 
 
 # documents with their copies: the first 40 characters are the key, doc_id the order
-HEAD = "substr(text, 1, 40)"
+HEAD = "text"
 
 
 @query("w01_first_wins", f"SELECT {HEAD} AS head, min(doc_id) AS doc_id FROM documents GROUP BY 1")

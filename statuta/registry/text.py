@@ -132,12 +132,12 @@ def p07(spark, sf):
 # documents → worked cases: sections cut from the text, some of them empty
 CASE_FIELDS = {
     "titel": "concat(lang, ' ', source)",
-    "lage": "substr(text, 1, 200)",
+    "lage": "text",
     "rolle": "CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN 'anbieter' ELSE 'betreiber' END",
     "einstufung": "CASE WHEN doc_id % 4 = 0 THEN 'minimal' ELSE 'transparenz' END",
-    "begruendung": "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE substr(text, 50, 120) END",
-    "lernhinweis": "CASE WHEN doc_id % 2 = 0 THEN substr(text, 10, 60) ELSE '' END",
-    "stolperstein": "CASE WHEN doc_id % 7 = 0 THEN substr(text, 5, 30) ELSE NULL END",
+    "begruendung": "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE substr(text, 50) END",
+    "lernhinweis": "CASE WHEN doc_id % 2 = 0 THEN substr(text, 10) ELSE '' END",
+    "stolperstein": "CASE WHEN doc_id % 7 = 0 THEN substr(text, 5) ELSE NULL END",
 }
 CASES_SQL = (
     "SELECT doc_id, " + ", ".join(f"{e} AS {n}" for n, e in CASE_FIELDS.items())
@@ -302,11 +302,7 @@ TALK = " Was gilt dann? Wir verkaufen eine Software, die Bewerbungen sortiert un
 TALK_EXPR = (
     f"CASE WHEN conv_id % 4 = 3 THEN 'Was ist das? Sind wir betroffen?' WHEN turn % 2 = 0 THEN concat(text, '{TALK}') ELSE text END"
 )
-RHET = (
-    "(?i)was (muessen|müssen|gilt|kommt|ist)|fallen wir|f(ae|ä)llt das|d(ue|ü)rfen wir|brauchen wir|betrifft uns|"
-    "ist das (zul(ae|ä)ssig|erlaubt|ein problem)|gibt es da|z(ae|ä)hlt das|etwas melden|auf uns zu|welche pflichten|"
-    "wie sieht|k(oe|ö)nnen wir das|haben wir|sind wir"
-)
+RHET = "(?i)" + K.RHETORICAL
 
 
 def sentences_sql(key: str, source: str, column: str = "text") -> str:
@@ -502,7 +498,7 @@ def x12(spark, sf):
 
 
 CITED_TEXT = (
-    "concat(substr(text, 1, 80), ' Artikel ', CAST(turn + 1 AS STRING), ' Absatz 2, § 26a; Anhang III Nummer 4, Art. ', "
+    "concat(text, ' Artikel ', CAST(turn + 1 AS STRING), ' Absatz 2, § 26a; Anhang III Nummer 4, Art. ', "
     "CAST(conv_id % 90 AS STRING), ' und Artikel ', CAST(turn + 1 AS STRING))"
 )
 
