@@ -19,8 +19,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
+from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +41,6 @@ LEAST_SHARE = 1e-3
 NEAR = 0.15
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-_RUNS = re.compile(r"([A-Z])[A-Z]+|([a-z])[a-z]+|(\d)\d+|([^\w\s])\4+")
 
 
 def word_features(word: str) -> list[str]:
@@ -57,10 +59,8 @@ def word_features(word: str) -> list[str]:
 def text_features(text: str | None, known: Memo) -> tuple[Counter, int]:
     """How often each feature occurs, with `= ` for a word that repeats the one before; and the words."""
     words = (text or "").split()
-    count: Counter = Counter()
-    for features in map(known.__getitem__, words):
-        count.update(features)
-    again = sum(a == b for a, b in zip(words, words[1:]))
+    count = Counter(chain.from_iterable(map(known.__getitem__, words)))
+    again = sum(map(eq, words, words[1:]))
     if again:
         count["="] = again
     return count, len(words)
@@ -173,21 +173,32 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, domain: Column, sample:
 
 
 def posteriors(docs: DataFrame, model: Classifier, keep: list[str]) -> DataFrame:
-    """The columns `keep` with n_tokens (words) and the posterior of each row, by the domains' order."""
+    """The columns `keep` with n_tokens (words) and the posterior of each row, by the domains' order.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Memo(lambda w: [f for f in word_features(w) if f in model.features])
-        for batch in batches:
-            found = [text_features(t, known) for t in batch.column(0).to_pylist()]
-            p = model.posteriors([model.row(*f) for f in found])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array([n for _, n in found], pa.int64()), pa.array(list(p), pa.list_(pa.float64()))],
-                names=[*keep, "n_tokens", "posterior"],
-            )
+    Only the text goes to Python, and it goes there once.
+    """
+
+    @F.pandas_udf("struct<n_tokens:bigint,posterior:array<double>>")
+    def judged(texts: pd.Series) -> pd.DataFrame:
+        known = _known(model)
+        found = [text_features(t, known) for t in texts]
+        p = model.posteriors([model.row(*f) for f in found])
+        return pd.DataFrame({"n_tokens": [n for _, n in found], "posterior": list(p)})
+
+    told = cut_lineage(docs.select(*keep, judged(F.col("text").cast("string")).alias("_told")), "posteriors")
+    return told.select(*keep, "_told.n_tokens", "_told.posterior")
 
-    rows = docs.select(F.col("text").cast("string").alias("_text"), *keep)
-    ddl = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{ddl}, n_tokens BIGINT, posterior ARRAY<DOUBLE>")
+
+_memos: dict[int, tuple[Classifier, Memo]] = {}
+
+
+def _known(model: Classifier) -> Memo:
+    """Features of words that the model has, kept from batch to batch of a task."""
+    held = _memos.get(id(model))
+    if held is None or held[0] is not model:
+        _memos.clear()
+        held = _memos[id(model)] = model, Memo(lambda w: [f for f in word_features(w) if f in model.features])
+    return held[1]
 
 
 def rates_of(p: np.ndarray, residuals: list[np.ndarray], ridge: float) -> tuple[np.ndarray, np.ndarray]:
@@ -252,7 +263,7 @@ def mixed(
             *keep, tokens.cast("bigint").alias("n_tokens"), F.lit(None).cast("string").alias("domain"),
             F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"),
         )
-    table = cut_lineage(posteriors(docs, model, list(keep)), "posteriors")
+    table = posteriors(docs, model, list(keep))
     names = model.domains
     sums = table.agg(
         F.coalesce(F.sum("n_tokens"), F.lit(0)),
@@ -263,21 +274,13 @@ def mixed(
     residuals = fit(table, wanted, natural / max(1.0, total), total, ridge) if total else []
     width = len(names)
 
-    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, p in _each(batches, width):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c) for c in keep),
-                    batch.column("n_tokens"),
-                    pa.array([names[i] for i in p.argmax(axis=1)], pa.string()),
-                    batch.column("posterior"),
-                    pa.array(rates_of(p, residuals, ridge)[0]),
-                ],
-                names=[*keep, "n_tokens", "domain", "posterior", "rate"],
-            )
+    @F.pandas_udf("struct<domain:string,rate:double>")
+    def rated(p: pd.Series) -> pd.DataFrame:
+        rows = np.array(p.tolist()).reshape(-1, width)
+        return pd.DataFrame({"domain": [names[i] for i in rows.argmax(axis=1)], "rate": rates_of(rows, residuals, ridge)[0]})
 
-    ddl = ", ".join(f"`{c}` {table.schema[c].dataType.simpleString()}" for c in keep)
-    return table.mapInArrow(rated, f"{ddl}, n_tokens BIGINT, domain STRING, posterior ARRAY<DOUBLE>, rate DOUBLE")
+    found = table.withColumn("_rated", rated("posterior"))
+    return found.select(*keep, "n_tokens", "_rated.domain", "posterior", "_rated.rate")
 
 
 def copies(rate: Column, key: Column) -> Column:

@@ -14,7 +14,7 @@ from collections.abc import Callable
 # white space as the tokeniser's pattern engine sees it (Unicode White_Space); Python's \s has four more
 BLANK = "\t-\r \x85\xa0  -     　"
 PIECE = re.compile(f" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
-KEEP = 700_000
+KEEP = 200_000
 KEEP_CHARS = 48
 
 
