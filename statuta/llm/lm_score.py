@@ -6,8 +6,9 @@ arc and unknown words share one. A text is traversed once from left to right: at
 is taken or else the failure arc and the root's, weights add up, and the word becomes the state.
 
 The automaton of a large corpus fits no machine. Documents are therefore dealt to blocks of bounded size.
-Each block counts its own words and pairs; counts meet by key, and a block is sent back only those totals that
-differ from its own counts. With these it has exactly the part of the automaton that its texts can reach.
+Each block counts its own words and pairs and sends the counts out, its sorted keys cut into the ranges of the key
+space that meet elsewhere; the totals come back in the order of the keys, so keys travel once, as differences. With
+the totals a block has exactly the part of the automaton that its texts can reach.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 8 << 20
@@ -89,13 +89,22 @@ class Block:
         self.own = np.concatenate([own, np.bincount(self.pair[learnt], minlength=len(pairs))])
         self.n_words = n
 
-    def totals(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Counts over the corpus: the block's own where nothing else was sent."""
-        total = self.own.copy()
+    def pieces(self, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+        """The order of the keys, and where each range of the key space begins in it."""
         order = np.argsort(self.keys)
-        at = order[np.searchsorted(self.keys, keys, sorter=order)]
-        total[at] = counts
-        return total
+        # the upper half of a key, scaled: ranges are even, as keys are hashes
+        place = ((self.keys[order] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        return order, np.searchsorted(place, np.arange(ranges + 1, dtype=np.uint64))
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers with their first bytes together, then their second ones and so on; empty planes compress away."""
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+
+
+def unplaned(raw: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
 @dataclass(frozen=True)
@@ -160,14 +169,57 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, np
         yield now, texts, np.array(train, bool)
 
 
-def _block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for number, texts, train in _by_block(batches):
-        block = Block(texts, train)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(block.keys.view(np.int64)), pa.array(np.full(len(block.keys), number, np.int32)), pa.array(block.own.astype(np.int64))],
-            names=["key", "block", "n"],
+def _block_counts(ranges: int):
+    """Counts of each block by range: (range, block, keys, counts), keys sorted and as differences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, texts, train in _by_block(batches):
+            block = Block(texts, train)
+            order, cuts = block.pieces(ranges)
+            keys, counts = block.keys[order], block.own[order].astype(np.uint32)
+            used = np.nonzero(cuts[1:] > cuts[:-1])[0]
+            spans = [slice(cuts[r], cuts[r + 1]) for r in used]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(used.astype(np.int32)),
+                    pa.array(np.full(len(used), number, np.int32)),
+                    pa.array([planes(np.diff(keys[s], prepend=np.uint64(0))) for s in spans], pa.binary()),
+                    pa.array([planes(counts[s]) for s in spans], pa.binary()),
+                ],
+                names=["range", "block", "keys", "counts"],
+            )
+
+    return run
+
+
+def _range_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of their ranges; a block's totals go back in the order of its keys."""
+
+    def summed(rows: list[tuple]) -> pa.RecordBatch:
+        keys = [np.cumsum(unplaned(k, np.uint64), dtype=np.uint64) for _, _, k, _ in rows]
+        counts = np.concatenate([unplaned(c, np.uint32) for _, _, _, c in rows])
+        _, same = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(same, counts).astype(np.int64)[same]
+        cuts = np.cumsum([0, *map(len, keys)])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([r for r, _, _, _ in rows], pa.int32()),
+                pa.array([b for _, b, _, _ in rows], pa.int32()),
+                pa.array([planes(total[lo:hi]) for lo, hi in zip(cuts, cuts[1:])], pa.binary()),
+            ],
+            names=["range", "block", "totals"],
         )
 
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and held[-1][0] != row[0]:
+                yield summed(held)
+                held = []
+            held.append(row)
+    if held:
+        yield summed(held)
+
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words, summed in the task as far as memory allows."""
@@ -223,19 +275,20 @@ def score(
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
     # all columns, though the id is not needed here: so both uses of the dealt rows share one exchange
     counted = dealt.select("block", "train", "text", "id").sortWithinPartitions("block").mapInArrow(
-        _block_counts, "key BIGINT, block INT, n BIGINT"
+        _block_counts(blocks), "range INT, block INT, keys BINARY, counts BINARY"
     )
-    # a key's rows, one a block, are streamed through the window; only what a block lacks goes back
-    sent = (
-        counted.withColumn("total", F.sum("n").over(W.partitionBy("key")))
-        .where(F.col("total") != F.col("n"))
-        .select("block", "key", "total")
+    # a block has a key once, so a common word or pair is one entry a block, however often it occurs
+    sent = counted.repartition(blocks, "range").sortWithinPartitions("range").mapInArrow(
+        _range_totals, "range INT, block INT, totals BINARY"
     )
 
     def scored(texts: pa.Table, totals: pa.Table) -> pa.Table:
         held = ~texts["train"].to_numpy()
         block = Block(texts["text"].to_pylist(), ~held)
-        total = block.totals(totals["key"].to_numpy().view(np.uint64), totals["total"].to_numpy())
+        order, _ = block.pieces(blocks)
+        total = np.zeros(len(order), np.int64)
+        rows = sorted(zip(totals["range"].to_pylist(), totals["totals"].to_pylist()))
+        total[order] = np.concatenate([unplaned(t, np.int64) for _, t in rows])
         count = total[block.word]
         base = np.log10((count + 1) / (corpus.tokens + corpus.kinds + 1))
         return pa.table(
