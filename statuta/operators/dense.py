@@ -21,7 +21,7 @@ def dense_search(
     units: DataFrame,
     queries: DataFrame,
     k: int = K.PER_WAY,
-    query_block: int = QUERY_BLOCK,
+    block: int = QUERY_BLOCK,
     unit_block: int = UNIT_BLOCK,
 ) -> DataFrame:
     """Top-k units per query by dot product (cosine, as vectors are normalised).
@@ -38,7 +38,7 @@ def dense_search(
         F.col("keys").alias("unit_keys"),
         F.col("rows").alias("unit_rows"),
     )
-    asked = _blocks(queries.select("query_id", "embedding"), q_type, query_block).select(
+    asked = _blocks(queries.select("query_id", "embedding"), q_type, block).select(
         F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"),
         F.xxhash64("keys").alias("block"),
         F.col("keys").alias("query_keys"),
