@@ -197,7 +197,7 @@ def predict(
 class Scorer:
     """Probabilities of whole texts; what a word adds is kept as a row of a matrix."""
 
-    KEEP = 120_000
+    KEEP = 300_000
 
     def __init__(self, model: Model):
         self.model = model
