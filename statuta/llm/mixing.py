@@ -179,28 +179,17 @@ def posteriors(docs: DataFrame, model: Classifier, keep: list[str]) -> DataFrame
     """
 
     @F.pandas_udf("struct<n_tokens:bigint,posterior:array<double>>")
-    def judged(texts: pd.Series) -> pd.DataFrame:
-        known = _known(model)
-        found = [text_features(t, known) for t in texts]
-        p = model.posteriors([model.row(*f) for f in found])
-        return pd.DataFrame({"n_tokens": [n for _, n in found], "posterior": list(p)})
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = Memo(lambda w: [f for f in word_features(w) if f in model.features])
+        for texts in batches:
+            found = [text_features(t, known) for t in texts]
+            p = model.posteriors([model.row(*f) for f in found])
+            yield pd.DataFrame({"n_tokens": [n for _, n in found], "posterior": list(p)})
 
     told = cut_lineage(docs.select(*keep, judged(F.col("text").cast("string")).alias("_told")), "posteriors")
     return told.select(*keep, "_told.n_tokens", "_told.posterior")
 
 
-_memos: dict[int, tuple[Classifier, Memo]] = {}
-
-
-def _known(model: Classifier) -> Memo:
-    """Features of words that the model has, kept from batch to batch of a task."""
-    held = _memos.get(id(model))
-    if held is None or held[0] is not model:
-        _memos.clear()
-        held = _memos[id(model)] = model, Memo(lambda w: [f for f in word_features(w) if f in model.features])
-    return held[1]
-
-
 def rates_of(p: np.ndarray, residuals: list[np.ndarray], ridge: float) -> tuple[np.ndarray, np.ndarray]:
     """The rates after the given rounds, and the point the next residual is taken at (with momentum)."""
     step = 1 / (1 + ridge)

@@ -52,7 +52,7 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.special = special_pattern(tuple(special))
         self.specials = {t: self.kind.type(i).tobytes() for t, i in special.items()}
-        self.known = Memo(lambda piece: np.array(engine.encode_ordinary(piece), self.kind).tobytes())
+        self.known = Memo(lambda piece: np.array(engine.encode_ordinary(piece), self.kind).tobytes(), keep=450_000)
 
     def plain(self, text: str) -> bytes:
         return b"".join(map(self.known.__getitem__, PIECE.findall(text)))
