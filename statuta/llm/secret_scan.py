@@ -1,13 +1,14 @@
 """Secrets in texts: fixed patterns, and a battery of randomness tests for runs no pattern names.
 
 Everything is a DataFrame expression; no Python runs on the executors. Places of the matches of a pattern
-come from the lengths of what lies between them. A run of characters that could be an encoded key gets an
-encoding (hexadecimal, base 32, base 62 or 64 by the characters in it) and three tests of the hypothesis that
-its characters are drawn at random from that alphabet: chi-squared uniformity, runs of character classes,
-and serial correlation. The smallest p-value, times three, is the run's. Within a document the runs are sifted
-by the Benjamini-Hochberg rule with weights proportional to length (a long run carries more evidence):
+come from the lengths of what lies between them. A run of characters that could be an encoded key, and each
+part of it between signs (a key behind the path of a URL or of a file is such a part), gets the smallest
+alphabet that holds it and four tests of the hypothesis that its characters are drawn at random from that
+alphabet: chi-squared uniformity, runs of character classes, serial correlation, and pairs of letters that are
+frequent in written languages. The smallest p-value, times four, is the run's. Within a document the runs are
+sifted by the Benjamini-Hochberg rule with weights proportional to length (a long run carries more evidence):
 rejected runs are ordinary text, and at most a share of `FALSE_RATE` of those dropped is expected to be
-random; the others are reported.
+random; the others are reported, without those inside a longer one.
 """
 
 from __future__ import annotations
@@ -27,14 +28,31 @@ FALSE_RATE = 0.001
 MASK = "[SECRET]"
 
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-#: name: (pattern, alphabet, sizes of the classes upper, lower, digit, sign)
+SIGNS = "+/-_"
+#: name: (pattern, alphabet), from small to large alphabets; the last one holds every run.
 ENCODINGS = {
-    "hex": (r"^([0-9a-f]+|[0-9A-F]+)$", DIGITS + "abcdef", (0, 6, 10, 0)),
-    "base32": (r"^[A-Z2-7]+=*$", UPPER + "234567", (26, 0, 6, 0)),
-    "base62": (r"^[A-Za-z0-9]+=*$", UPPER + LOWER + DIGITS, (26, 26, 10, 0)),
-    "base64": (r"^[A-Za-z0-9+/]+=*$", UPPER + LOWER + DIGITS + "+/", (26, 26, 10, 2)),
-    "base64url": (r"^[A-Za-z0-9_-]+=*$", UPPER + LOWER + DIGITS + "-_", (26, 26, 10, 2)),
+    "decimal": (r"^[0-9]+=*$", DIGITS),
+    "hex": (r"^([0-9a-f]+|[0-9A-F]+)=*$", DIGITS + "abcdef"),
+    "lower": (r"^[a-z]+=*$", LOWER),
+    "upper": (r"^[A-Z]+=*$", UPPER),
+    "base32": (r"^[A-Z2-7]+=*$", UPPER + "234567"),
+    "base32 lower": (r"^[a-z2-7]+=*$", LOWER + "234567"),
+    "base36": (r"^[A-Z0-9]+=*$", UPPER + DIGITS),
+    "base36 lower": (r"^[a-z0-9]+=*$", LOWER + DIGITS),
+    "letters": (r"^[A-Za-z]+=*$", UPPER + LOWER),
+    "base62": (r"^[A-Za-z0-9]+=*$", UPPER + LOWER + DIGITS),
+    "base64": (r"^[A-Za-z0-9+/]+=*$", UPPER + LOWER + DIGITS + "+/"),
+    "base64url": (r"^[A-Za-z0-9_-]+=*$", UPPER + LOWER + DIGITS + "-_"),
+    "any": (r"^[A-Za-z0-9+/_-]+=*$", UPPER + LOWER + DIGITS + SIGNS),
 }
+#: What a run is parted at: signs outside base 64 with its other signs, or any sign.
+PARTED = ("[+/]", "[-_]", "[-+/_]")
+LEAST = r"^[A-Za-z0-9+/_-]{20}"
+#: A hundred frequent pairs of letters of English, German, French, Spanish and Italian.
+PAIRS = (
+    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur "
+    "ei ie un ge sc ht da ns us ss ue qu la el lo ad do os ta ci di no ni tr pr po mi so su pe ca ac tt em et il ai au ab ag am ap av bi bl bo br cl cr ct"
+).split()
 
 
 def _places(text: Column, pattern: str, found: Column) -> Column:
@@ -63,21 +81,53 @@ def _tail(z: Column) -> Column:
 
 def _encoding(run: Column) -> Column:
     name = F.lit(None).cast("string")
-    for key, (pattern, _, _) in reversed(ENCODINGS.items()):
+    for key, (pattern, _) in reversed(ENCODINGS.items()):
         name = F.when(run.rlike(pattern), F.lit(key)).otherwise(name)
-    classes = sum((run.rlike(f"[{c}]").cast("int") for c in ("A-Z", "a-z", "0-9")), F.lit(0))
-    return F.when(classes >= 2, name)  # one class alone is a word or a number
+    return name
 
 
 def _told(name: Column, pick) -> Column:
     value = F.lit(None)
-    for key, (_, alphabet, sizes) in ENCODINGS.items():
-        value = F.when(name == key, F.lit(pick(alphabet, sizes))).otherwise(value)
+    for key, (_, alphabet) in ENCODINGS.items():
+        value = F.when(name == key, F.lit(pick(alphabet))).otherwise(value)
     return value
 
 
 def _class_moment(power: int):
-    return lambda alphabet, sizes: float(sum((s / len(alphabet)) ** power for s in sizes))
+    classes = (UPPER, LOWER, DIGITS, SIGNS)
+    return lambda alphabet: float(sum((sum(c in kind for c in alphabet) / len(alphabet)) ** power for kind in classes))
+
+
+def _pair_chance(alphabet: str) -> float:
+    """The chance that two letters drawn from the alphabet are one of `PAIRS`, in either case."""
+    times = {c: alphabet.lower().count(c) for c in LOWER}
+    return sum(times[x] * times[y] for x, y in set(PAIRS)) / len(alphabet) ** 2
+
+
+def _triple_chance(alphabet: str) -> float:
+    """The chance that of three letters drawn the first two and the last two are one of `PAIRS`."""
+    times = {c: alphabet.lower().count(c) for c in LOWER}
+    return sum(times[x] * times[y] * times[z] for x, y in set(PAIRS) for w, z in set(PAIRS) if y == w) / len(alphabet) ** 3
+
+
+def _candidates(runs: Column) -> Column:
+    """The runs and their parts between signs that are long enough: (start, end, run)."""
+
+    def parts(r: Column, sign: str) -> Column:
+        begin = F.struct(F.array().cast(RUNS).alias("out"), r["start"].alias("at"))
+
+        def step(s: Column, part: Column) -> Column:
+            end = s["at"] + F.length(part)
+            found = F.array(F.struct(s["at"].alias("start"), end.alias("end"), part.alias("run")))
+            return F.struct(F.when(part.rlike(LEAST), F.concat(s["out"], found)).otherwise(s["out"]).alias("out"), (end + 1).alias("at"))
+
+        return F.aggregate(F.split(r["run"], sign, -1), begin, step, lambda s: s["out"])
+
+    def all_of(r: Column) -> Column:
+        whole = F.array(F.struct(r["start"].alias("start"), r["end"].alias("end"), r["run"].alias("run")))
+        return F.when(r["run"].rlike(PARTED[-1]), F.array_distinct(F.concat(whole, *[parts(r, sign) for sign in PARTED]))).otherwise(whole)
+
+    return F.flatten(F.transform(runs, all_of))
 
 
 def _judged(runs: Column) -> Column:
@@ -92,7 +142,7 @@ def _judged(runs: Column) -> Column:
         )
 
     def count(r: Column) -> Column:
-        body, alphabet = r["body"], _told(r["name"], lambda a, _: a)
+        body, alphabet = r["body"], _told(r["name"], lambda a: a)
         same = F.aggregate(
             F.array_distinct(F.split(body, "")),
             F.lit(0.0),
@@ -104,21 +154,29 @@ def _judged(runs: Column) -> Column:
         places = F.transform(F.split(body, ""), lambda c: F.position(c, alphabet).cast("double"))
         return F.struct(
             r["start"].alias("start"), r["end"].alias("end"), F.length(body).cast("double").alias("n"),
-            _told(r["name"], lambda a, _: float(len(a))).alias("k"), same.alias("same"),
+            _told(r["name"], lambda a: float(len(a))).alias("k"), same.alias("same"),
             F.length(classes).cast("double").alias("runs"), places.alias("places"),
             _told(r["name"], _class_moment(2)).alias("p2"), _told(r["name"], _class_moment(3)).alias("p3"),
+            F.regexp_count(F.lower(body), F.lit(f"(?=(?:{'|'.join(sorted(set(PAIRS)))}))")).cast("double").alias("pairs"),
+            _told(r["name"], _pair_chance).alias("q2"), _told(r["name"], _triple_chance).alias("q3"),
         )
 
-    def test(r: Column) -> Column:
+    def middle(r: Column) -> Column:
+        return F.struct(r.alias("r"), (F.aggregate(r["places"], F.lit(0.0), lambda t, x: t + x) / r["n"]).alias("mean"))
+
+    def test(told: Column) -> Column:
+        r, mean = told["r"], told["mean"]
         n, k = r["n"], r["k"]
         # chi-squared against equal shares, by the Wilson-Hilferty cube root
         spread = F.lit(2.0) / ((k - 1) * 9)
         chi = (F.cbrt((r["same"] * k / n - n) / (k - 1)) - (F.lit(1.0) - spread)) / F.sqrt(spread)
-        # too few runs of one character class
+        # too few runs of one character class; an alphabet of one class has always one
         variance = (n - 1) * (r["p2"] * (F.lit(1.0) - r["p2"]) + (r["p3"] - r["p2"] * r["p2"]) * 2)
-        few = ((n - 1) * (F.lit(1.0) - r["p2"]) + 1 - r["runs"]) / F.sqrt(variance)
+        few = F.when(r["p2"] < 1, ((n - 1) * (F.lit(1.0) - r["p2"]) + 1 - r["runs"]) / F.sqrt(variance)).otherwise(F.lit(-20.0))
+        # too many frequent pairs of letters; an alphabet without letters has none
+        varied = (n - 1) * r["q2"] * (F.lit(1.0) - r["q2"]) + (n - 2) * (r["q3"] - r["q2"] * r["q2"]) * 2
+        pairs = F.when(r["q2"] > 0, (r["pairs"] - (n - 1) * r["q2"]) / F.sqrt(varied)).otherwise(F.lit(-20.0))
         # correlation of neighbours' places in the alphabet, either way
-        mean = F.aggregate(r["places"], F.lit(0.0), lambda t, x: t + x) / n
         sums = F.aggregate(
             r["places"],
             F.struct(F.lit(0.0).alias("before"), F.lit(0.0).alias("both"), F.lit(0.0).alias("own")),
@@ -128,29 +186,49 @@ def _judged(runs: Column) -> Column:
             ),
         )
         serial = F.when(sums["own"] > 0, F.abs(sums["both"] / sums["own"] + F.lit(1.0) / n) * F.sqrt(n)).otherwise(F.lit(20.0))
-        least = F.least(_tail(chi), _tail(few), _tail(serial) * 2)
+        least = F.least(_tail(chi), _tail(few), _tail(serial) * 2, _tail(pairs))
         return F.struct(
-            r["start"].alias("start"), r["end"].alias("end"), n.alias("n"), F.least(F.lit(1.0), least * 3).alias("p")
+            r["start"].alias("start"), r["end"].alias("end"), n.alias("n"), F.least(F.lit(1.0), least * 4).alias("p")
         )
 
-    named = F.filter(F.transform(runs, read), lambda r: r["name"].isNotNull())
-    return F.transform(F.transform(named, count), test)
+    return F.transform(F.transform(F.transform(F.transform(runs, read), count), middle), test)
+
+
+def _once(value: Column, use) -> Column:
+    """The result of `use`, with the value computed once and not for every element that needs it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _sifted(judged: Column, rate: float) -> Column:
-    """The runs that the weighted Benjamini-Hochberg rule does not reject as random: (start, end)."""
+    """The runs that the weighted Benjamini-Hochberg rule does not reject as random, without those inside
+    another one: (start, end)."""
     m = F.size(judged)
-    total = F.aggregate(judged, F.lit(0.0), lambda t, r: t + r["n"])
-    scaled = F.transform(judged, lambda r: r["p"] * total / (r["n"] * m))
-    passed = F.transform(
-        F.array_sort(scaled), lambda q, i: F.when(q <= (i + 1) * F.lit(rate) / m, q)
+    scaled = _once(
+        F.aggregate(judged, F.lit(0.0), lambda t, r: t + r["n"]),
+        lambda total: F.transform(judged, lambda r: F.struct(
+            r["start"].alias("start"), r["end"].alias("end"), (r["p"] * total / (r["n"] * m)).alias("q"))),
+    )
+
+    def kept(rows: Column) -> Column:
+        passed = F.transform(
+            F.array_sort(F.transform(rows, lambda r: r["q"])), lambda q, i: F.when(q <= (i + 1) * F.lit(rate) / m, q)
+        )
+        return _once(F.coalesce(F.array_max(passed), F.lit(-1.0)), lambda limit: F.filter(rows, lambda r: r["q"] > limit))
+
+    outer = F.array_sort(
+        F.transform(_once(scaled, kept), lambda r: F.struct(r["start"].alias("start"), (-r["end"]).alias("back")))
     )
-    limit = F.coalesce(F.array_max(passed), F.lit(-1.0))
-    kept = F.filter(F.arrays_zip(judged.alias("r"), scaled.alias("q")), lambda x: x["q"] > limit)
-    return F.transform(kept, lambda x: F.struct(x["r"]["start"].alias("start"), x["r"]["end"].alias("end")))
+    begin = F.struct(F.array().cast(NONE).alias("out"), F.lit(-1).alias("at"))
+
+    def step(s: Column, x: Column) -> Column:
+        span = F.array(F.struct(x["start"].alias("start"), (-x["back"]).alias("end")))
+        return F.struct(F.when(-x["back"] > s["at"], F.concat(s["out"], span)).otherwise(s["out"]).alias("out"), F.greatest(s["at"], -x["back"]).alias("at"))
+
+    return F.aggregate(outer, begin, step, lambda s: s["out"])
 
 
 NONE = "array<struct<start:int,end:int>>"
+RUNS = "array<struct<start:int,end:int,run:string>>"
 SPAN = "array<struct<start:int,no:int,kind:string,end:int>>"
 
 
@@ -190,7 +268,7 @@ def spans(docs: DataFrame, text_col: str = "text", rate: float = FALSE_RATE) ->
         F.col("_run_at"), F.col("_run"), lambda at, run: F.struct(at["start"].alias("start"), at["end"].alias("end"), run.alias("run"))
     )
     apart = lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
-    df = df.withColumn("_judged", F.when(F.size("_run") > 0, _judged(F.filter(runs, apart))))
+    df = df.withColumn("_judged", F.when(F.size("_run") > 0, _judged(F.filter(_candidates(runs), apart))))
     found = F.when(F.size("_judged") > 0, _sifted(F.col("_judged"), rate)).otherwise(F.array().cast(NONE))
     df = df.withColumn("_all", F.array_sort(F.concat(F.col("_base"), spelled(found, 3))))
     return df.select(*docs.columns, "_base", "_all")
@@ -206,7 +284,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, n_assign, n_access, n_hex, base_sha256, spans) for every row.
 
     A null text counts as empty: no spans, the hash of the empty string. Spans that start together come in
-    the order of `KINDS`; runs that overlap a span of a fixed pattern are not tested again. Repeated rows and
+    the order of `KINDS`; runs and parts that overlap a span of a fixed pattern are not tested again. Repeated rows and
     null ids are kept; an empty table gives an empty result; columns other than the two named ones are not
     read. Texts of any length are scanned whole.
     """

@@ -54,3 +54,33 @@ def test_redaction(spark, odd, empty):
     assert [tuple(x) for x in got] == [(1, "a [SECRET] b", 12), (2, None, None), (3, "clean", 5), (4, "[SECRET]", 8)]
     assert secret_scan.redacted(odd).columns == odd.columns and secret_scan.redacted(odd).count() == 8
     assert secret_scan.secret_spans(empty).collect() == []
+
+
+def test_keys_of_every_alphabet_and_length_also_inside_urls(spark):
+    r = random.Random(11)
+    alphabets = [a for _, a in secret_scan.ENCODINGS.values() if a not in (secret_scan.DIGITS, secret_scan.DIGITS + "abcdef")]
+    alphabets += [secret_scan.DIGITS + "ABCDEF"]
+    places = ("{}", "https://host.example.com/v1/user-data/{}", "/var/lib/some_service/{}", "//{}/current-version/readme")
+    sizes, cases = (20, 32, 40, 64), []
+    for a, n, place in ((a, n, p) for a in alphabets for n in sizes for p in places for _ in range(15)):
+        # between slashes a key has no slash; random keys that begin or end a part with a sign lose it there
+        letters = a if place == "{}" else a.translate({ord("+"): None, ord("/"): None})
+        cases.append((a, place, place.format("".join(r.choice(letters) for _ in range(n))), n))
+    texts = [f"see {text} there" for _, _, text, _ in cases]
+    rows = {x["doc_id"]: x["spans"] for x in secret_scan.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    hits = {}
+    for i, (a, place, _, n) in enumerate(cases):
+        start = 4 + place.index("{}")
+        spans = [tuple(map(int, x.split(":")[1:])) for x in rows[i].split(",") if x]
+        hits.setdefault((a, place), []).append(any(s <= start and start + n <= e for s, e in spans))
+    assert min(sum(h) / len(h) for h in hits.values()) >= 0.9
+    assert sum(map(sum, hits.values())) >= 0.98 * len(cases)
+
+
+def test_long_words_and_paths_are_not_secrets(spark):
+    words = "internationalization Datenschutzgrundverordnung uncharacteristically desafortunadamente anticonstitutionnellement".split()
+    words += "src/main/java/org/apache/spark/sql/execution/datasources some-very-long-slug-of-an-article-about-data".split()
+    words += "getUserDataFromCacheOrDatabase MAX_NUMBER_OF_CONNECTIONS_PER_HOST 00000000000000000000 --------------------------".split()
+    texts = [f"see {x} there" for x in words]
+    rows = secret_scan.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [words[x["doc_id"]] for x in rows if x["spans"]] == []
