@@ -295,17 +295,14 @@ def s03(spark, sf):
 
 @query("s04_case_scan", "SELECT concat('fall/', CAST(doc_id AS VARCHAR)) AS unit_key, lang AS title FROM documents WHERE doc_id % 10 <> 3")
 def s04(spark, sf):
-    """Case files: lists of cases, those without an id are skipped."""
+    """Case files of one case a line, as a list of one; those without an id are skipped."""
     from statuta.sources.cases import case_units
 
     path = scratch(spark, "faelle")
-    d = load(spark, sf, "documents").select(
-        F.col("source").alias("datei_quelle"),
-        F.struct(
-            F.when(F.col("doc_id") % 10 != 3, F.col("doc_id").cast("string")).alias("kennung"), F.col("lang").alias("titel"),
-            F.col("text").alias("lage")).alias("fall"))
-    d.groupBy("datei_quelle", F.pmod(F.xxhash64("fall"), F.lit(64)).alias("_s")).agg(F.collect_list("fall").alias("faelle")).select(
-        F.to_json(F.struct("faelle")).alias("value"), F.col("datei_quelle")).repartition(8).select("value").write.text(path)
+    fall = F.struct(
+        F.when(F.col("doc_id") % 10 != 3, F.col("doc_id").cast("string")).alias("kennung"), F.col("lang").alias("titel"),
+        F.col("text").alias("lage"))
+    load(spark, sf, "documents").select(F.to_json(F.struct(F.array(fall).alias("faelle")))).write.text(path)
     lines = spark.read.text(path)
     schema = "faelle ARRAY<STRUCT<kennung: STRING, titel: STRING, lage: STRING>>"
     rows = lines.select(F.explode(F.from_json("value", schema)["faelle"]).alias("f")).select("f.*").where("kennung IS NOT NULL")

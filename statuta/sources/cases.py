@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statuta import constants as K
@@ -96,21 +96,22 @@ def lesson(text: Column) -> Column:
 def lessons_from_hits(hits: DataFrame, units: DataFrame) -> DataFrame:
     """Per query: the lesson of the best case that has one, and the titles of up to five cases.
 
-    Hits are few per query (the final cut), so both sides of the grouping stay small.
+    The cases behind the fifth leave before anything is collected.
     """
     cases = units.where(F.col("kind") == K.KIND_CASE).select(
         "unit_key",
         F.coalesce(F.nullif("title", F.lit("")), "number").alias("title"),
         lesson(F.col("text")).alias("lesson"),
     )
-    return (
-        cases.join(hits.select("query_id", "place", "unit_key"), "unit_key")
-        .groupBy("query_id")
-        .agg(
-            F.min_by("lesson", F.when(F.length("lesson") > 0, F.col("place"))).alias("lesson"),
-            F.transform(
-                F.slice(F.array_sort(F.collect_list(F.struct("place", "title"))), 1, 5),
-                lambda s: s.title,
-            ).alias("cases"),
-        )
+    found = cases.join(hits.select("query_id", "place", "unit_key"), "unit_key")
+    lessons = found.groupBy("query_id").agg(
+        F.min_by("lesson", F.when(F.length("lesson") > 0, F.col("place"))).alias("lesson")
+    )
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy("place", "title"))
+    titles = (
+        found.select(F.col("query_id").alias("_query"), "place", "title", first.alias("_no"))
+        .where(F.col("_no") <= 5)
+        .groupBy("_query")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "title"))), lambda s: s.title).alias("cases"))
     )
+    return lessons.join(titles, F.col("query_id").eqNullSafe(F.col("_query"))).select("query_id", "lesson", "cases")

@@ -4,6 +4,7 @@ from statuta.functions import text
 from statuta.operators import bm25, questionnaire as Q, rescore
 from statuta.plans.search import searchable
 from statuta.registry.demo_survey import SURVEY
+from statuta.sources.cases import lessons_from_hits
 from statuta.streaming import upkeep
 
 C = Q.Compiled(SURVEY)
@@ -69,3 +70,21 @@ def test_a_scorer_is_loaded_once_a_worker():
     rescore._scorers.clear()
     one = rescore.loaded(load)
     assert rescore.loaded(load) is one
+
+
+def test_only_five_cases_of_a_query_are_collected(spark):
+    hits = spark.range(40).selectExpr("id DIV 40 + 1 AS query_id", "id AS place", "id AS unit_key")
+    cases = spark.range(40).selectExpr(
+        "id AS unit_key", "'fallbeispiel' AS kind", "concat('t', id) AS title", "'' AS number", "if(id >= 7, concat('Worauf es ankommt: l', id), '') AS text")
+    found = lessons_from_hits(hits, cases)
+    assert [tuple(r) for r in found.collect()] == [(1, "l7", ["t0", "t1", "t2", "t3", "t4"])]
+    assert "WindowGroupLimit" in found._jdf.queryExecution().toString()
+
+
+def test_case_files_hold_one_case_a_line(spark, tmp_path, monkeypatch):
+    from statuta.registry import corpus
+
+    spark.range(300).selectExpr("id AS doc_id", "'src1' AS source", "'de' AS lang", "repeat('x', 1000) AS text").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(corpus, "scratch", lambda spark, name: str(tmp_path / name))
+    assert corpus.s04(spark, str(tmp_path)).count() == 270
+    assert max(r["n"] for r in spark.read.text(str(tmp_path / "faelle")).selectExpr("length(value) AS n").collect()) < 1200
