@@ -40,19 +40,28 @@ TOLERANCE = 1e-3
 LEAST_SHARE = 1e-3
 NEAR = 0.15
 
+SHAPE = 12
+
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters of scripts that put no blanks between words: Thai to Tibetan, Burmese, Khmer, kana and Han.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def word_features(word: str) -> list[str]:
-    """The word in lower case, its beginnings, and its shape (letters as A or a, digits as 9, runs once)."""
+    """Of each run of letters, in lower case: the whole, its beginnings, and its grams, which also tell words inside a
+    text without blanks; and the word's shape (letters as A or a, digits as 9, runs once), in parts."""
     found = []
-    letters = _LETTERS.search(word)
-    if letters:
-        low = letters[0].lower()
+    for letters in _LETTERS.findall(word):
+        low = letters.lower()
         found.append("w " + low)
         found += [f"p {low[:n]}" for n in range(4, 8) if len(low) >= n]
-    shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64])
-    found.append("s " + re.sub(r"(.)\1+", r"\1", shape)[:12])
+        for i, c in enumerate(low):
+            n = 2 if _UNSPACED.match(c) else 4
+            if i + n <= len(low):
+                found.append("g " + low[i : i + n])
+    shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word)
+    shape = re.sub(r"(.)\1+", r"\1", shape)
+    found += ["s " + shape[i : i + SHAPE] for i in range(0, len(shape), SHAPE)]
     return found
 
 

@@ -101,6 +101,26 @@ def test_mixing_of_odd_rows(spark, odd, empty, documents):
     assert out.columns == [*odd.columns, "rate"] and out.count() == 8
 
 
+def test_a_word_is_seen_wherever_it_stands(spark):
+    r = random.Random(4)
+    calm = "garden window morning letter river bridge music paper".split()
+    rows = [(" ".join(r.choices(calm, k=12) + ["idiot", "蠢货"] * (i % 2)), "toxic" if i % 2 else "high") for i in range(200)]
+    model = M.train(spark.createDataFrame(rows, "text string, domain string"))
+    at = model.domains.index("toxic")
+
+    def toxic(text):
+        return model.posteriors([model.row(*M.text_features(text, M.Memo(M.word_features)))])[0][at]
+
+    for place in ("l'{}", "d’{}", "you-{}", "he/{}", "end.{}", "word—{}", "garden{}window", "x" * 70 + "-{}"):
+        assert toxic("music paper " + place.format("idiot")) > 0.5 > toxic("music paper " + place.format("river")), place
+    assert toxic("今天天气很好你这个蠢货走开") > 0.5 > toxic("music paper 今天天气很好你这个朋友走开")
+
+
+def test_the_shape_is_that_of_the_whole_word():
+    a, b = (M.word_features("1a2b-" * 20 + end) for end in ("!", "?"))
+    assert set(a) != set(b)
+
+
 def test_copies_have_the_rate_as_mean(spark):
     rows = spark.range(4000).select(M.copies(F.lit(1.5), F.col("id").cast("string")).alias("c"), M.copies(F.lit(0.97), F.col("id").cast("string")).alias("d"))
     mean, least, most = rows.agg(F.avg("c"), F.min("d"), F.max("d")).first()
