@@ -3,7 +3,8 @@
 Documents are dealt to shards of bounded size. A shard holds a BM25 inverted index of its documents, whose
 term weights come from the document frequencies of the whole corpus (one count for each id of the
 vocabulary, so their size is bounded by the vocabulary). A seed document opens a window; its best unused
-neighbours fill it greedily; the one that does not fit is cut, and its rest opens the next window.
+neighbours fill it greedily; the one that does not fit is cut, and its rest opens the next window. All terms
+of the seed count; neighbours in other shards are not seen.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ WINDOW = 2048
 END = 1
 SHARD_IDS = 2_000_000
 K1, B = 1.2, 0.75
-#: Terms of a seed that are looked up: those that weigh most in it.
-QUERY_TERMS = 16
+#: Terms that occur in more than one of so many documents of a shard are kept as rows of a dense table.
+DENSE = 8
+#: Neighbours that are sorted at a time.
+SORTED = 64
 
 
 class Encoder:
@@ -135,27 +138,45 @@ class Shard:
         self.posted, self.impact = self.owner[by_term], self.weight[by_term]
         self.terms, first = np.unique(self.term[by_term], return_index=True)
         self.lists = np.append(first, len(by_term))
+        often = np.nonzero(np.diff(self.lists) * DENSE > n)[0]
+        self.row = np.full(len(self.terms), -1, np.int64)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), n), np.float32)
+        for row, i in enumerate(often):
+            listed = slice(self.lists[i], self.lists[i + 1])
+            self.dense[row, self.posted[listed]] = self.impact[listed]
         self.unused = np.ones(n, bool)
         self.left = n
         self.next = 0
 
+    def scores(self, doc: int) -> np.ndarray:
+        """BM25 of every document for all terms of the seed; nought for documents that are used."""
+        at = np.searchsorted(self.terms, self.term[self.starts[doc] : self.starts[doc + 1]])
+        row = self.row[at]
+        spans = [slice(self.lists[i], self.lists[i + 1]) for i in at[row < 0]]
+        score = self.dense[row[row >= 0]].sum(axis=0).astype(np.float64)
+        if spans:
+            score += np.bincount(
+                np.concatenate([self.posted[s] for s in spans]),
+                np.concatenate([self.impact[s] for s in spans]),
+                len(self.docs),
+            )
+        return score * self.unused
+
     def neighbours(self, doc: int) -> np.ndarray:
-        """Unused documents that share a heavy term with the seed, best first, ties by order."""
-        own = slice(self.starts[doc], self.starts[doc + 1])
-        weight, term = self.weight[own], self.term[own]
-        if len(term) > QUERY_TERMS:
-            heavy = np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]
-            term = term[heavy]
-        at = np.searchsorted(self.terms, term)
-        spans = [slice(self.lists[i], self.lists[i + 1]) for i in at]
-        score = np.bincount(
-            np.concatenate([self.posted[s] for s in spans]),
-            np.concatenate([self.impact[s] for s in spans]),
-            len(self.docs),
-        )
-        score *= self.unused
+        """Unused documents that share a term of weight with the seed, best first, ties by order."""
+        return np.fromiter(self.ranked(doc), np.int64)
+
+    def ranked(self, doc: int) -> Iterator[int]:
+        """The neighbours, sorted as far as they are asked for."""
+        score = self.scores(doc)
         found = np.nonzero(score)[0]
-        return found[np.argsort(-score[found], kind="stable")]
+        while len(found):
+            least = -np.partition(-score[found], SORTED - 1)[SORTED - 1] if len(found) > SORTED else 0.0
+            best = score[found] >= least
+            first = found[best]
+            yield from first[np.argsort(-score[first], kind="stable")].tolist()
+            found = found[~best]
 
     def take(self, doc: int) -> int:
         self.unused[doc] = False
@@ -175,7 +196,7 @@ class Shard:
         queue: Iterator[int] = iter(())
         while True:
             if doc is None:
-                doc = next((int(d) for d in queue if self.unused[d]), None) if filled else None
+                doc = next((d for d in queue if self.unused[d]), None) if filled else None
                 if doc is None:
                     doc = self.first_unused()
                 if doc is None:
@@ -189,7 +210,7 @@ class Shard:
             if filled == window:
                 sequence, filled = sequence + 1, 0
             elif opened and self.left:
-                queue = iter(self.neighbours(doc))
+                queue = self.ranked(doc)
             if start == self.sizes[doc]:
                 doc = None
         tail = []

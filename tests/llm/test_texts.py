@@ -105,6 +105,23 @@ def test_a_seed_gets_its_lexical_neighbour():
     assert order[:2] == [0, 2]
 
 
+def test_all_terms_of_a_seed_count():
+    rng = np.random.default_rng(3)
+    docs = [rng.choice(400, size=rng.integers(30, 120), p=np.arange(400, 0, -1) / 80200) for _ in range(300)]
+    idf = np.log1p(300 / (1 + np.arange(400)[::-1]))
+    mean = float(np.mean([len(d) for d in docs]))
+    shard = packing.Shard(docs, idf, mean)
+    for seed in (0, 7, 299):
+        want = np.zeros(300)
+        for i, d in enumerate(docs):
+            tf = np.bincount(d, minlength=400)
+            weight = idf * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / mean))
+            want[i] = weight[np.unique(docs[seed])].sum()
+        assert np.allclose(shard.scores(seed), want, rtol=1e-5)
+        order = shard.neighbours(seed)
+        assert len(order) == np.count_nonzero(want) and (np.diff(want[order]) <= 1e-4).all()
+
+
 def brute_scores(rows, share):
     def tokens(text):
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
