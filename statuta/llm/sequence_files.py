@@ -12,42 +12,50 @@ count. A task that is run again or twice leaves a file that nobody reads.
 
 from __future__ import annotations
 
-import functools
 import json
 import math
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statuta.llm.words import Memo, special_pattern
+from statuta.llm.words import Memo, byte_letters, special_pattern
 from statuta.session import cut_lineage, scratch
 
 LENGTH = 2048
 END = 1
-#: Sequences in a record batch, and identifiers in a file, about.
+#: Sequences in a record batch, and bytes of text that go into a file, about.
 SEQUENCES = 256
-FILE_IDS = 1 << 23
+FILE_BYTES = 32 << 20
 DOCUMENTS = 1 << 16
+#: Words whose ids are gathered at a time.
+GATHER = 1 << 19
 MANIFEST = "shard INT, path STRING, documents BIGINT, sequences BIGINT, n_ids BIGINT"
+#: Printable ASCII and the Latin letters up to U+017F, without the one whose lower case is two characters.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
+#: The vocabulary's split of lower-case text, for plain words: a fixed value.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w]|_)+")
 #: Characters that end a word for Python but perhaps not for the vocabulary's pattern.
-DOUBTFUL = re.compile("[\x1c-\x1f᠎]")
+DOUBTFUL = "[\x1c-\x1f\u180e]"
 
 
 class Encoder:
     """Identifiers by the `tokenizers` library, word by word.
 
     The vocabulary drops white space and never joins characters over it, so the ids of a word hold wherever
-    it stands; words met before come from a bounded store. Special strings are taken out of the text first,
-    as the library does.
+    it stands; words met before come from a bounded store. Words of plain Latin letters, digits and signs go
+    straight to the library's merges, all others through its whole chain. Special strings are taken out of
+    the text first, as the library does.
     """
 
     def __init__(self, path: str):
@@ -57,57 +65,63 @@ class Encoder:
         special = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.size = max(*told["model"]["vocab"].values(), *special.values()) + 1
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.form = "<%d" + ("H" if self.kind.itemsize == 2 else "I")
         self.special = special_pattern(tuple(special))
+        self.odd = "|".join([DOUBTFUL, *map(re.escape, special)])
         self.specials = {t: self.raw([i]) for t, i in special.items()}
-        self.known = Memo(self.whole)
+        self.letters = {b: letter for letter, b in byte_letters().items()}
+        self.known = Memo(self.word)
 
     def raw(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return struct.pack(self.form % len(ids), *ids)
 
     def whole(self, text: str) -> bytes:
         return self.raw(self.engine.encode(text, add_special_tokens=False).ids)
 
-    def plain(self, text: str) -> bytes:
-        if DOUBTFUL.search(text):
-            return self.whole(text)
-        return b"".join(map(self.known.__getitem__, text.split()))
+    def word(self, word: str) -> bytes:
+        """A word's ids. Plain letters are their own composed form and have one lower-case letter each."""
+        if not PLAIN.fullmatch(word):
+            return self.whole(word)
+        low, merged = word.lower(), self.engine.model.tokenize
+        if low.isascii():  # printable bytes stand for themselves in the vocabulary
+            pieces = [low] if low.isalpha() else PIECES.findall(low)
+        else:
+            pieces = [p.encode().decode("latin-1").translate(self.letters) for p in PIECES.findall(low)]
+        return self.raw([t.id for p in pieces for t in merged(p)])
 
     def encode(self, text: str) -> bytes:
-        if self.special is None or not self.special.search(text):
-            return self.plain(text)
+        """The ids of one text that holds special strings or doubtful characters."""
         found, at = [], 0
-        for m in self.special.finditer(text):
-            found += [self.plain(text[at : m.start()]), self.specials[m[0]]]
+        for m in self.special.finditer(text) if self.special else ():
+            found += [self.whole(text[at : m.start()]), self.specials[m[0]]]
             at = m.end()
-        return b"".join([*found, self.plain(text[at:])])
-
-
-@functools.lru_cache(maxsize=2)
-def kind_of(vocabulary: str) -> np.dtype:
-    return Encoder(vocabulary).kind
-
-
-def encoded(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, end: int) -> DataFrame:
-    """(doc_id, n, crc, ids BINARY): the identifiers of every row with `end` behind them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(vocabulary)
-        last = enc.raw([end])
-        for batch in batches:
-            ids = [enc.encode(t or "") + last for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(x) // enc.kind.itemsize for x in ids], pa.int64()),
-                    pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                    pa.array(ids, pa.binary()),
-                ],
-                names=["doc_id", "n", "crc", "ids"],
-            )
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n BIGINT, crc BIGINT, ids BINARY")
+        return b"".join([*found, self.whole(text[at:])])
+
+    def encode_all(self, texts: pa.Array, end: int) -> list[bytes]:
+        """The ids of every text with `end` behind them.
+
+        The distinct words of all texts are looked up once; the ids of the texts are gathered from theirs.
+        """
+        odd = pc.match_substring_regex(texts, self.odd)
+        words = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
+        places, listed = np.asarray(words.offsets), words.flatten().dictionary_encode()
+        places = places - places[0]
+        index, coded = listed.indices.to_numpy(), [self.known[w] for w in listed.dictionary.to_pylist()]
+        size = np.array([len(c) for c in coded], np.int64) // self.kind.itemsize
+        begin, ids = np.cumsum(size) - size, np.frombuffer(b"".join(coded), self.kind)
+        last, out, lo = self.raw([end]), [], 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(places, places[lo] + GATHER, "right")) - 1)
+            at = index[places[lo] : places[hi]]
+            n = size[at]
+            ends = np.cumsum(n)
+            flat = ids[np.repeat(begin[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+            cuts = np.r_[0, ends][places[lo : hi + 1] - places[lo]].tolist()
+            out += [flat[a:b].tobytes() + last for a, b in zip(cuts, cuts[1:])]
+            lo = hi
+        for i in np.nonzero(odd.to_numpy(zero_copy_only=False))[0].tolist():
+            out[i] = self.encode(texts[i].as_py()) + last
+        return out
 
 
 def _place(path: str) -> tuple[pa.fs.FileSystem, str]:
@@ -118,6 +132,7 @@ class Writer:
     """One file of sequences and the file of its documents, batch by batch."""
 
     def __init__(self, path: str, kind: np.dtype, id_type: pa.DataType, length: int, sequences: int):
+        self.path = path
         files, at = _place(path)
         files.create_dir(at.rsplit("/", 1)[0], recursive=True)
         self.kind, self.length, self.room = kind, length, length * sequences
@@ -227,40 +242,42 @@ def write_sequences(
     length: int = LENGTH,
     end: int = END,
     sequences: int = SEQUENCES,
-    file_ids: int = FILE_IDS,
+    file_bytes: int = FILE_BYTES,
 ) -> DataFrame:
     """Writes the ids of all documents by ascending id below `folder`; (shard, path, documents, sequences, n_ids).
 
     `path` is that of a file without its ending. Files follow one another by shard; each holds a range of
-    ids of about `file_ids` identifiers if documents are of like size. Ids are kept in two bytes where the
-    vocabulary allows it. A null or empty text is a document of one identifier, `end`; rows without an id come
-    first; rows of one id come by length and checksum, so rows that are alike stand in an order that does
-    not show. Rows that are alike are told apart by a number, so they are split over files like others. An
-    empty table writes nothing. Columns other than the two named ones are not read.
+    document ids, of about `file_bytes` bytes of text if texts are of like size. A null or empty text is a
+    document of one identifier, `end`; rows without an id come first; rows of one id stand in the order of a
+    hash of their text. Rows that are alike are told apart by their place in the input, so they are split
+    over files like others. Identifiers take two bytes where the vocabulary allows it. An empty table writes
+    nothing. Columns other than the two named ones are not read.
+
+    Texts are shuffled once, by id; a task encodes its range and writes it as it goes.
     """
-    rows = cut_lineage(
-        encoded(docs, vocabulary, id_col, text_col, end).withColumn("row", F.monotonically_increasing_id()), "ids"
-    )
-    kind, id_type = kind_of(vocabulary), rows.select("doc_id").limit(0).toArrow().schema.field(0).type
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    files = max(1, math.ceil(total / file_ids))
-    order = ["doc_id", "n", "crc", "row"]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    files = max(1, math.ceil(total / file_bytes))
+    rows = rows.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    order = ["doc_id", "hash", "row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId()
-        path, writer = f"{folder}/{shard:07d}-{uuid.uuid4().hex}", None
+        shard, enc, writer = TaskContext.get().partitionId(), Encoder(vocabulary), None
         for batch in batches:
             if batch.num_rows:
-                writer = writer or Writer(path, kind, id_type, length, sequences)
-                writer.add(batch.column(0), batch.column(1).to_pylist())
-        if writer:
-            writer.close()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([path]), *(pa.array([x], pa.int64()) for x in (writer.documents, writer.sequences, writer.n_ids))],
-                names=["shard", "path", "documents", "sequences", "n_ids"],
-            )
-
-    ranged = rows.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+                if writer is None:
+                    writer = Writer(f"{folder}/{shard:07d}-{uuid.uuid4().hex}", enc.kind, batch.column(0).type, length, sequences)
+                writer.add(batch.column(0), enc.encode_all(batch.column(1), end))
+        if writer is None:
+            return
+        writer.close()
+        told = (writer.documents, writer.sequences, writer.n_ids)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([shard], pa.int32()), pa.array([writer.path]), *(pa.array([x], pa.int64()) for x in told)],
+            names=["shard", "path", "documents", "sequences", "n_ids"],
+        )
+
+    ranged = rows.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "text")
     return cut_lineage(ranged.mapInArrow(run, MANIFEST), "manifest")
 
 

@@ -29,6 +29,8 @@ GUARDS = 4
 SPACE = 40
 INNER = 3
 ROUNDS = 500
+#: Partial sums that may reach the driver in one pass, a row of one block of products each.
+GATHERED = 256
 
 Product = Callable[[np.ndarray], np.ndarray]
 
@@ -180,11 +182,20 @@ def coded(vectors: DataFrame, scale: int, id_col: str, vec_col: str) -> tuple[Da
     return rows.where(F.size("vec") == size).mapInArrow(run, "id BIGINT, x BINARY"), size
 
 
+def _one_row(sums: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for found in sums:
+        total = found if total is None else total + found
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float64).tobytes()], pa.binary())], names=["v"])
+
+
 class Fit:
     """The distinct integer vectors, written once, and sums over all of them."""
 
     def __init__(self, rows: DataFrame, size: int):
         self.table, self.size = cut_lineage(rows.select("x").distinct(), "fit"), size
+        self.parts = self.table.rdd.getNumPartitions()
         self.n, self.sums = self.table.count(), self._exact_sums()
         self.mean = np.array([s / self.n if self.n else 0.0 for s in self.sums])
 
@@ -197,28 +208,31 @@ class Fit:
                 x = _decode(batch.column(0), size)
                 safe = len(x) * (int(np.abs(x).max(initial=0)) + 1) < 1 << 62
                 total = [a + int(b) for a, b in zip(total, (x if safe else x.astype(object)).sum(axis=0))]
-            yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(map(str, total), pa.string())], names=["j", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array([list(map(str, total))], pa.list_(pa.string()))], names=["s"])
 
-        found = self.table.mapInArrow(run, "j INT, s STRING").groupBy("j").agg(F.sum(F.col("s").cast("decimal(38,0)")).alias("s")).collect()
+        parts = self.table.mapInArrow(run, "s ARRAY<STRING>").select(F.posexplode("s").alias("j", "s"))
+        found = parts.groupBy("j").agg(F.sum(F.col("s").cast("decimal(38,0)")).alias("s")).collect()
         return [int(s) for _, s in sorted(map(tuple, found))] or [0] * size
 
     def summed(self, part: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
         """The sum of `part` over all vectors; it gets blocks of centred vectors and gives a flat array.
 
-        Each task adds up its blocks, Spark adds up the tasks: one number for each place reaches the driver.
+        A task sends the sum of its blocks as one row. While there are more rows than `GATHERED`, a further
+        step adds them up in groups; no more than that reach the driver.
         """
         size, mean = self.size, self.mean
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
-            for batch in batches:
-                found = part(_decode(batch.column(0), size) - mean)
-                total = found if total is None else total + found
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["j", "v"])
+            yield from _one_row(part(_decode(batch.column(0), size) - mean) for batch in batches)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from _one_row(np.frombuffer(raw) for batch in batches for raw in batch.column(0).to_pylist())
 
-        found = self.table.mapInArrow(run, "j INT, v DOUBLE").groupBy("j").agg(F.sum("v").alias("v")).collect()
-        return np.array([v for _, v in sorted(map(tuple, found))])
+        found, rows = self.table.mapInArrow(run, "v BINARY"), self.parts
+        while rows > GATHERED:
+            rows = -(-rows // GATHERED)
+            found = found.repartition(rows).mapInArrow(add, "v BINARY")
+        return sum(np.frombuffer(r["v"]) for r in found.collect())
 
     def product(self, block: np.ndarray) -> np.ndarray:
         """The covariance matrix times a block of vectors."""
@@ -259,7 +273,7 @@ def whiten(
     table of one distinct vector, like an empty one, gives no rows. Eigenvectors of equal eigenvalues are any
     basis of their space; signs are the iteration's, the same for all rows. Other columns are not read.
 
-    Each pass reads the written table of distinct vectors and sends one number for each entry of the product.
+    Each pass reads the written table of distinct vectors; a task sends one row, its part of the product.
     """
     spark = vectors.sparkSession
     rows, size = coded(vectors, scale, id_col, vec_col)

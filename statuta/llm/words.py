@@ -14,7 +14,9 @@ from collections.abc import Callable
 # white space as the tokeniser's pattern engine sees it (Unicode White_Space); Python's \s has four more
 BLANK = "\t-\r \x85\xa0  -     　"
 PIECE = re.compile(f" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
-KEEP = 200_000
+#: Bytes of a store, and what an entry takes beside the letters of its key: the objects and their slot.
+ROOM = 128 << 20
+ENTRY = 200
 KEEP_CHARS = 48
 
 
@@ -23,20 +25,35 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 class Memo(dict):
-    """Results by piece, computed when first met; long pieces are not kept, and a full store starts anew."""
+    """Results by piece, computed when first met; long pieces are not kept.
 
-    def __init__(self, compute: Callable, keep: int = KEEP, chars: int = KEEP_CHARS):
+    The store is bounded by bytes. When half of them are used, what is kept becomes the older half, which is
+    looked up once more before it goes; so pieces that come often stay.
+    """
+
+    def __init__(self, compute: Callable, room: int = ROOM, chars: int = KEEP_CHARS, entry: int = ENTRY):
         super().__init__()
-        self.compute, self.keep, self.chars = compute, keep, chars
+        self.compute, self.half, self.chars, self.entry = compute, room // 2, chars, entry
+        self.older: dict = {}
+        self.used = 0
 
     def __missing__(self, piece):
-        found = self.compute(piece)
+        found = self.older.get(piece)
+        if found is None:
+            found = self.compute(piece)
         if len(piece) <= self.chars:
-            if len(self) >= self.keep:
+            self.used += self.entry + len(piece)
+            if self.used > self.half:
+                self.older, self.used = dict(self), 0
                 self.clear()
             self[piece] = found
         return found
 
+    def free(self) -> None:
+        """Gives the memory back, as a worker outlives its tasks."""
+        self.clear()
+        self.older, self.used = {}, 0
+
 
 def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in the vocabulary file: printable bytes for themselves, the
