@@ -112,7 +112,9 @@ def train(
     lost: float = 0.001,
     seed: int = 7,
 ) -> Model | None:
-    """A model from at most about `sample` labelled rows (chosen by a hash of the id); None without any.
+    """A model from at most about `sample` labelled rows (chosen by a hash of id and text); None without any.
+
+    Rows alike in id and text are drawn together; however many they are, four times `sample` rows are taken.
 
     A fifth of the sample is held back: its likelihood sets the temperature, and the threshold is the score
     below which at most `lost` of its rightly named texts lie, never above one half.
@@ -123,9 +125,9 @@ def train(
     n = rows.select("lang").count()
     if not n:
         return None
-    draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(seed)), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64(F.col("id").cast("string"), "text", F.lit(seed)), F.lit(1 << 30))
     share = min(1.0, sample / n)
-    drawn = rows.where(draw < F.lit(int(share * (1 << 30)))) if share < 1 else rows
+    drawn = rows.where(draw < F.lit(int(share * (1 << 30)))).limit(4 * sample) if share < 1 else rows
     found = drawn.select(F.col("id").cast("string"), "lang", "text").mapInArrow(
         _features, "id STRING, lang STRING, places ARRAY<INT>, shares ARRAY<FLOAT>"
     )

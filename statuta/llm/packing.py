@@ -12,16 +12,18 @@ from __future__ import annotations
 import functools
 import json
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.words import PATTERN, PIECE, Memo, byte_letters, special_pattern
+from statuta.llm.words import BLANK, PATTERN, PIECE, Memo, byte_letters, distinct_words, gathered, special_pattern, stretches
 from statuta.session import cut_lineage
 
 WINDOW = 2048
@@ -32,6 +34,10 @@ K1, B = 1.2, 0.75
 DENSE = 8
 #: Neighbours that are sorted at a time.
 SORTED = 64
+#: Words whose ids are gathered at a time, and the bytes of the store of pieces.
+GATHER = 1 << 19
+ROOM = 80 << 20
+SPACE = re.compile(f"(?!^)[{BLANK}]")
 
 
 class Encoder:
@@ -54,12 +60,17 @@ class Encoder:
         self.size = max(*ranks.values(), *special.values()) + 1
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.special = special_pattern(tuple(special))
+        self.odd = "|".join([f" [{BLANK}]", " $", *map(re.escape, special)])
         self.specials = {t: self.kind.type(i).tobytes() for t, i in special.items()}
-        self.known = Memo(lambda piece: np.array(engine.encode_ordinary(piece), self.kind).tobytes())
+        self.known = Memo(lambda piece: np.array(engine.encode_ordinary(piece), self.kind).tobytes(), ROOM)
 
     def plain(self, text: str) -> bytes:
         return b"".join(map(self.known.__getitem__, PIECE.findall(text)))
 
+    def parted(self, word: str) -> bytes:
+        """The ids of what stands between two blanks, with the blank before it."""
+        return self.plain(word) if SPACE.search(word) else self.known[word]
+
     def encode(self, text: str) -> bytes:
         """The identifiers of a text, little-endian, in the smallest kind that holds the vocabulary."""
         if self.special is None or not self.special.search(text):
@@ -70,6 +81,31 @@ class Encoder:
             at = m.end()
         return b"".join([*found, self.plain(text[at:])])
 
+    def encode_all(self, texts: pa.Array, last: bytes) -> list[bytes]:
+        """The ids of every text with `last` behind them.
+
+        A blank goes with what follows it, unless white space follows. Texts without such a place are cut at
+        the blanks, and what stands between them is looked up once for all texts.
+        """
+        odd = pc.match_substring_regex(texts, self.odd)
+        words, index, places = distinct_words(pc.if_else(odd, "", texts), " ")
+        coded = [self.parted(" " + w) for w in words]
+        first = places[:-1]  # the word a text begins with has no blank before it
+        opening, at = np.unique(index[first], return_inverse=True)
+        index = index.astype(np.int64)
+        index[first] = len(coded) + at
+        coded += [self.plain(words[i]) for i in opening.tolist()]
+        size = np.array([len(c) for c in coded], np.int64) // self.kind.itemsize
+        begin, ids, out = np.cumsum(size) - size, np.frombuffer(b"".join(coded), self.kind), []
+        for lo, hi in stretches(places, GATHER):
+            at = index[places[lo] : places[hi]]
+            flat = ids[gathered(begin[at], size[at])]
+            cuts = np.r_[0, np.cumsum(size[at])][places[lo : hi + 1] - places[lo]].tolist()
+            out += [flat[a:b].tobytes() + last for a, b in zip(cuts, cuts[1:])]
+        for i in np.nonzero(odd.to_numpy(zero_copy_only=False))[0].tolist():
+            out[i] = self.encode(texts[i].as_py()) + last
+        return out
+
 
 def _pair(merge: str | list[str]) -> list[str]:
     return merge.split(" ") if isinstance(merge, str) else merge
@@ -89,8 +125,9 @@ def encoded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, row = encoder(vocabulary), 0
         last = enc.kind.type(end).tobytes()
+        enc.known.free()  # a worker outlives its tasks, and the encoder is kept for their next
         for batch in batches:
-            ids = [enc.encode(t or "") + last for t in batch.column(1).to_pylist()]
+            ids = enc.encode_all(batch.column(1), last)
             sizes = [len(x) // enc.kind.itemsize for x in ids]
             spread = [zlib.crc32(x[:4096], row + i) for i, x in enumerate(ids)]
             row += len(ids)
@@ -99,7 +136,7 @@ def encoded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
                 names=["doc_id", "ids", "n", "spread"],
             )
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, ids BINARY, n INT, spread BIGINT")
 

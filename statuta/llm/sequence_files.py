@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statuta.llm.words import Memo, byte_letters, special_pattern
+from statuta.llm.words import Memo, byte_letters, distinct_words, gathered, special_pattern, stretches
 from statuta.session import cut_lineage, scratch
 
 LENGTH = 2048
@@ -103,22 +103,16 @@ class Encoder:
         The distinct words of all texts are looked up once; the ids of the texts are gathered from theirs.
         """
         odd = pc.match_substring_regex(texts, self.odd)
-        words = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
-        places, listed = np.asarray(words.offsets), words.flatten().dictionary_encode()
-        places = places - places[0]
-        index, coded = listed.indices.to_numpy(), [self.known[w] for w in listed.dictionary.to_pylist()]
+        words, index, places = distinct_words(pc.if_else(odd, "", texts))
+        coded = [self.known[w] for w in words]
         size = np.array([len(c) for c in coded], np.int64) // self.kind.itemsize
         begin, ids = np.cumsum(size) - size, np.frombuffer(b"".join(coded), self.kind)
-        last, out, lo = self.raw([end]), [], 0
-        while lo < len(texts):
-            hi = max(lo + 1, int(np.searchsorted(places, places[lo] + GATHER, "right")) - 1)
+        last, out = self.raw([end]), []
+        for lo, hi in stretches(places, GATHER):
             at = index[places[lo] : places[hi]]
-            n = size[at]
-            ends = np.cumsum(n)
-            flat = ids[np.repeat(begin[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
-            cuts = np.r_[0, ends][places[lo : hi + 1] - places[lo]].tolist()
+            flat = ids[gathered(begin[at], size[at])]
+            cuts = np.r_[0, np.cumsum(size[at])][places[lo : hi + 1] - places[lo]].tolist()
             out += [flat[a:b].tobytes() + last for a, b in zip(cuts, cuts[1:])]
-            lo = hi
         for i in np.nonzero(odd.to_numpy(zero_copy_only=False))[0].tolist():
             out[i] = self.encode(texts[i].as_py()) + last
         return out

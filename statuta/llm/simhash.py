@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = pa.array([fingerprint(t.as_py()) for t in batch.column(1)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), found], names=[id_col, "fp"])
 
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_words"))
     return rows.mapInArrow(hashed, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, fp BIGINT")
 
 
@@ -205,9 +205,17 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest id of their group, one row each; rows without an id stay."""
-    classes = near_duplicates(docs.where("doc_id IS NOT NULL"))
-    kept = classes.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(
-        docs.where("doc_id IS NULL")
+    """One row of each group of near copies, with all its columns: of the smallest id, and of its texts one.
+
+    A row is told by id and text, so rows of one id whose texts are unlike are groups of their own and all
+    stay. Rows without an id are grouped like others and stay only where no row of their group has one. Of
+    rows alike in id and text any one stays. An empty table gives an empty result.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = F.struct(
+        F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(text).alias("text")
     )
+    kept = near_duplicates(docs.select(key.alias("_key"), text.alias("_text")), "_key", "_text")
+    kept = kept.where("_key = component_id").select("_key").distinct()
+    rows = docs.select(key.alias("_key"), F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
+    return rows.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")

@@ -11,6 +11,10 @@ import functools
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 # white space as the tokeniser's pattern engine sees it (Unicode White_Space); Python's \s has four more
 BLANK = "\t-\r \x85\xa0  -     　"
 PIECE = re.compile(f" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
@@ -68,3 +72,30 @@ def special_pattern(specials: tuple[str, ...]) -> re.Pattern | None:
     if not specials:
         return None
     return re.compile("|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True)))
+
+
+def distinct_words(texts: pa.Array, blank: str | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(words, index, places): the distinct words of a batch of texts, the words of all texts one after another
+    as numbers of these, and where each text's begin (one place more than texts).
+
+    Words are parted by white space, or by `blank` alone; where that stands at an end or twice, there are
+    empty words.
+    """
+    listed = pc.utf8_split_whitespace(texts) if blank is None else pc.split_pattern(texts, blank)
+    places, words = np.asarray(listed.offsets), listed.flatten().dictionary_encode()
+    return words.dictionary.to_pylist(), words.indices.to_numpy(), places - places[0]
+
+
+def stretches(places: np.ndarray, room: int):
+    """(lo, hi) of runs of texts of about `room` words, one text at least."""
+    lo, n = 0, len(places) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(places, places[lo] + room, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
+def gathered(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of the items of several lists in the flat array that holds them: list i has `size[i]` from `begin[i]` on."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)

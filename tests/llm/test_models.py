@@ -4,6 +4,7 @@ import html
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ def test_domains_and_targets(spark, documents):
     assert len(rows) == documents.count()
     p, t, r = np.array([x["posterior"] for x in rows]), np.array([x["n_tokens"] for x in rows]), np.array([x["rate"] for x in rows])
     assert (r >= 0).all() and np.allclose(p.sum(axis=1), 1)
-    assert np.abs((r * t) @ p / t.sum() - [0.9, 0.1, 0.0]).max() < 0.05
+    assert np.abs((r * t) @ p / t.sum() - [0.9, 0.1, 0.0]).max() < 0.01
     told = {x["doc_id"]: x["domain"] for x in labels.select("doc_id", M.quality_domain().alias("domain")).collect()}
     seen = [(told[x["doc_id"]], x["domain"]) for x in rows if told.get(x["doc_id"])]
     assert np.mean([a == b for a, b in seen]) > 0.85
@@ -89,6 +90,39 @@ def test_rates_are_the_least_squares_solution():
     assert cost(fast) <= cost(slow) + 1e-7 and np.abs(fast @ a - slow @ a).max() < 1e-3
 
 
+def test_fit_solves_its_weighted_problem(spark):
+    """`fit` itself, over a table, against a long plain projected gradient on the weighted squares."""
+    r = np.random.default_rng(1)
+    p, t = r.dirichlet([0.2, 0.3, 0.1], 400), r.integers(1, 300, 400).astype(float)
+    total, w = t.sum(), np.array([0.7, 0.3, 0.0])
+    a = p * t[:, None] / total
+    s = a.sum(axis=0)
+    table = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(t, p)], "n_tokens long, posterior array<double>")
+    fast = M.rates_of(p, M.fit(table, w, s, total), M.RIDGE)[0]
+    slow = np.ones(400)
+    for _ in range(100_000):
+        slow = np.maximum(0, slow - 0.9 * (p @ ((slow @ a - w) / s) + M.RIDGE * (slow - 1)))
+    cost = lambda x: 0.5 * ((x @ a - w) ** 2 / s).sum() + M.RIDGE / 2 * (t / total * (x - 1) ** 2).sum()
+    assert cost(fast) <= cost(slow) * 1.01 + 1e-7 and np.abs(fast @ a - slow @ a).max() < 3e-3
+
+
+def test_a_batch_is_judged_as_its_texts_one_by_one(spark):
+    r = random.Random(6)
+    some = "calm Garden window idiot 2024 re-do l'eau 蠢货 ÄÖ x  \t\n .. ŁÓDŹ".split(" ")
+    texts = [" ".join(r.choices(some, k=r.randrange(0, 60))) for _ in range(600)] + ["", "  ", "a a a"]
+    model = M.train(spark.createDataFrame([(x, "toxic" if "idiot" in x else "high") for x in texts], "text string, domain string"))
+    n, p = model.judge(pa.array(["z", *texts]).slice(1), model.store())
+    assert n.tolist() == [len(x.split()) for x in texts]
+    assert np.allclose(p, model.posteriors([model.row(*M.text_features(x, M.Memo(M.word_features))) for x in texts]), atol=1e-12)
+
+
+def test_a_document_of_two_labels_is_learnt_as_both(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    found = sorted((r["text"], r["domain"]) for r in M.labelled_sample(docs, labels, M.quality_domain()).collect())
+    assert found == [("a b", "high"), ("a b", "low"), ("c d", "toxic")]
+
+
 def test_mixing_of_odd_rows(spark, odd, empty, documents):
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
     none = M.mixed(odd, labels.limit(0), M.quality_domain(), None).collect()
@@ -124,7 +158,8 @@ def test_the_shape_is_that_of_the_whole_word():
 def test_copies_have_the_rate_as_mean(spark):
     rows = spark.range(4000).select(M.copies(F.lit(1.5), F.col("id").cast("string")).alias("c"), M.copies(F.lit(0.97), F.col("id").cast("string")).alias("d"))
     mean, least, most = rows.agg(F.avg("c"), F.min("d"), F.max("d")).first()
-    assert abs(mean - 1.5) < 0.05 and least == most == 1
+    assert abs(mean - 1.5) < 0.05 and (least, most) == (0, 1)
+    assert abs(rows.agg(F.avg("d")).first()[0] - 0.97) < 0.01
 
 
 PAGES = {

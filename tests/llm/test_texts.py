@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -33,6 +34,8 @@ def test_counts_and_ids_equal_the_library():
         ids = lib.encode(text, add_special_tokens=False).ids
         assert counter.count(text) == len(ids), repr(text)
         assert np.frombuffer(encoder.encode(text), encoder.kind).tolist() == ids, repr(text)
+        found = encoder.encode_all(pa.array(["q", text, "q r"]).slice(1), b"")[0]
+        assert np.frombuffer(found, encoder.kind).tolist() == ids, repr(text)
 
 
 def test_a_full_store_of_pieces_starts_anew():
