@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,35 +15,43 @@ from statuta import constants as K
 from statuta.functions.text import settled
 from statuta.functions.tokens import words
 from statuta.operators.scale import fits, salted_join
+from statuta.session import cut_lineage
 
 SCORE_DIGITS = 9
 
 
+#: Distinct words of all queries up to which they are picked out in the row, as a list in the plan.
+ASKED = 5_000
+
+
 @dataclass(frozen=True)
 class TextStatistics:
     """Words per unit where they are read, or the counts of a stored index, and the corpus totals."""
 
-    tokens: DataFrame | None  # unit_key, words
+    tokens: DataFrame | None  # unit_key, len, words
     totals: DataFrame  # one row: units, words, avg_len
     stored: DataFrame | None = None  # unit_key, word, tf, len
+    only_asked: bool = False  # the words of the queries alone stand in the rows
 
     def term_frequency(self) -> DataFrame:
         """(unit_key, word, tf, len)."""
-        return self._counted(self._exploded()) if self.stored is None else self.stored
+        return counted(self.tokens) if self.stored is None else self.stored
 
     def term_frequency_of(self, asked: DataFrame, small: bool) -> DataFrame:
         """Term counts of the asked words only; other words never leave the row they stand in."""
+        if self.only_asked:
+            return self.term_frequency()
         rows = self._exploded() if self.stored is None else self.stored
         if small:
             rows = rows.join(F.broadcast(asked), "word", "left_semi")
         else:
             rows = salted_join(rows, asked, ["word"])
-        return self._counted(rows) if self.stored is None else rows
+        return self._grouped(rows) if self.stored is None else rows
 
     def _exploded(self) -> DataFrame:
-        return self.tokens.select("unit_key", F.size("words").alias("len"), F.explode("words").alias("word"))
+        return self.tokens.select("unit_key", "len", F.explode("words").alias("word"))
 
-    def _counted(self, rows: DataFrame) -> DataFrame:
+    def _grouped(self, rows: DataFrame) -> DataFrame:
         return rows.groupBy("unit_key", "word").agg(F.count(F.lit(1)).alias("tf"), F.max("len").alias("len"))
 
     def document_frequency(self) -> DataFrame:
@@ -53,16 +64,66 @@ class TextStatistics:
             .agg(F.count(F.lit(1)).alias("df"))
         )
 
+    def weights(self) -> DataFrame:
+        """(unit_key, token, weight): a word's share of its unit."""
+        return self.term_frequency().select("unit_key", F.col("word").alias("token"), (F.col("tf") / F.col("len")).alias("weight"))
+
+
+def counted(tokens: DataFrame) -> DataFrame:
+    """(unit_key, word, tf, len) of rows (unit_key, len, words), counted where they stand; no exchange.
+
+    The words of an Arrow batch become numbers once; a sort of (row, number) counts them.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            listed = lists.flatten().dictionary_encode()
+            sizes = np.diff(np.asarray(lists.offsets))
+            if lists.null_count:
+                sizes = sizes * lists.is_valid().to_numpy(zero_copy_only=False)
+            n = max(1, len(listed.dictionary))
+            seen = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes) * n + listed.indices.to_numpy()
+            seen, tf = np.unique(seen, return_counts=True)
+            row = pa.array(seen // n)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(row), listed.dictionary.take(pa.array(seen % n)), pa.array(tf.astype(np.int64)), batch.column(1).take(row)],
+                names=["unit_key", "word", "tf", "len"],
+            )
+
+    kind = tokens.schema["unit_key"].dataType.simpleString()
+    return tokens.select("unit_key", "len", "words").mapInArrow(count, f"unit_key {kind}, word STRING, tf BIGINT, len INT")
+
+
+def _totals(tokens: DataFrame) -> DataFrame:
+    return tokens.agg(F.count(F.lit(1)).alias("units"), F.sum("len").alias("words"), F.avg("len").alias("avg_len"))
+
 
 def text_statistics(units: DataFrame, key: str = "unit_key", text: str = "text") -> TextStatistics:
     # settled: an explode would else copy the tokeniser into a filter above the scan
     tokens = units.select(F.col(key).alias("unit_key"), settled(words(F.col(text))).alias("words"))
-    totals = tokens.agg(
-        F.count(F.lit(1)).alias("units"),
-        F.sum(F.size("words")).alias("words"),
-        F.avg(F.size("words")).alias("avg_len"),
-    )
-    return TextStatistics(tokens, totals)
+    tokens = tokens.select("unit_key", F.size("words").alias("len"), "words")
+    return TextStatistics(tokens, _totals(tokens))
+
+
+def asked_words(queries: DataFrame) -> list[str] | None:
+    """The distinct words of all queries; None where there are more than `ASKED`."""
+    found = query_words(queries).select("word").distinct().limit(ASKED + 1).collect()
+    return None if len(found) > ASKED else sorted(r["word"] for r in found)
+
+
+def asked_statistics(units: DataFrame, queries: DataFrame, text: str = "text") -> TextStatistics:
+    """What a batch of queries needs to know of the units, from one pass over their texts.
+
+    While the queries' words fit into the plan, no other word leaves its row; the rows are written once, and
+    counts, frequencies and totals are read from there.
+    """
+    asked = asked_words(queries)
+    tokens = text_statistics(units, text=text).tokens
+    if asked is not None:
+        tokens = tokens.select("unit_key", "len", F.filter("words", lambda w: w.isin(asked)).alias("words"))
+    tokens = cut_lineage(tokens, "words")
+    return TextStatistics(tokens, _totals(tokens), only_asked=asked is not None)
 
 
 def term_weight(n: Column, df: Column) -> Column:
@@ -119,4 +180,4 @@ def top_per_query(scores: DataFrame, k: int = K.PER_WAY) -> DataFrame:
 
 
 def bm25_search(units: DataFrame, queries: DataFrame, k: int = K.PER_WAY) -> DataFrame:
-    return top_per_query(bm25_scores(text_statistics(units), queries), k)
+    return top_per_query(bm25_scores(asked_statistics(units, queries), queries), k)

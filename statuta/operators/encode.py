@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statuta import constants as K
-from statuta.functions.vectors import hash_buckets
+from statuta.functions.vectors import blank_words, hash_buckets
+
+#: Words whose buckets a task keeps.
+KNOWN = 400_000
 
 
 @dataclass(frozen=True)
@@ -48,26 +53,31 @@ def hashing_encode(df: DataFrame, key: str, text: str, buckets: int = K.HASH_BUC
 def hashing_dense(df: DataFrame, key: str, text: str, buckets: int = K.HASH_BUCKETS) -> DataFrame:
     """(key, embedding): the same vectors as dense arrays; texts without words give zeros.
 
-    Counting happens in Arrow batches: bucket numbers are computed natively, numpy only adds up.
+    Words are cut natively; in Arrow batches each distinct word is hashed once, and one count fills all rows.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
         for batch in batches:
-            lengths = batch["_b"].map(len).to_numpy()
-            rows = np.repeat(np.arange(len(batch)), lengths)
-            flat = (
-                np.concatenate([np.asarray(b, dtype=np.int64) for b in batch["_b"]])
-                if lengths.sum()
-                else np.zeros(0, dtype=np.int64)
-            )
-            dense = np.zeros((len(batch), buckets))
-            np.add.at(dense, (rows, flat), 1.0)
-            yield pd.DataFrame({key: batch[key], "embedding": list(unit_rows(dense))})
+            lists = batch.column(1)
+            listed = lists.flatten().dictionary_encode()
+            if len(known) > KNOWN:
+                known.clear()
+            at = np.array([known[w] if w in known else known.setdefault(w, _bucket(w, buckets)) for w in listed.dictionary.to_pylist()], np.int64)
+            sizes = np.diff(np.asarray(lists.offsets)) * lists.is_valid().to_numpy(zero_copy_only=False)
+            place = np.repeat(np.arange(len(sizes)) * buckets, sizes) + (at[listed.indices.to_numpy()] if len(at) else 0)
+            dense = np.bincount(place.astype(np.int64), minlength=len(sizes) * buckets).reshape(-1, buckets).astype(np.float64)
+            ends = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * buckets)
+            rows = pa.ListArray.from_arrays(ends, pa.array(unit_rows(dense).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), rows], names=[key, "embedding"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, hash_buckets(F.col(text), buckets).alias("_b")).mapInPandas(
-        count, f"{key} {kind}, embedding array<double>"
-    )
+    return df.select(key, blank_words(F.col(text)).alias("_w")).mapInArrow(count, f"{key} {kind}, embedding array<double>")
+
+
+def _bucket(word: str, buckets: int) -> int:
+    """As `bucket` of the search words: the first 32 bits of the word's MD5."""
+    return int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big") % buckets
 
 
 def unit_rows(rows: np.ndarray) -> np.ndarray:

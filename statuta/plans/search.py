@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 
 from statuta import constants as K
 from statuta.functions.citations import label
-from statuta.functions.text import excerpt, search_text
+from statuta.functions.text import excerpt, search_text, settled
 from statuta.functions.tokens import words
-from statuta.operators.bm25 import TextStatistics, bm25_scores, text_statistics, top_per_query
+from statuta.operators.bm25 import TextStatistics, asked_statistics, asked_words, bm25_scores, top_per_query
 from statuta.operators.dense import dense_search
 from statuta.operators.encode import hashing_dense
 from statuta.operators.fusion import candidate_cut, cap_cases, citation_search, fuse, union_ways
 from statuta.operators.rescore import rescore
 from statuta.operators.scale import lookup_join
 from statuta.operators.sparse import sparse_search
+from statuta.session import cut_lineage
 
 
 def searchable(units: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def ranked_ways(
     statistics: TextStatistics | None = None,
 ) -> dict[str, DataFrame]:
     """The ranked lists that can be computed from what is given; words are those of the searched text."""
-    statistics = statistics or text_statistics(searchable(units))
+    statistics = statistics or asked_statistics(searchable(units), queries)
     ways = {
         "fundstelle": citation_search(units, queries),
         "stichwort": top_per_query(bm25_scores(statistics, queries)),
@@ -92,13 +93,26 @@ def hybrid_search(
 
 
 def indexed(index, queries: DataFrame) -> dict:
-    """What a search reads of a stored index, for `hybrid_search`."""
+    """What a search reads of a stored index, for `hybrid_search`: the blocks of the asked words alone."""
+    stored = index.postings(asked_words(queries))
+    statistics = TextStatistics(None, index.totals, stored)
     return {
-        "statistics": TextStatistics(None, index.totals, index.tf),
+        "statistics": statistics,
         "unit_vectors": index.vectors.select("unit_key", "embedding"),
-        "unit_weights": index.tf.select(
-            "unit_key", F.col("word").alias("token"), (F.col("tf") / F.col("len")).alias("weight")
-        ),
+        "unit_weights": statistics.weights(),
+        "query_weights": word_weights(queries),
+    }
+
+
+def from_texts(units: DataFrame, queries: DataFrame) -> dict:
+    """The same from the texts themselves, which are composed and cut into words once and written."""
+    texts = cut_lineage(searchable(units).select("unit_key", settled(F.col("text")).alias("text")), "texts")
+    statistics = asked_statistics(texts, queries)
+    return {
+        "statistics": statistics,
+        "unit_vectors": hashing_dense(texts, "unit_key", "text"),
+        "query_vectors": hashing_dense(queries, "query_id", "text"),
+        "unit_weights": statistics.weights(),
         "query_weights": word_weights(queries),
     }
 

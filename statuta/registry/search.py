@@ -139,16 +139,7 @@ capped AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY late, ran
 def _ways(spark, sf):
     """All four ranked lists over the stand-in corpus."""
     u, q = units(spark, sf), questions(spark, sf)
-    stats = bm25.text_statistics(plan.searchable(u))
-    tf = stats.term_frequency()
-    unit_weights = tf.select("unit_key", F.col("word").alias("token"), (F.col("tf") / F.col("len")).alias("weight"))
-    query_weights = plan.word_weights(q)
-    return u, q, {
-        "unit_vectors": encode.hashing_dense(plan.searchable(u), "unit_key", "text"),
-        "query_vectors": encode.hashing_dense(q, "query_id", "text"),
-        "unit_weights": unit_weights,
-        "query_weights": query_weights,
-    }
+    return u, q, plan.from_texts(u, q)
 
 
 def _fused(spark, sf):

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.operators.bm25 import TextStatistics, text_statistics
+from statuta.functions.text import settled
+from statuta.operators.bm25 import TextStatistics, _totals, counted, saturation, text_statistics
 from statuta.operators.encode import Encoder, encode, hashing_dense
 from statuta.plans.search import searchable
+from statuta.session import cut_lineage, scratch
 
 
 def content_hash(text: str = "text"):
@@ -46,21 +49,76 @@ def key_differences(stored: DataFrame, live: DataFrame) -> DataFrame:
     )
 
 
+#: Postings in a part, about; a part is one folder and one file, ordered by word and unit.
+PART = 2_000_000
+#: Parts up to which they are named in the plan; beyond, the order of the words alone prunes.
+PARTS = 10_000
+
+
 @dataclass(frozen=True)
 class Index:
     vectors: DataFrame
-    tf: DataFrame
-    df: DataFrame
+    tf: DataFrame  # part, word, unit_key, tf, len: by part, ordered by word and unit
+    blocks: DataFrame  # word, part, n, first_unit, last_unit, impact: one row a word and part
     totals: DataFrame
     manifest: DataFrame
 
+    def postings(self, asked: list[str] | None) -> DataFrame:
+        """(unit_key, word, tf, len) of the asked words, read from the parts that hold them; all without a list.
+
+        The blocks name the parts, so other files are not opened; inside a part the words are ordered, so
+        only the row groups whose range meets an asked word are decoded.
+        """
+        if asked is None:
+            return self.tf.drop("part")
+        wanted = F.col("word").isin(asked)
+        parts = self.blocks.where(wanted).select("part").distinct().limit(PARTS + 1).collect()
+        rows = self.tf.where(wanted)
+        if len(parts) <= PARTS:
+            rows = rows.where(F.col("part").isin([r["part"] for r in parts]))
+        return rows.drop("part")
+
+    @property
+    def df(self) -> DataFrame:
+        """(word, df), from the blocks alone."""
+        return self.blocks.groupBy("word").agg(F.sum("n").alias("df"))
+
 
-def build_index(spark: SparkSession, units: DataFrame, path: str, encoder: Encoder | None = None) -> None:
+def write_postings(spark: SparkSession, units: DataFrame, path: str, part: int = PART) -> None:
+    """Postings ordered by word, the blocks of every word, and the totals, from one pass over the texts.
+
+    A word that many units hold goes on through several parts, split by unit; a block tells its first and
+    last unit, its postings and the most that one of them can add to a score.
+    """
+    stats = text_statistics(units)
+    lengths = scratch(spark, "lengths")
+    stats.tokens.select("unit_key", "len", "words").write.parquet(lengths)
+    tokens = spark.read.parquet(lengths)
+    totals = TextStatistics(tokens, _totals(tokens)).totals
+    totals.write.mode("overwrite").parquet(f"{path}/totals")
+    row = spark.read.parquet(f"{path}/totals").first()
+    parts = max(1, math.ceil((row["words"] or 0) / part))
+    ordered = counted(tokens).repartitionByRange(parts, "word", "unit_key").sortWithinPartitions("word", "unit_key")
+    ordered.withColumn("part", F.spark_partition_id()).write.mode("overwrite").partitionBy("part").parquet(f"{path}/tf")
+    impact = saturation(F.col("tf"), F.col("len"), F.lit(row["avg_len"] or 1.0))
+    blocks = (
+        spark.read.parquet(f"{path}/tf").groupBy("word", "part")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min("unit_key").alias("first_unit"),
+            F.max("unit_key").alias("last_unit"),
+            F.max(impact).alias("impact"),
+        )
+    )
+    blocks.repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{path}/blocks")
+
+
+def build_index(spark: SparkSession, units: DataFrame, path: str, encoder: Encoder | None = None, part: int = PART) -> None:
     """Compute what is missing and write all tables, over the searched text (citation, title, chapter, text).
 
     Vectors are appended, so a run that was cut short continues where it stopped; term statistics are
     rewritten from the texts."""
-    units = searchable(units)
+    units = cut_lineage(searchable(units).select("unit_key", settled(F.col("text")).alias("text")), "texts")
     model = encoder.name if encoder else "hashing-256"
     size = encoder.dimensions if encoder else 256
     target = f"{path}/vectors"
@@ -72,12 +130,7 @@ def build_index(spark: SparkSession, units: DataFrame, path: str, encoder: Encod
         encode(todo, "unit_key", "text", encoder) if encoder else hashing_dense(todo, "unit_key", "text")
     )
     todo.select("unit_key", "content", "model").join(coded, "unit_key").write.mode("append").parquet(target)
-    stats = text_statistics(units)
-    stats.term_frequency().write.mode("overwrite").parquet(f"{path}/tf")
-    TextStatistics(None, stats.totals, spark.read.parquet(f"{path}/tf")).document_frequency().write.mode(
-        "overwrite"
-    ).parquet(f"{path}/df")
-    stats.totals.write.mode("overwrite").parquet(f"{path}/totals")
+    write_postings(spark, units, path, part)
     manifest(units, model, size).write.mode("overwrite").parquet(f"{path}/manifest")
 
 
@@ -97,7 +150,7 @@ def load_index(spark: SparkSession, path: str, units: DataFrame, model: str) ->
     return Index(
         vectors.join(current, ["unit_key", "content"], "left_semi"),
         spark.read.parquet(f"{path}/tf"),
-        spark.read.parquet(f"{path}/df"),
+        spark.read.parquet(f"{path}/blocks"),
         spark.read.parquet(f"{path}/totals"),
         stored,
     )
