@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ from statuta.operators.bm25 import SCORE_DIGITS, top_per_query
 
 QUERY_BLOCK = 1_024
 UNIT_BLOCK = 8_192
+#: Blocks of units a slot holds, about.
+SLOT_BLOCKS = 4
 
 
 def dense_search(
@@ -26,62 +29,72 @@ def dense_search(
 ) -> DataFrame:
     """Top-k units per query by dot product (cosine, as vectors are normalised).
 
-    Vectors travel in blocks: units are read once and dealt to slots, and each slot gets a copy of every
-    block of queries. A task multiplies two blocks at a time and carries the k best of a block of queries
-    from unit block to unit block, so it hands on k rows a query. Neither side passes through the driver.
+    Vectors travel in blocks, each once: a block of units goes to a slot, of which there are as many as the
+    units fill, and every slot gets a copy of each block of queries. In a slot the units come first and stay,
+    then the blocks of queries pass by; pairs of blocks are never rows. A slot hands on k rows a query.
+    A first product in single precision leaves the units that can be among the k best, within its rounding
+    error; these are multiplied again in double precision.
     """
-    slots = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = max(1, math.ceil(units.count() / (unit_block * SLOT_BLOCKS)))
     u_type = units.schema["unit_key"].dataType.simpleString()
     q_type = queries.schema["query_id"].dataType.simpleString()
     own = _blocks(units.select("unit_key", "embedding"), u_type, unit_block).select(
         F.pmod(F.xxhash64("keys"), F.lit(slots)).cast("int").alias("slot"),
+        F.lit(0).alias("side"),
         F.col("keys").alias("unit_keys"),
-        F.col("rows").alias("unit_rows"),
+        F.lit(None).cast(f"array<{q_type}>").alias("query_keys"),
+        "rows",
     )
     asked = _blocks(queries.select("query_id", "embedding"), q_type, block).select(
         F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"),
-        F.xxhash64("keys").alias("block"),
+        F.lit(1).alias("side"),
+        F.lit(None).cast(f"array<{u_type}>").alias("unit_keys"),
         F.col("keys").alias("query_keys"),
-        F.col("rows").alias("query_rows"),
-    )
-    met = (
-        asked.hint("shuffle_merge")
-        .join(own, "slot")
-        .select("block", "query_keys", "query_rows", "unit_keys", "unit_rows")
-        .sortWithinPartitions("block")
+        "rows",
     )
+    met = own.unionByName(asked).repartition(slots, "slot").sortWithinPartitions("slot", "side")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, found = None, None, []
+        now, held = None, []
         for batch in batches:
-            kinds = [batch.schema.field(c).type.value_type for c in ("query_keys", "unit_keys")]
+            slot_of, _, units_of, queries_of, rows_of = batch.columns
+            kinds = [queries_of.type.value_type, units_of.type.value_type]
             for i in range(batch.num_rows):
-                block, query_keys, query_rows, unit_keys, unit_rows = (c[i].as_py() for c in batch.columns)
-                if block != now:
-                    if now is not None:
-                        yield _rows(keys, found, kinds)
-                    now, keys, found = block, query_keys, [[] for _ in query_keys]
-                _better(found, unit_keys, _matrix(unit_rows, unit_keys) @ _matrix(query_rows, query_keys).T, k)
-        if now is not None:
-            yield _rows(keys, found, kinds)
+                if slot_of[i].as_py() != now:
+                    now, held = slot_of[i].as_py(), []
+                if units_of[i].is_valid:
+                    keys = units_of[i].as_py()
+                    held.append((keys, _matrix(rows_of[i], keys)))
+                    continue
+                asked = queries_of[i].as_py()
+                found: list[list[tuple]] = [[] for _ in asked]
+                rows = _matrix(rows_of[i], asked)
+                for keys, matrix in held:
+                    _better(found, keys, matrix, rows, k)
+                yield _rows(asked, found, kinds)
 
     scored = met.mapInArrow(best, f"query_id {q_type}, unit_key {u_type}, score double")
     return top_per_query(scored, k)
 
 
-def _matrix(raw: bytes, keys: list) -> np.ndarray:
-    return np.frombuffer(raw, np.float64).reshape(len(keys), -1)
+def _matrix(raw: pa.Scalar, keys: list) -> np.ndarray:
+    return np.frombuffer(raw.as_buffer(), np.float64).reshape(len(keys), -1)
 
 
-def _better(found: list[list[tuple]], keys: list, scores: np.ndarray, k: int) -> None:
+def _better(found: list[list[tuple]], keys: list, units: np.ndarray, asked: np.ndarray, k: int) -> None:
     """Adds a block's scores to the k best of each query: score descending, key ascending."""
-    scores = np.round(scores, SCORE_DIGITS)
-    least = np.partition(scores, -k, axis=0)[-k] if len(keys) > k else np.full(scores.shape[1], -np.inf)
+    norms = np.sqrt(np.einsum("ij,ij->i", units, units)), np.sqrt(np.einsum("ij,ij->i", asked, asked))
+    rough = (units.astype(np.float32) @ asked.astype(np.float32).T).astype(np.float64)
+    # what single precision and the rounding of scores may be off, twice
+    slack = 4 * (units.shape[1] + 4) * np.finfo(np.float32).eps * norms[0].max(initial=0) * norms[1] + 4 * 10.0**-SCORE_DIGITS
+    slack = np.where(np.isfinite(rough).all(axis=0), slack, np.inf)
+    least = np.partition(rough, -k, axis=0)[-k] if len(keys) > k else np.full(rough.shape[1], -np.inf)
     for q, held in enumerate(found):
         floor = max(least[q], -held[-1][0]) if len(held) == k else least[q]
-        at = np.nonzero(scores[:, q] >= floor)[0]
+        at = np.nonzero(~(rough[:, q] < floor - slack[q]))[0]
         if len(at):
-            found[q] = heapq.nsmallest(k, [*held, *((-float(scores[i, q]), keys[i]) for i in at)])
+            exact = np.round(units[at] @ asked[q], SCORE_DIGITS)
+            found[q] = heapq.nsmallest(k, [*held, *((-float(s), keys[i]) for s, i in zip(exact, at))])
 
 
 def _rows(keys: list, found: list[list[tuple]], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -103,7 +116,7 @@ def _blocks(vectors: DataFrame, kind: str, size: int) -> DataFrame:
         rows: list = []
 
         def block() -> pa.RecordBatch:
-            raw = np.asarray(rows, dtype=np.float64).tobytes()
+            raw = np.concatenate(rows).tobytes()
             return pa.RecordBatch.from_arrays([pa.array([keys], pa.list_(batch.column(0).type)), pa.array([raw], pa.binary())], names=["keys", "rows"])
 
         for batch in batches:
@@ -113,7 +126,7 @@ def _blocks(vectors: DataFrame, kind: str, size: int) -> DataFrame:
                     yield block()
                     keys, rows = [], []
                 keys += part.column(0).to_pylist()
-                rows += part.column(1).to_pylist()
+                rows.append(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64))
         if keys:
             yield block()
 
