@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,8 +21,8 @@ from statuta.session import cut_lineage
 SCORE_DIGITS = 9
 
 
-#: Distinct words of all queries up to which they are picked out in the row, as a list in the plan.
-ASKED = 5_000
+#: Distinct words of all queries up to which the tasks get them as a list.
+ASKED = 100_000
 
 
 @dataclass(frozen=True)
@@ -31,7 +32,6 @@ class TextStatistics:
     tokens: DataFrame | None  # unit_key, len, words
     totals: DataFrame  # one row: units, words, avg_len
     stored: DataFrame | None = None  # unit_key, word, tf, len
-    only_asked: bool = False  # the words of the queries alone stand in the rows
 
     def term_frequency(self) -> DataFrame:
         """(unit_key, word, tf, len)."""
@@ -39,8 +39,6 @@ class TextStatistics:
 
     def term_frequency_of(self, asked: DataFrame, small: bool) -> DataFrame:
         """Term counts of the asked words only; other words never leave the row they stand in."""
-        if self.only_asked:
-            return self.term_frequency()
         rows = self._exploded() if self.stored is None else self.stored
         if small:
             rows = rows.join(F.broadcast(asked), "word", "left_semi")
@@ -69,33 +67,46 @@ class TextStatistics:
         return self.term_frequency().select("unit_key", F.col("word").alias("token"), (F.col("tf") / F.col("len")).alias("weight"))
 
 
-def counted(tokens: DataFrame) -> DataFrame:
-    """(unit_key, word, tf, len) of rows (unit_key, len, words), counted where they stand; no exchange.
+def counted_rows(tokens: DataFrame, asked: list[str] | None = None) -> DataFrame:
+    """(unit_key, len, hits) of rows (unit_key, len, words): word and count of the asked words, of all without a list.
 
-    The words of an Arrow batch become numbers once; a sort of (row, number) counts them.
+    Counted where the row stands, without an exchange: the words of an Arrow batch become numbers once, and
+    one sort of (row, number) counts them.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None if asked is None else pa.array(asked, pa.string())
         for batch in batches:
             lists = batch.column(2)
             listed = lists.flatten().dictionary_encode()
-            sizes = np.diff(np.asarray(lists.offsets))
-            if lists.null_count:
-                sizes = sizes * lists.is_valid().to_numpy(zero_copy_only=False)
+            sizes = np.diff(np.asarray(lists.offsets)) * lists.is_valid().to_numpy(zero_copy_only=False)
             n = max(1, len(listed.dictionary))
             seen = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes) * n + listed.indices.to_numpy()
+            if wanted is not None:
+                some = pc.is_in(listed.dictionary, value_set=wanted).to_numpy(zero_copy_only=False)
+                seen = seen[some[listed.indices.to_numpy()]]
             seen, tf = np.unique(seen, return_counts=True)
-            row = pa.array(seen // n)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(row), listed.dictionary.take(pa.array(seen % n)), pa.array(tf.astype(np.int64)), batch.column(1).take(row)],
-                names=["unit_key", "word", "tf", "len"],
-            )
+            ends = np.r_[0, np.cumsum(np.bincount(seen // n, minlength=len(sizes)))].astype(np.int32)
+            hits = pa.StructArray.from_arrays([listed.dictionary.take(pa.array(seen % n)), pa.array(tf.astype(np.int64))], names=["word", "tf"])
+            rows = pa.ListArray.from_arrays(pa.array(ends), hits)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), rows], names=["unit_key", "len", "hits"])
 
     kind = tokens.schema["unit_key"].dataType.simpleString()
-    return tokens.select("unit_key", "len", "words").mapInArrow(count, f"unit_key {kind}, word STRING, tf BIGINT, len INT")
+    return tokens.select("unit_key", "len", "words").mapInArrow(
+        count, f"unit_key {kind}, len INT, hits ARRAY<STRUCT<word: STRING, tf: BIGINT>>"
+    )
+
+
+def postings(rows: DataFrame) -> DataFrame:
+    """(unit_key, word, tf, len) of counted rows."""
+    return rows.select("unit_key", "len", F.explode("hits").alias("h")).select("unit_key", "h.word", "h.tf", "len")
+
+
+def counted(tokens: DataFrame) -> DataFrame:
+    return postings(counted_rows(tokens))
 
 
-def _totals(tokens: DataFrame) -> DataFrame:
+def totals(tokens: DataFrame) -> DataFrame:
     return tokens.agg(F.count(F.lit(1)).alias("units"), F.sum("len").alias("words"), F.avg("len").alias("avg_len"))
 
 
@@ -103,7 +114,7 @@ def text_statistics(units: DataFrame, key: str = "unit_key", text: str = "text")
     # settled: an explode would else copy the tokeniser into a filter above the scan
     tokens = units.select(F.col(key).alias("unit_key"), settled(words(F.col(text))).alias("words"))
     tokens = tokens.select("unit_key", F.size("words").alias("len"), "words")
-    return TextStatistics(tokens, _totals(tokens))
+    return TextStatistics(tokens, totals(tokens))
 
 
 def asked_words(queries: DataFrame) -> list[str] | None:
@@ -115,15 +126,11 @@ def asked_words(queries: DataFrame) -> list[str] | None:
 def asked_statistics(units: DataFrame, queries: DataFrame, text: str = "text") -> TextStatistics:
     """What a batch of queries needs to know of the units, from one pass over their texts.
 
-    While the queries' words fit into the plan, no other word leaves its row; the rows are written once, and
-    counts, frequencies and totals are read from there.
+    No word that is not asked leaves its row. The counted rows are written once; frequencies, scores and
+    totals are read from there.
     """
-    asked = asked_words(queries)
-    tokens = text_statistics(units, text=text).tokens
-    if asked is not None:
-        tokens = tokens.select("unit_key", "len", F.filter("words", lambda w: w.isin(asked)).alias("words"))
-    tokens = cut_lineage(tokens, "words")
-    return TextStatistics(tokens, _totals(tokens), only_asked=asked is not None)
+    rows = cut_lineage(counted_rows(text_statistics(units, text=text).tokens, asked_words(queries)), "words")
+    return TextStatistics(None, totals(rows), postings(rows))
 
 
 def term_weight(n: Column, df: Column) -> Column:

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.functions.text import settled
-from statuta.operators.bm25 import TextStatistics, _totals, counted, saturation, text_statistics
+from statuta.operators.bm25 import counted_rows, postings, saturation, text_statistics, totals
 from statuta.operators.encode import Encoder, encode, hashing_dense
 from statuta.plans.search import searchable
-from statuta.session import cut_lineage, scratch
+from statuta.session import cut_lineage
 
 
 def content_hash(text: str = "text"):
@@ -53,6 +53,9 @@ def key_differences(stored: DataFrame, live: DataFrame) -> DataFrame:
 PART = 2_000_000
 #: Parts up to which they are named in the plan; beyond, the order of the words alone prunes.
 PARTS = 10_000
+TF_DDL = "unit_key STRING, word STRING, tf BIGINT, len INT, part INT"
+#: Words up to which the scan's filter lists them.
+IN_PLAN = 5_000
 
 
 @dataclass(frozen=True)
@@ -69,14 +72,18 @@ class Index:
         The blocks name the parts, so other files are not opened; inside a part the words are ordered, so
         only the row groups whose range meets an asked word are decoded.
         """
+        columns = ["unit_key", "word", "tf", "len"]
         if asked is None:
-            return self.tf.drop("part")
+            return self.tf.select(columns)
+        if len(asked) > IN_PLAN:
+            words = self.tf.sparkSession.createDataFrame([(w,) for w in asked], "word string")
+            return self.tf.join(F.broadcast(words), "word", "left_semi").select(columns)
         wanted = F.col("word").isin(asked)
         parts = self.blocks.where(wanted).select("part").distinct().limit(PARTS + 1).collect()
         rows = self.tf.where(wanted)
         if len(parts) <= PARTS:
             rows = rows.where(F.col("part").isin([r["part"] for r in parts]))
-        return rows.drop("part")
+        return rows.select(columns)
 
     @property
     def df(self) -> DataFrame:
@@ -90,19 +97,15 @@ def write_postings(spark: SparkSession, units: DataFrame, path: str, part: int =
     A word that many units hold goes on through several parts, split by unit; a block tells its first and
     last unit, its postings and the most that one of them can add to a score.
     """
-    stats = text_statistics(units)
-    lengths = scratch(spark, "lengths")
-    stats.tokens.select("unit_key", "len", "words").write.parquet(lengths)
-    tokens = spark.read.parquet(lengths)
-    totals = TextStatistics(tokens, _totals(tokens)).totals
-    totals.write.mode("overwrite").parquet(f"{path}/totals")
+    rows = cut_lineage(counted_rows(text_statistics(units).tokens), "words")
+    totals(rows).write.mode("overwrite").parquet(f"{path}/totals")
     row = spark.read.parquet(f"{path}/totals").first()
     parts = max(1, math.ceil((row["words"] or 0) / part))
-    ordered = counted(tokens).repartitionByRange(parts, "word", "unit_key").sortWithinPartitions("word", "unit_key")
-    ordered.withColumn("part", F.spark_partition_id()).write.mode("overwrite").partitionBy("part").parquet(f"{path}/tf")
+    ordered = postings(rows).repartitionByRange(parts, "word", "unit_key").sortWithinPartitions("word", "unit_key")
+    ordered.select("unit_key", "word", F.col("tf").cast("bigint"), F.col("len").cast("int"), F.spark_partition_id().alias("part")).write.mode("overwrite").partitionBy("part").parquet(f"{path}/tf")
     impact = saturation(F.col("tf"), F.col("len"), F.lit(row["avg_len"] or 1.0))
     blocks = (
-        spark.read.parquet(f"{path}/tf").groupBy("word", "part")
+        spark.read.schema(TF_DDL).parquet(f"{path}/tf").groupBy("word", "part")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.min("unit_key").alias("first_unit"),
@@ -149,7 +152,7 @@ def load_index(spark: SparkSession, path: str, units: DataFrame, model: str) ->
     current = searchable(units).select("unit_key", content_hash().alias("content"))
     return Index(
         vectors.join(current, ["unit_key", "content"], "left_semi"),
-        spark.read.parquet(f"{path}/tf"),
+        spark.read.schema(TF_DDL).parquet(f"{path}/tf"),
         spark.read.parquet(f"{path}/blocks"),
         spark.read.parquet(f"{path}/totals"),
         stored,
