@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.words import Memo
+from statuta.llm.words import Memo, given_back
 
 BUCKETS = 1 << 14
 WIDTH = 16
@@ -251,6 +251,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, model: Model | None) -> DataFrame:
     """Rows as they are, without those that `predict` rejects; no join and no shuffle."""
+    @given_back
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None if model is None else Scorer(model)
         for batch in batches:

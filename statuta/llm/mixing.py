@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.words import Memo, distinct_words, gathered
+from statuta.llm.words import Memo, distinct_words, gathered, slices
 from statuta.session import cut_lineage
 
 #: Bounds of the training sample, in documents, and of the features chosen from it.
@@ -42,6 +42,8 @@ TOLERANCE = 1e-4
 LEAST_SHARE = 1e-3
 
 SHAPE = 12
+#: Bytes of a task's store of words.
+ROOM = 64 << 20
 #: Texts that are judged together, as rows of a dense matrix of features.
 TOGETHER = 256
 
@@ -103,9 +105,13 @@ class Classifier:
         return softmax(scores.reshape(-1, len(self.domains)))
 
     def store(self) -> Memo:
-        return Memo(lambda w: [self.features[f] for f in word_features(w) if f in self.features])
+        return Memo(lambda w: [self.features[f] for f in word_features(w) if f in self.features], ROOM, entry=300)
 
     def judge(self, texts: pa.Array, known: Memo) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self.judge_part(part, known) for part in slices(texts)] or [(np.zeros(0, np.int64), np.zeros((0, len(self.domains))))]
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def judge_part(self, texts: pa.Array, known: Memo) -> tuple[np.ndarray, np.ndarray]:
         """(words, posterior) of every text; `known` gives the features of a word that this model has.
 
         The distinct words of the batch are looked up once; features are counted for `TOGETHER` texts at a
@@ -239,10 +245,13 @@ def posteriors(docs: DataFrame, model: Classifier, keep: list[str]) -> DataFrame
     @F.arrow_udf("struct<n_tokens:bigint,posterior:array<double>>")
     def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = model.store()
-        for texts in batches:
-            n, p = model.judge(texts, known)
-            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
-            yield pa.StructArray.from_arrays([pa.array(n), rows], fields=list(kind))
+        try:
+            for texts in batches:
+                n, p = model.judge(texts, known)
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
+                yield pa.StructArray.from_arrays([pa.array(n), rows], fields=list(kind))
+        finally:
+            pa.default_memory_pool().release_unused()
 
     told = cut_lineage(docs.select(*keep, judged(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_told")), "posteriors")
     return told.select(*keep, "_told.n_tokens", "_told.posterior")

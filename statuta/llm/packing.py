@@ -23,7 +23,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.words import BLANK, PATTERN, PIECE, Memo, byte_letters, distinct_words, gathered, special_pattern, stretches
+from statuta.llm.words import BLANK, PATTERN, PIECE, Memo, byte_letters, distinct_words, gathered, given_back, slices, special_pattern, stretches
 from statuta.session import cut_lineage
 
 WINDOW = 2048
@@ -36,7 +36,7 @@ DENSE = 8
 SORTED = 64
 #: Words whose ids are gathered at a time, and the bytes of the store of pieces.
 GATHER = 1 << 19
-ROOM = 80 << 20
+ROOM = 48 << 20
 SPACE = re.compile(f"(?!^)[{BLANK}]")
 
 
@@ -82,6 +82,9 @@ class Encoder:
         return b"".join([*found, self.plain(text[at:])])
 
     def encode_all(self, texts: pa.Array, last: bytes) -> list[bytes]:
+        return [ids for part in slices(texts) for ids in self.encode_part(part, last)]
+
+    def encode_part(self, texts: pa.Array, last: bytes) -> list[bytes]:
         """The ids of every text with `last` behind them.
 
         A blank goes with what follows it, unless white space follows. Texts without such a place are cut at
@@ -122,19 +125,22 @@ def encoded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
     `spread` differs for rows that are alike, so that repeated rows are dealt evenly.
     """
 
+    @given_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, row = encoder(vocabulary), 0
         last = enc.kind.type(end).tobytes()
-        enc.known.free()  # a worker outlives its tasks, and the encoder is kept for their next
-        for batch in batches:
-            ids = enc.encode_all(batch.column(1), last)
-            sizes = [len(x) // enc.kind.itemsize for x in ids]
-            spread = [zlib.crc32(x[:4096], row + i) for i, x in enumerate(ids)]
-            row += len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int32()), pa.array(spread, pa.int64())],
-                names=["doc_id", "ids", "n", "spread"],
-            )
+        try:
+            for batch in batches:
+                ids = enc.encode_all(batch.column(1), last)
+                sizes = [len(x) // enc.kind.itemsize for x in ids]
+                spread = [zlib.crc32(x[:4096], row + i) for i, x in enumerate(ids)]
+                row += len(ids)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int32()), pa.array(spread, pa.int64())],
+                    names=["doc_id", "ids", "n", "spread"],
+                )
+        finally:
+            enc.known.free()  # the worker outlives the task and keeps the vocabulary
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -303,6 +309,7 @@ def pack(
         doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces))
         crc = [zlib.crc32(ids[d][s : s + n].astype("<u4").tobytes()) for d, s, n, _, _ in pieces]
         base = group["shard"][0].as_py() << 32
+        pa.default_memory_pool().release_unused()
         return pa.table(
             {
                 id_col: group["doc_id"].take(pa.array(doc)),

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statuta.llm.words import Memo, byte_letters, distinct_words, gathered, special_pattern, stretches
+from statuta.llm.words import Memo, byte_letters, distinct_words, gathered, given_back, slices, special_pattern, stretches
 from statuta.session import cut_lineage, scratch
 
 LENGTH = 2048
@@ -98,6 +98,9 @@ class Encoder:
         return b"".join([*found, self.whole(text[at:])])
 
     def encode_all(self, texts: pa.Array, end: int) -> list[bytes]:
+        return [ids for part in slices(texts) for ids in self.encode_part(part, end)]
+
+    def encode_part(self, texts: pa.Array, end: int) -> list[bytes]:
         """The ids of every text with `end` behind them.
 
         The distinct words of all texts are looked up once; the ids of the texts are gathered from theirs.
@@ -255,6 +258,7 @@ def write_sequences(
     rows = rows.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
     order = ["doc_id", "hash", "row"]
 
+    @given_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, enc, writer = TaskContext.get().partitionId(), Encoder(vocabulary), None
         for batch in batches:

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.words import PATTERN, PIECE, Memo, byte_letters, special_pattern
+from statuta.llm.words import PATTERN, PIECE, ROOM, Memo, byte_letters, special_pattern
 
 WORD = regex.compile(PATTERN)
 
@@ -84,8 +84,8 @@ class Counter:
     def __init__(self, path: str):
         self.merges = Merges(path)
         self.special = special_pattern(self.merges.specials)
-        self.words = Memo(lambda w: self.merges.count(w.encode()))
-        self.pieces = Memo(self.piece)
+        self.words = Memo(lambda w: self.merges.count(w.encode()), ROOM // 2)
+        self.pieces = Memo(self.piece, ROOM // 2)
 
     def piece(self, piece: str) -> int:
         if (piece[1:] if piece[0] == " " else piece).isalpha():

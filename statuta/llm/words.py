@@ -22,6 +22,8 @@ PIECE = re.compile(f" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
 ROOM = 128 << 20
 ENTRY = 200
 KEEP_CHARS = 48
+#: Bytes of text whose distinct words are looked up together.
+SLICE = 6 << 20
 
 
 # the pattern of the byte-level vocabulary's pre-tokeniser: a fixed value
@@ -74,6 +76,28 @@ def special_pattern(specials: tuple[str, ...]) -> re.Pattern | None:
     return re.compile("|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True)))
 
 
+def slices(texts: pa.Array, room: int = SLICE):
+    """A batch of texts in parts of about `room` bytes, one text at least, so that a part's words stay few."""
+    ends, lo = np.cumsum(pc.binary_length(texts).to_numpy()), 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + room, "right")))
+        yield texts.slice(lo, hi - lo)
+        lo = hi
+
+
+def given_back(batches: Callable) -> Callable:
+    """For a function over batches: Arrow gives its free memory back when the task ends, as the worker lives on."""
+
+    @functools.wraps(batches)
+    def run(found):
+        try:
+            yield from batches(found)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def distinct_words(texts: pa.Array, blank: str | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(words, index, places): the distinct words of a batch of texts, the words of all texts one after another
     as numbers of these, and where each text's begin (one place more than texts).
