@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from statuta import constants as K
-from statuta.functions.text import count_marker_split, normalise_space
+from statuta.functions.text import count_marker_split, let, normalise_space
 from statuta.session import cut_lineage
 
 UNIT_COLUMNS = (
@@ -62,7 +62,7 @@ def with_context(nodes: DataFrame) -> DataFrame:
     n = enclosing(n, _is_id(r"^cpt_[IVXLC]+$"), "cpt", F.col("node_id"))
     n = enclosing(n, _is_id(r"^cpt_[IVXLC]+\.sct_\d+$"), "sct", F.col("node_id"))
     n = enclosing(
-        n, (F.col("tag") == "div") & _is_id(r"^art_\d+$"), "art", F.substring("node_id", 5, 20)
+        n, (F.col("tag") == "div") & _is_id(r"^art_\d+$"), "art", F.substr("node_id", F.lit(5))
     )
     n = first_inside(n, "cpt", has_class("oj-ti-section-1|oj-ti-section-2"), "_cpt_title")
     n = first_inside(n, "sct", has_class("oj-ti-grseq-1"), "_sct_title")
@@ -332,7 +332,7 @@ def annex_units(nodes: DataFrame, act: Column) -> DataFrame:
         partition_by_page(nodes),
         (F.col("tag") == "div") & _is_id(r"^anx_[IVXLC]+$"),
         "anx",
-        F.substring("node_id", 5, 20),
+        F.substr("node_id", F.lit(5)),
     ).where("anx IS NOT NULL")
     titles = ctx.where(has_class("oj-doc-ti"))
     in_annex = W.partitionBy("page_id", "anx.seq").orderBy("seq")
@@ -353,7 +353,7 @@ def annex_units(nodes: DataFrame, act: Column) -> DataFrame:
     pieces = F.arrays_zip(
         F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("mark"),
         F.transform(
-            F.slice(F.split("text", pattern, -1), 2, 1_000_000), lambda t: normalise_space(t)
+            let(F.split("text", pattern, -1), lambda p: F.slice(p, F.lit(2), F.size(p))), lambda t: normalise_space(t)
         ).alias("text"),
     )
     split = missing.select("page_id", "anx_seq", F.posexplode(pieces).alias("i", "p")).where(

@@ -77,7 +77,7 @@ def report_text() -> Column:
 
 def fact_sheet() -> Column:
     """The classification in the form that is handed to a language model."""
-    others = F.slice("classes", 2, 20)
+    others = F.slice("classes", F.lit(2), F.greatest(F.size("classes"), F.lit(0)))
     head = F.concat(
         F.lit("Risikoklasse: "), F.col("heaviest"), F.lit(" — "), _lookup(K.RISK_LABEL, F.col("heaviest"))
     )

@@ -29,8 +29,13 @@ def count_sql(tag: str) -> str:
 
 @query("s01_page_scan", "SELECT page_id, CAST(strlen(html) AS BIGINT) AS bytes, md5(html) AS digest FROM pages")
 def s01(spark, sf):
-    return load(spark, sf, "pages").select(
-        "page_id", F.octet_length("html").cast("bigint").alias("bytes"), F.md5(F.col("html").cast("binary")).alias("digest"))
+    """Every page as a file of its own, read back whole; the text writer ends a file with a line feed."""
+    path = scratch(spark, "seiten")
+    load(spark, sf, "pages").select("page_id", "html").write.partitionBy("page_id").option("lineSep", "\n").text(path)
+    html = F.regexp_replace("html", r"\n\z", "")
+    return P.read_pages(spark, path).select(
+        F.regexp_extract("page_id", r"page_id=(\d+)/", 1).cast("bigint").alias("page_id"),
+        (F.col("bytes") - 1).alias("bytes"), F.md5(html.cast("binary")).alias("digest"))
 
 
 @query("s02_size_gate", "SELECT page_id, strlen(html) >= 9000 AS accepted FROM pages")
@@ -284,34 +289,34 @@ def x13(spark, sf):
 def s03(spark, sf):
     """Article files written from the documents and scanned back recursively."""
     path = scratch(spark, "artikel")
-    article_json(spark, sf).withColumn("teil", F.pmod("doc_id", F.lit(4))).drop("doc_id").write.partitionBy("teil").json(path)
-    # one JSON object per line here; files of one object each are read with the same schema
-    from statuta.tables import ARTICLE_JSON_DDL
+    rows = article_json(spark, sf).withColumn("teil", F.pmod("doc_id", F.lit(4))).drop("doc_id")
+    rows.write.partitionBy("teil").option("maxRecordsPerFile", 1).json(path)
+    # what a scan has to leave out: notes, the table of contents, and a file that is no JSON
+    for name, text in (("_notiz.json", '{"einheit": "artikel"}'), (articles.CONTENTS_FILE, '{"einheit": "artikel"}'), ("kaputt.json", "{nein")):
+        _put(spark, f"{path}/{name}", text)
+    return articles.read_articles(spark, path).agg(F.count(F.lit(1)).alias("articles"), F.count("absaetze").alias("nested"))
 
-    rows = spark.read.schema(ARTICLE_JSON_DDL).option("recursiveFileLookup", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.where("_corrupt IS NULL").agg(
-        F.count(F.lit(1)).alias("articles"), F.count("absaetze").alias("nested"))
+
+def _put(spark, path: str, text: str) -> None:
+    """A small file in the shared folder."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(text.encode()))
+    out.close()
 
 
 @query("s04_case_scan", "SELECT concat('fall/', CAST(doc_id AS VARCHAR)) AS unit_key, lang AS title FROM documents WHERE doc_id % 10 <> 3")
 def s04(spark, sf):
-    """Case files of one case a line, as a list of one; those without an id are skipped."""
-    from statuta.sources.cases import case_units
+    """Case files of up to fifty cases each; those without an id are skipped."""
+    from statuta.sources.cases import case_units, read_cases
 
     path = scratch(spark, "faelle")
     fall = F.struct(
         F.when(F.col("doc_id") % 10 != 3, F.col("doc_id").cast("string")).alias("kennung"), F.col("lang").alias("titel"),
         F.col("text").alias("lage"))
-    load(spark, sf, "documents").select(F.to_json(F.struct(F.array(fall).alias("faelle")))).write.text(path)
-    lines = spark.read.text(path)
-    schema = "faelle ARRAY<STRUCT<kennung: STRING, titel: STRING, lage: STRING>>"
-    rows = lines.select(F.explode(F.from_json("value", schema)["faelle"]).alias("f")).select("f.*").where("kennung IS NOT NULL")
-    none, nothing = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
-    full = rows.select(
-        "*", none.alias("rolle"), none.alias("einstufung"), none.alias("begruendung"),
-        nothing.alias("pflichten"), none.alias("lernhinweis"), none.alias("stolperstein"),
-        nothing.alias("rechtsgrundlage"), none.alias("datei"))
-    return case_units(full).select("unit_key", "title")
+    files = load(spark, sf, "documents").groupBy(F.floor(F.col("doc_id") / 50)).agg(F.collect_list(fall).alias("faelle"))
+    files.select(F.to_json(F.struct("faelle"))).write.option("maxRecordsPerFile", 1).text(path)
+    return case_units(read_cases(spark, path)).select("unit_key", "title")
 
 
 # part → a rule catalogue in its two tables, entries and their words

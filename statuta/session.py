@@ -5,28 +5,46 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
+DEFAULTS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.shuffle.partitions": os.environ.get("STATUTA_SHUFFLE_PARTITIONS", "8"),
+    "spark.sql.files.maxPartitionBytes": "128m",
+    "spark.ui.enabled": "false",
+    "spark.driver.memory": os.environ.get("STATUTA_DRIVER_MEMORY", "8g"),
+}
+
+
 def get_session(master: str | None = None, app: str = "statuta") -> SparkSession:
     """A session with the settings the plans are written for.
 
-    On a cluster the submitted configuration wins; only what is unset is added.
+    A session that is there already is taken as it is, and what was submitted with the application wins;
+    only what is unset is added.
     """
+    if SparkSession.getActiveSession() is not None:
+        return SparkSession.getActiveSession()
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    return (
-        builder.config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.shuffle.partitions", os.environ.get("STATUTA_SHUFFLE_PARTITIONS", "8"))
-        .config("spark.sql.files.maxPartitionBytes", "128m")
-        .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", os.environ.get("STATUTA_DRIVER_MEMORY", "8g"))
-        .getOrCreate()
-    )
+    submitted = _submitted()
+    for key, value in DEFAULTS.items():
+        if not (submitted and submitted.contains(key)):
+            builder = builder.config(key, value)
+    return builder.getOrCreate()
+
+
+def _submitted() -> SparkConf | None:
+    """The settings of an application that was submitted, whose JVM is there before any session."""
+    if "PYSPARK_GATEWAY_PORT" not in os.environ:
+        return None
+    SparkContext._ensure_initialized()
+    return SparkConf()
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:

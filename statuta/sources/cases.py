@@ -90,7 +90,7 @@ def lesson(text: Column) -> Column:
     section = F.try_element_at(
         F.filter(F.split(text, "\n\n"), lambda s: F.startswith(s, F.lit(K.LESSON_LABEL))), F.lit(1)
     )
-    return F.trim(F.substring(section, len(K.LESSON_LABEL) + 1, 1_000_000))
+    return F.trim(F.substr(section, F.lit(len(K.LESSON_LABEL) + 1)))
 
 
 def lessons_from_hits(hits: DataFrame, units: DataFrame) -> DataFrame:

@@ -36,9 +36,8 @@ SCOPE = frozenset(("table", "ul", "ol", "div", "body", "article"))
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: page_id (path), html, bytes, as_of (modification date)."""
     return (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .text(path)
+        spark.read.option("recursiveFileLookup", True)
+        .text(path, wholetext=True)  # as an option it would be overridden by this argument's default
         .select(
             F.col("_metadata.file_path").alias("page_id"),
             F.col("value").alias("html"),
