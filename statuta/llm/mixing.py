@@ -15,7 +15,6 @@ so no rates are stored between the rounds, and a lost task is simply run again.
 
 from __future__ import annotations
 
-import re
 import warnings
 from collections import Counter
 from collections.abc import Iterator
@@ -30,6 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statuta.llm.features import Finder, word_features
 from statuta.llm.words import Memo, distinct_words, gathered, slices
 from statuta.session import cut_lineage
 
@@ -41,43 +41,10 @@ ROUNDS = 400
 TOLERANCE = 1e-4
 LEAST_SHARE = 1e-3
 
-SHAPE = 12
-#: Bytes of a task's store of words.
-ROOM = 64 << 20
 #: Texts that are judged together, as rows of a dense matrix of features.
 TOGETHER = 256
 
 
-def _shape(c: str) -> str:
-    return "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
-
-
-_SHAPES = {i: _shape(chr(i)) for i in range(0x250)}
-_AGAIN = re.compile(r"(.)\1+")
-_LETTERS = re.compile(r"[^\W\d_]+")
-#: Letters of scripts that put no blanks between words: Thai to Tibetan, Burmese, Khmer, kana and Han.
-_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
-
-
-def word_features(word: str) -> list[str]:
-    """Of each run of letters, in lower case: the whole, its beginnings, and its grams, which also tell words inside a
-    text without blanks; and the word's shape (letters as A or a, digits as 9, runs once), in parts."""
-    found = []
-    for letters in _LETTERS.findall(word):
-        low = letters.lower()
-        found.append("w " + low)
-        found += ["p " + low[:n] for n in range(4, min(8, len(low) + 1))]
-        if _UNSPACED.search(low):
-            grams = [low[i : i + (2 if _UNSPACED.match(c) else 4)] for i, c in enumerate(low)]
-            found += ["g " + g for g in grams if len(g) == (2 if _UNSPACED.match(g) else 4)]
-        else:
-            found += ["g " + low[i : i + 4] for i in range(len(low) - 3)]
-    shape = word.translate(_SHAPES) if max(word, default="") < "\u0250" else "".join(map(_shape, word))
-    shape = _AGAIN.sub(r"\1", shape)
-    found += ["s " + shape[i : i + SHAPE] for i in range(0, len(shape), SHAPE)]
-    return found
-
-
 def text_features(text: str | None, known: Memo) -> tuple[Counter, int]:
     """How often each feature occurs, with `= ` for a word that repeats the one before; and the words."""
     words = (text or "").split()
@@ -104,23 +71,22 @@ class Classifier:
         scores = np.array([self.bias + np.array(v) @ self.weight[i] if i else self.bias for i, v in rows])
         return softmax(scores.reshape(-1, len(self.domains)))
 
-    def store(self) -> Memo:
-        return Memo(lambda w: [self.features[f] for f in word_features(w) if f in self.features], ROOM, entry=300)
+    def finder(self) -> Finder:
+        return Finder(self.features)
 
-    def judge(self, texts: pa.Array, known: Memo) -> tuple[np.ndarray, np.ndarray]:
+    def judge(self, texts: pa.Array, known: Finder) -> tuple[np.ndarray, np.ndarray]:
         parts = [self.judge_part(part, known) for part in slices(texts)] or [(np.zeros(0, np.int64), np.zeros((0, len(self.domains))))]
         return tuple(np.concatenate(x) for x in zip(*parts))
 
-    def judge_part(self, texts: pa.Array, known: Memo) -> tuple[np.ndarray, np.ndarray]:
-        """(words, posterior) of every text; `known` gives the features of a word that this model has.
+    def judge_part(self, texts: pa.Array, known: Finder) -> tuple[np.ndarray, np.ndarray]:
+        """(words, posterior) of every text; `known` finds the features of words that this model has.
 
         The distinct words of the batch are looked up once; features are counted for `TOGETHER` texts at a
         time and weighted by one product.
         """
         words, index, places = distinct_words(pc.utf8_trim_whitespace(texts))
-        listed = [known[w] for w in words]
-        size = np.array([len(f) for f in listed], np.int64)
-        begin, flat = np.cumsum(size) - size, np.fromiter(chain.from_iterable(listed), np.int64, int(size.sum()))
+        size, flat = known(words)
+        begin = np.cumsum(size) - size
         blank = words.index("") if "" in words else -1  # an empty text is one empty word
         n_words = np.zeros(len(texts), np.int64)
         out = np.zeros((len(texts), len(self.domains)))
@@ -244,7 +210,7 @@ def posteriors(docs: DataFrame, model: Classifier, keep: list[str]) -> DataFrame
 
     @F.arrow_udf("struct<n_tokens:bigint,posterior:array<double>>")
     def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = model.store()
+        known = model.finder()
         try:
             for texts in batches:
                 n, p = model.judge(texts, known)

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from statuta.llm import features
 from statuta.llm import html_extract as H
 from statuta.llm import language_id as L
 from statuta.llm import mixing as M
@@ -111,11 +112,27 @@ def test_a_batch_is_judged_as_its_texts_one_by_one(spark):
     some = "calm Garden window idiot 2024 re-do l'eau 蠢货 ÄÖ x  \t\n .. ŁÓDŹ".split(" ")
     texts = [" ".join(r.choices(some, k=r.randrange(0, 60))) for _ in range(600)] + ["", "  ", "a a a"]
     model = M.train(spark.createDataFrame([(x, "toxic" if "idiot" in x else "high") for x in texts], "text string, domain string"))
-    n, p = model.judge(pa.array(["z", *texts]).slice(1), model.store())
+    n, p = model.judge(pa.array(["z", *texts]).slice(1), model.finder())
     assert n.tolist() == [len(x.split()) for x in texts]
     assert np.allclose(p, model.posteriors([model.row(*M.text_features(x, M.Memo(M.word_features))) for x in texts]), atol=1e-12)
 
 
+def test_features_of_many_words_are_those_of_each(monkeypatch):
+    r = random.Random(8)
+    signs = "aaabbcdeEFÄßéİıŁžſ0129²½_-.'/!~µªḂΣ蠢ไ\U0001d400\x7f"
+    words = ["".join(r.choices(signs, k=r.choice([0, 1, 3, 4, 5, 8, 30]))) for _ in range(3000)]
+    words += ["a" * 5000 + "b", "ab" * 3000, "-" * 40, "z" * 7]
+    all_features = sorted({f for w in words for f in M.word_features(w)})
+    names = {f: i for i, f in enumerate(r.sample(all_features, 2 * len(all_features) // 3))}
+    monkeypatch.setattr(features, "TOGETHER", 1000)
+    for chosen in (names, {"w b": 0, "=": 1}, {}):
+        size, flat = features.Finder(chosen)(words)
+        found = np.split(flat, np.cumsum(size)[:-1])
+        for w, numbers in zip(words, found):
+            assert sorted(numbers.tolist()) == sorted(chosen[f] for f in M.word_features(w) if f in chosen), w
+    assert [len(x) for x in features.Finder(names)([])] == [0, 0]
+
+
 def test_a_document_of_two_labels_is_learnt_as_both(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
