@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.features import Finder, word_features
+from statuta.llm.features import ROOM, Finder, word_features
 from statuta.llm.words import Memo, distinct_words, gathered, slices
 from statuta.session import cut_lineage
 
@@ -120,7 +120,7 @@ def _choose(sample: DataFrame, domains: list[str], limit: int) -> list[str]:
     """Features whose occurrence differs most between the domains, by chi-squared; counted on the sample."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Memo(word_features)
+        known = Memo(word_features, ROOM, entry=1500)
         total: Counter = Counter()
         for batch in batches:
             for text, domain in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -160,7 +160,7 @@ def train(labelled: DataFrame, features: int = FEATURES, rounds: int = 300, l2:
     blank = Classifier(domains, names, np.zeros((len(names), len(domains))), np.zeros(len(domains)))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Memo(lambda w: [f for f in word_features(w) if f in names])
+        known = Memo(lambda w: [f for f in word_features(w) if f in names], ROOM, entry=300)
         for batch in batches:
             found = [blank.row(*text_features(t, known)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
