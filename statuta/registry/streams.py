@@ -98,7 +98,7 @@ def r04(spark, sf):
 
 @query("r05_index_upkeep", TOKENS_CTE + " SELECT word, CAST(df AS BIGINT) AS df FROM df")
 def r05(spark, sf):
-    """Units arrive in three batches; term statistics from the store equal those of the whole."""
+    """Units arrive in ten batches; term statistics from the store equal those of the whole."""
     path = scratch(spark, "bestand")
-    upkeep.maintain(replay(spark, searchable(units(spark, sf)).select("unit_key", "text")), path)
+    upkeep.maintain(replay(spark, searchable(units(spark, sf)).select("unit_key", "text"), 10), path)
     return upkeep.document_frequency(spark, path)

@@ -1,58 +1,191 @@
-"""Incremental index upkeep: each micro-batch adds what is new or changed."""
+"""Incremental index upkeep: a store of segments in key buckets that are merged by and by.
+
+Each batch is written as one segment, its rows dealt to buckets by a hash of the key. `FAN` segments of one
+size are merged into one of `FAN` times the buckets, so a bucket keeps its size however large the store is.
+A batch reads the buckets its keys fall into and no others: at most (keys of the batch) x (rows a bucket) x
+`FAN` for each size, and the sizes number the logarithm of the batches. A row is rewritten once a size.
+
+Document frequencies are kept as differences: a batch adds one for each word of a new text and takes one off
+for each word of the text it replaces.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.operators.bm25 import text_statistics
 from statuta.operators.encode import hashing_dense
-from statuta.sources.index_io import _exists, content_hash
+from statuta.sources.index_io import content_hash
 
 MODEL = "hashing-256"
+#: Buckets of a fresh segment, and segments of one size that are merged into the next.
+BUCKETS, FAN = 4, 4
+#: Buckets up to which a batch names those it reads.
+LISTED = 10_000
+
+_PLACE = ", buckets INT, first BIGINT, last BIGINT"
+TABLES = {
+    "units": "unit_key STRING, content STRING, version BIGINT, embedding ARRAY<DOUBLE>" + _PLACE + ", bucket INT",
+    "tf": "unit_key STRING, version BIGINT, word STRING, tf BIGINT, len INT" + _PLACE + ", bucket INT",
+    "df": "word STRING, df BIGINT" + _PLACE,
+}
+
+
+@dataclass(frozen=True, order=True)
+class Segment:
+    """All batches from the version `first` to `last`."""
+
+    buckets: int
+    first: int
+    last: int
+
+    def folder(self, path: str, table: str) -> str:
+        return f"{path}/{table}/buckets={self.buckets}/first={self.first}/last={self.last}"
+
+    def mark(self, path: str) -> str:
+        return f"{path}/segments/{self.buckets}_{self.first}_{self.last}"
+
+    def covers(self, other: Segment) -> bool:
+        return self != other and self.first <= other.first and other.last <= self.last
+
+
+def _located(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it knows it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def _marked(spark: SparkSession, path: str) -> list[Segment]:
+    """Segments that were written to their end, merged ones and their parts alike."""
+    files, folder = _located(spark, f"{path}/segments")
+    if not files.exists(folder):
+        return []
+    return sorted(Segment(*map(int, f.getPath().getName().split("_"))) for f in files.listStatus(folder))
+
+
+def segments(spark: SparkSession, path: str) -> list[Segment]:
+    """Segments that count: those that were not merged into another one."""
+    found = _marked(spark, path)
+    return [s for s in found if not any(t.covers(s) for t in found)]
+
 
+def _read(spark: SparkSession, path: str, table: str, chosen: list[Segment]) -> DataFrame:
+    reader = spark.read.schema(TABLES[table]).option("basePath", f"{path}/{table}")
+    if not chosen:
+        return spark.createDataFrame([], TABLES[table])
+    return reader.parquet(*[s.folder(path, table) for s in chosen])
 
-def add_units(units: DataFrame, path: str, version: int = 0) -> None:
-    """Write vectors and term counts of units whose newest stored form is another one.
 
-    `version` grows with each batch (a stream passes its batch id). A batch owns the folders of its version
-    and replaces them whole, so a batch that broke off and is repeated leaves nothing twice; a version
-    counts once its vectors are written, which are last. Of several texts of a unit in one batch the
-    greatest is kept, so that a repeat chooses the same.
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("unit_key"), F.lit(buckets)).cast("int")
+
+
+def _write(path: str, segment: Segment, units: DataFrame, tf: DataFrame, df: DataFrame) -> None:
+    """A segment's tables, whole; it counts from its mark on, which is made last."""
+    for table, rows in (("units", units), ("tf", tf)):
+        names = [f.split()[0] for f in TABLES[table].split(_PLACE)[0].split(", ")]
+        placed = rows.select(*names, _bucket(segment.buckets).alias("bucket")).repartition("bucket")
+        placed.sortWithinPartitions("bucket", "unit_key").write.mode("overwrite").partitionBy("bucket").parquet(segment.folder(path, table))
+    df.select("word", "df").write.mode("overwrite").parquet(segment.folder(path, "df"))
+    files, mark = _located(units.sparkSession, segment.mark(path))
+    files.create(mark).close()
+
+
+def _newest(rows: DataFrame, units: DataFrame) -> DataFrame:
+    newest = units.groupBy("unit_key").agg(F.max("version").alias("version"))
+    return rows.join(newest, ["unit_key", "version"], "left_semi")
+
+
+def merge(spark: SparkSession, path: str) -> None:
+    """Merge sizes that have `FAN` segments; parts of earlier merges go, those of this one still stay.
+
+    Readers that have listed the store keep their files until the next call.
+    """
+    found = _marked(spark, path)
+    for old in found:
+        if any(s.covers(old) for s in found):
+            for place in (old.mark(path), *(old.folder(path, table) for table in TABLES)):
+                files, target = _located(spark, place)
+                files.delete(target, True)
+    while True:
+        sizes: dict[int, list[Segment]] = {}
+        for s in segments(spark, path):
+            sizes.setdefault(s.buckets, []).append(s)
+        full = [group for _, group in sorted(sizes.items()) if len(group) >= FAN]
+        if not full:
+            return
+        parts = full[0]
+        units = _read(spark, path, "units", parts)
+        df = _read(spark, path, "df", parts).groupBy("word").agg(F.sum("df").alias("df")).where("df != 0")
+        whole = Segment(parts[0].buckets * FAN, min(s.first for s in parts), max(s.last for s in parts))
+        _write(path, whole, _newest(units, units), _newest(_read(spark, path, "tf", parts), units), df)
+
+
+def met(spark: SparkSession, path: str, table: str, keys: DataFrame) -> DataFrame:
+    """Rows of a table in the buckets that the keys (unit_key) fall into; other buckets are not opened.
+
+    Numbers of buckets divide one another, so the buckets of the largest size tell those of the others.
+    """
+    chosen = segments(spark, path)
+    rows = _read(spark, path, table, chosen)
+    if not chosen:
+        return rows
+    sizes = sorted({s.buckets for s in chosen})
+    listed = keys.select(_bucket(sizes[-1]).alias("b")).distinct().limit(LISTED + 1).collect()
+    if len(listed) > LISTED:
+        return rows
+    numbers = {size: sorted({r["b"] % size for r in listed}) for size in sizes}
+    return rows.where(reduce(lambda a, b: a | b, [(F.col("buckets") == n) & F.col("bucket").isin(of) for n, of in numbers.items()]))
+
+
+def add_units(units: DataFrame, path: str, version: int) -> None:
+    """Add the units (unit_key, text) whose newest stored form is another one, as the segment `version`.
+
+    Versions grow with each batch (a stream passes its batch id). A batch that broke off has no mark and is
+    written again, whole; one that has its mark changes nothing when it is repeated, also after a merge.
+    Of several texts of a unit in one batch the greatest is kept, so that a repeat chooses the same. A null
+    text is a text without words; rows without a key are left out, as no later batch could replace them.
     """
     spark = units.sparkSession
-    live = (
-        units.groupBy("unit_key").agg(F.max("text").alias("text")).withColumn("content", content_hash())
-    )
-    if _exists(spark, f"{path}/vectors"):
-        before = spark.read.parquet(f"{path}/vectors").where(F.col("version") < version)
-        held = before.groupBy("unit_key").agg(F.max_by("content", "version").alias("content"))
-        live = live.join(held, ["unit_key", "content"], "left_anti")
-    live = live.persist()
+    if any(s.first <= version <= s.last for s in _marked(spark, path)):
+        return
+    merge(spark, path)
+    given = units.where("unit_key IS NOT NULL").groupBy("unit_key").agg(F.max("text").alias("text"))
+    given = given.withColumn("content", F.coalesce(content_hash(), F.lit(""))).persist()
+    stored = met(spark, path, "units", given).groupBy("unit_key").agg(F.max_by(F.struct("content", "version"), "version").alias("held"))
+    live = given.join(stored, "unit_key", "left").where("held IS NULL OR held.content != content")
+    live = live.select("unit_key", "text", "content", F.col("held.version").alias("replaced")).persist()
     try:
-        tf = text_statistics(live).term_frequency()
-        tf.write.mode("overwrite").parquet(f"{path}/tf/version={version}")
-        vectors = live.select("unit_key", "content").join(hashing_dense(live, "unit_key", "text"), "unit_key")
-        vectors.write.mode("overwrite").parquet(f"{path}/vectors/version={version}")
+        tf = text_statistics(live.select("unit_key", "text")).term_frequency().persist()
+        vectors = live.join(hashing_dense(live, "unit_key", "text"), "unit_key").withColumn("version", F.lit(version))
+        gone = live.where("replaced IS NOT NULL").select("unit_key", F.col("replaced").alias("version"))
+        out = met(spark, path, "tf", gone).join(gone, ["unit_key", "version"], "left_semi")
+        changes = tf.select("word", F.lit(1).alias("n")).unionByName(out.select("word", F.lit(-1).alias("n")))
+        df = changes.groupBy("word").agg(F.sum("n").alias("df")).where("df != 0")
+        _write(path, Segment(BUCKETS, version, version), vectors, tf.withColumn("version", F.lit(version)), df)
+        tf.unpersist()
     finally:
         live.unpersist()
+        given.unpersist()
 
 
 def current(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """Rows of the newest version of every unit."""
-    newest = (
-        spark.read.parquet(f"{path}/vectors").groupBy("unit_key").agg(F.max("version").alias("version"))
-    )
-    return spark.read.parquet(f"{path}/{table}").join(newest, ["unit_key", "version"], "left_semi")
+    """Rows of the newest version of every unit, of the table `units` or `tf`."""
+    chosen = segments(spark, path)
+    return _newest(_read(spark, path, table, chosen), _read(spark, path, "units", chosen)).drop("buckets", "first", "last", "bucket")
 
 
 def document_frequency(spark: SparkSession, path: str) -> DataFrame:
-    """Statistics are re-aggregated from the stored term counts, never from the texts."""
-    return current(spark, path, "tf").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    """(word, df) from the stored differences, never from texts or term counts."""
+    return _read(spark, path, "df", segments(spark, path)).groupBy("word").agg(F.sum("df").alias("df")).where("df > 0")
 
 
 def maintain(stream: DataFrame, path: str) -> None:
-    """Drain a stream of units into the index."""
+    """Drain a stream of units into the store; store and checkpoint belong together."""
     query = (
         stream.writeStream.foreachBatch(lambda batch, batch_id: add_units(batch, path, batch_id))
         .option("checkpointLocation", path + "-checkpoint")
