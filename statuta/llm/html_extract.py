@@ -33,7 +33,9 @@ BLOCKS = frozenset(
     "footer form h1 h2 h3 h4 h5 h6 header hgroup li main menu nav ol p pre section summary table tbody td tfoot th "
     "thead tr ul caption legend".split()
 )
-SKIPPED = frozenset("script style title textarea template noscript iframe svg select button object canvas math audio video".split())
+RAW = frozenset("script style title textarea noscript iframe".split())  # no markup inside, no self-closing form
+HIDDEN = frozenset("template svg select button object canvas math audio video".split())
+FOREIGN = frozenset("svg math".split())  # a slash ends them
 ENDS_P = BLOCKS - frozenset("html body dd dt li td th tr tbody thead tfoot caption summary legend figcaption".split())
 SAME = {  # an opening tag ends an open element of these kinds, up to the element that holds them
     "li": (("li",), ("ul", "ol", "menu", "dir")),
@@ -52,8 +54,11 @@ CHROME = frozenset(
 )
 CONTENT = frozenset("article articlebody main content post entry story blogpost maincontent".split())
 
+# A quote counts only where a value begins; nothing is tried twice, so reading is linear in the page.
 TAG = re.compile(
-    r"""<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(>|\Z))""", re.DOTALL
+    r"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)"""
+    r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+)(?:>|\Z))""",
+    re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 TOKEN = re.compile(r"[a-z]+")
@@ -67,6 +72,10 @@ class Page:
         self.chrome, self.content = [0], [0]
         self.text: list[tuple[int, str, int]] = []  # element, text, characters inside links
         self._open, self._links, self._parts, self._linked = [0], 0, [], 0
+        self._places: dict[str, list[int]] = {}  # of a tag: where it stands among the open elements
+        self._hidden: list[str] = []  # an element whose text is left out, and what is open in it
+        self._to_block = False  # it has no end tag, so the next block ends it
+        self._ends: dict[str, int] = {}  # of a tag: where its next end tag begins, as far as looked for
         self._read(source)
 
     def _end_text(self) -> None:
@@ -78,9 +87,44 @@ class Page:
 
     def _close(self, place: int) -> None:
         self._end_text()
+        for element in self._open[place:]:
+            self._places[self.tag[element]].pop()
         del self._open[place:]
         self._links = 0
 
+    def _last(self, *tags: str) -> int:
+        """Where the innermost open element of these kinds stands; 0 without."""
+        return max((places[-1] for t in tags if (places := self._places.get(t))), default=0)
+
+    def _next_end(self, source: str, tag: str, at: int) -> int:
+        """Where the next end tag of this kind begins, the page's length without; the page is passed once a tag."""
+        found = self._ends.get(tag, -1)
+        if found < at:
+            ahead = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.IGNORECASE).search(source, at)
+            found = self._ends[tag] = ahead.start() if ahead else len(source)
+        return found
+
+    def _stays_hidden(self, closing: str, tag: str) -> bool:
+        """Whether a tag inside a hidden element is done with; otherwise the element has ended before it.
+
+        It ends with its end tag, with the element that holds it, with another one of its kind, and, if it
+        has no end tag, with the next block.
+        """
+        if tag not in BLOCKS and tag not in HIDDEN:
+            return True
+        if self._to_block or (not closing and tag == self._hidden[0] and tag in ("button", "select")):
+            self._hidden = []
+            return False
+        if not closing:
+            self._hidden.append(tag)
+        elif tag in self._hidden:
+            while self._hidden.pop() != tag:
+                pass
+        elif self._last(tag):
+            self._hidden = []
+            return False
+        return True
+
     def _read(self, source: str) -> None:
         at, end = 0, len(source)
         while at < end:
@@ -90,14 +134,20 @@ class Page:
             if found.start() > at:
                 self._add(source[at : found.start()])
             at = found.end()
-            closing, tag, attributes, _ = found.groups()
+            closing, tag, attributes = found.groups()
             if tag is None:
                 continue
             tag = tag.lower()
-            if tag in SKIPPED:
-                if not closing and not attributes.endswith("/"):
-                    gone = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(source, at)
+            if tag in RAW:
+                if not closing:
+                    gone = TAG.match(source, self._next_end(source, tag, at))
                     at = gone.end() if gone else end
+            elif self._hidden and self._stays_hidden(closing, tag):
+                continue
+            elif tag in HIDDEN:
+                if not closing and not (tag in FOREIGN and attributes.endswith("/")):
+                    self._hidden = [tag]
+                    self._to_block = self._next_end(source, tag, at) == end
             elif tag in BLOCKS:
                 self._ended(tag) if closing else self._begun(tag, attributes)
             elif tag == "a":
@@ -112,6 +162,8 @@ class Page:
         self._end_text()
 
     def _add(self, raw: str) -> None:
+        if self._hidden:
+            return
         text = entities.unescape(raw) if "&" in raw else raw
         self._parts.append(text)
         if self._links:
@@ -121,21 +173,12 @@ class Page:
         if tag in ("html", "body"):
             return
         tags, stack = self.tag, self._open
-        if tag in ENDS_P:
-            for place in range(len(stack) - 1, 0, -1):
-                if tags[stack[place]] == "p":
-                    self._close(place)
-                    break
-                if tags[stack[place]] in ("td", "th", "table", "button"):
-                    break
+        if tag in ENDS_P and (place := self._last("p")) > self._last("td", "th", "table"):
+            self._close(place)
         if tag in SAME:
             ended, holders = SAME[tag]
-            for place in range(len(stack) - 1, 0, -1):
-                if tags[stack[place]] in ended:
-                    self._close(place)
-                    break
-                if tags[stack[place]] in holders:
-                    break
+            if (place := self._last(*ended)) > self._last(*holders):
+                self._close(place)
         self._end_text()
         tokens = {tag}
         if attributes:
@@ -145,14 +188,14 @@ class Page:
         tags.append(tag)
         self.chrome.append(len(tokens & CHROME))
         self.content.append(len(tokens & CONTENT))
+        self._places.setdefault(tag, []).append(len(stack))
         stack.append(len(tags) - 1)
 
     def _ended(self, tag: str) -> None:
-        for place in range(len(self._open) - 1, 0, -1):
-            if self.tag[self._open[place]] == tag:
-                self._close(place)
-                return
-        self._end_text()
+        if place := self._last(tag):
+            self._close(place)
+        else:
+            self._end_text()
 
     def features(self) -> np.ndarray:
         """One row an element. Tokens stand in columns TOKENS."""
@@ -342,13 +385,13 @@ def furnished(source: str) -> str:
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE, seed: int = 11) -> Trees | None:
-    """Trees from about `sample` pages (chosen by a hash of the id) whose markup tells enough; None without."""
+    """Trees from about `sample` pages (chosen by a hash of id and page, alike ones once) whose markup tells enough; None without."""
     rows = pages.where(F.col(html_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(html_col).cast("string").alias("html"))
     n = rows.select("id").count()
     if not n:
         return None
     share = min(1.0, sample / n)
-    draw = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit(seed)), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), "html", F.lit(seed)), F.lit(1 << 30))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -361,8 +404,9 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
                 names=["id", "x", "y"],
             )
 
-    told = rows.where(draw <= F.lit(int(share * (1 << 30)))).mapInArrow(read, "id STRING, x BINARY, y BINARY").toArrow()
-    told = told.sort_by([("id", "ascending")])
+    drawn = rows.where(draw <= F.lit(int(share * (1 << 30)))).dropDuplicates(["id", "html"])
+    told = drawn.mapInArrow(read, "id STRING, x BINARY, y BINARY").toArrow()
+    told = told.sort_by([("id", "ascending"), ("x", "ascending")])
     x = np.frombuffer(b"".join(told["x"].to_pylist()), np.float32).reshape(-1, WIDTH)
     y = np.frombuffer(b"".join(told["y"].to_pylist()), np.int8).astype(float)
     if len(y) < 50 or y.min() == y.max():
@@ -378,7 +422,8 @@ def main_text(
     """(id, url, text, n_chars) for every row.
 
     A null or empty page has an empty text. Broken markup is read as far as it goes: open elements end with
-    the page, an unfinished tag is dropped. Repeated rows and null ids are kept; an empty table gives an
+    the page, an unfinished tag is dropped, a quote counts only where a value of an attribute begins, and a
+    button, a video or the like without an end tag ends at the next block. Repeated rows and null ids are kept; an empty table gives an
     empty result; columns other than the three named ones are not read. Pages of any length are read whole.
     """
     model = train(pages, id_col, html_col) if trees is None and learn else trees

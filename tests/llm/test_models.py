@@ -2,6 +2,7 @@
 
 import html
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -238,3 +239,55 @@ def test_nothing_is_kept_below_a_dropped_element():
                 if value > best:
                     best, kept = value, choice
         assert H.decode(parent, odds).tolist() == kept
+
+
+def read_text(source):
+    return [text for _, text, _ in H.Page(source).text]
+
+
+@pytest.mark.parametrize(
+    "source, texts",
+    [
+        ("<script src=/a.js/>var x=1;</script><p>ok", ["ok"]),
+        ("<title/>t</title><p>ok", ["ok"]),
+        ("<p>a</p><button>b<p>c</p>", ["a", "c"]),
+        ("<nav><button>m</nav><p>c</p><button>n</button>", ["c"]),
+        ("<button>a<div>b</div></button>c", ["c"]),
+        ("<p>1<button>2<button>3</button>4", ["14"]),
+        ("<select><option>a<option>b</select>c", ["c"]),
+        ("<p>a<svg/>b<video><p>no</p></video>", ["ab"]),
+        ('<a href="x"" class=y>link</a> t', ["link t"]),
+        ("<p title='>t</p><p>u", ["t", "u"]),
+        ('<p title="a>b">t', ["t"]),
+        ('<p>x < y <3 "q" <!--> z', ['x < y <3 "q" z']),
+        ("<p>a<script>b", ["a"]),
+        ("<p>a<b c", ["a"]),
+    ],
+)
+def test_broken_markup_is_read_as_far_as_it_goes(source, texts):
+    assert read_text(source) == texts
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        lambda n: "<a " * n + '"',
+        lambda n: '<a x="' * n,
+        lambda n: "<div>" * n + "<p>x" * n,
+        lambda n: "<p><table>" + "<div>" * n + "<p>x" * n,
+        lambda n: "<button>" * n + "<script>" * n + "<!-- " * n,
+        lambda n: "<video>x" * n + "</video>" * n,
+        lambda n: "<ul>" * n + "<li>a" * n,
+    ],
+)
+def test_time_to_read_grows_with_the_page_only(source):
+    page = source(40_000)
+    start = time.process_time()
+    H.Page(page)
+    assert time.process_time() - start < 30  # a square would take hours
+
+
+def test_sample_does_not_hang_on_ids(spark):
+    """Rows without an id, and rows alike, neither fill the sample nor stay out of it as one."""
+    table = spark.read.parquet(f"{FOLDER}/pages.parquet").select(F.lit(None).cast("long").alias("page_id"), "url", "html")
+    assert H.train(table.unionByName(table).unionByName(table), sample=200) is not None
