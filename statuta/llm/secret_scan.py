@@ -233,9 +233,11 @@ SPAN = "array<struct<start:int,no:int,kind:string,end:int>>"
 
 
 def spans(docs: DataFrame, text_col: str = "text", rate: float = FALSE_RATE) -> DataFrame:
-    """The rows with `_base` and `_all`: spans (start, no, kind, end) by start and then kind, in code points."""
+    """(_row, _base, _all): the row as a struct, so that no name of its columns meets one of these, and its
+    spans (start, no, kind, end) by start and then kind, in code points."""
     text = F.col("_text")
-    df = docs.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    df = docs.select(row.alias("_row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     patterns = {"_assign": ASSIGN, "_access": ACCESS, "_hex": HEX, "_run": RUN}
     df = df.withColumns({k: F.regexp_extract_all(text, F.lit(p), F.lit(0)) for k, p in patterns.items()})
     df = df.withColumn(
@@ -271,7 +273,7 @@ def spans(docs: DataFrame, text_col: str = "text", rate: float = FALSE_RATE) ->
     df = df.withColumn("_judged", F.when(F.size("_run") > 0, _judged(F.filter(_candidates(runs), apart))))
     found = F.when(F.size("_judged") > 0, _sifted(F.col("_judged"), rate)).otherwise(F.array().cast(NONE))
     df = df.withColumn("_all", F.array_sort(F.concat(F.col("_base"), spelled(found, 3))))
-    return df.select(*docs.columns, "_base", "_all")
+    return df.select("_row", "_base", "_all")
 
 
 def _spelled(at: Column) -> Column:
@@ -291,7 +293,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = spans(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")), "text", rate)
     of = lambda i: F.size(F.filter("_base", lambda x: x["no"] == i)).cast("long")
     return rows.select(
-        id_col,
+        F.col("_row").getField(id_col).alias(id_col),
         of(0).alias("n_assign"),
         of(1).alias("n_access"),
         of(2).alias("n_hex"),
@@ -303,22 +305,26 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redacted(docs: DataFrame, mask: str = MASK) -> DataFrame:
     """The rows with every span of `text` replaced by the mask, and n_chars counted anew where it is one.
 
-    Overlapping spans are replaced together. Rows without spans, and null texts, stay as they are.
+    Overlapping spans are replaced together. Rows without spans, and null texts, stay as they are, as do all
+    other columns, whatever their names.
     """
     rows = spans(docs)
+    whole = F.col("_row").getField("text")
     begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(s: Column, x: Column) -> Column:
-        between = F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"])
+        between = F.substring(whole, s["at"] + 1, x["start"] - s["at"])
         out = F.when(x["start"] >= s["at"], F.concat(s["out"], between, F.lit(mask))).otherwise(s["out"])
         return F.struct(out.alias("out"), F.greatest(s["at"], x["end"]).alias("at"))
 
     clean = F.aggregate(
-        "_all", begin, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text")))
+        "_all", begin, step, lambda s: F.concat(s["out"], F.substring(whole, s["at"] + 1, F.length(whole)))
     )
-    text = F.when(F.size("_all") > 0, clean).otherwise(F.col("text"))
-    out = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
+    found = F.size("_all") > 0
+    rows = rows.select("_row", found.alias("_found"), F.when(found, clean).otherwise(whole).alias("_clean"))
+    columns = {c: F.col("_row").getField(c) for c in docs.columns}
+    if "n_chars" in columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("_all") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        columns["n_chars"] = F.when(F.col("_found"), F.length("_clean").cast(kind)).otherwise(columns["n_chars"])
+    columns["text"] = F.col("_clean")
+    return rows.select(*[value.alias(c) for c, value in columns.items()])

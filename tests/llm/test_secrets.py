@@ -48,10 +48,13 @@ def test_random_keys_are_found_and_words_are_not(spark):
 
 
 def test_redaction(spark, odd, empty):
-    rows = [(1, "a token=abcdef12 b", 18, "x"), (2, None, None, "x"), (3, "clean", 5, "x"), (4, "secret: deadbeefdeadbeefdeadbeefdeadbeef", 40, "x")]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, _all string")
-    got = secret_scan.redacted(frame.drop("_all")).orderBy("doc_id").collect()
-    assert [tuple(x) for x in got] == [(1, "a [SECRET] b", 12), (2, None, None), (3, "clean", 5), (4, "[SECRET]", 8)]
+    rows = [(1, "a token=abcdef12 b", 18), (2, None, None), (3, "clean", 5), (4, "secret: deadbeefdeadbeefdeadbeefdeadbeef", 40)]
+    names = ["_all", "_base", "_run", "_row", "_text", "_clean", "_found", "a.b"]  # the operator's own, and an odd one
+    schema = "doc_id long, text string, n_chars int, " + ", ".join(f"`{n}` string" for n in names)
+    frame = spark.createDataFrame([(*row, *names) for row in rows], schema)
+    got = secret_scan.redacted(frame).orderBy("doc_id").collect()
+    wanted = [(1, "a [SECRET] b", 12), (2, None, None), (3, "clean", 5), (4, "[SECRET]", 8)]
+    assert [tuple(x) for x in got] == [(*row, *names) for row in wanted] and got[0].__fields__ == frame.columns
     assert secret_scan.redacted(odd).columns == odd.columns and secret_scan.redacted(odd).count() == 8
     assert secret_scan.secret_spans(empty).collect() == []
 
