@@ -77,8 +77,12 @@ def admit(
     walked = (
         stretched.join(contested, ["address", "stretch"], "left_semi")
         .select("address", "stretch", "us", "request_id")
-        .repartition("address", "stretch")
+        # by a column of its own: a repartition by the keys of the join is left out as done, and a join that
+        # is planned anew at run time then deals the rows of a stretch to several tasks
+        .withColumn("_deal", F.xxhash64("address", "stretch"))
+        .repartition("_deal")
         .sortWithinPartitions("address", "stretch", "us", "request_id")
+        .drop("_deal")
     )
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -51,3 +51,18 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema("request_id long, address string, ts timestamp").parquet(str(tmp_path / "in"))
     got = {r["request_id"]: r["admitted"] for r in drain(admission.admit_stream(stream, 3, 60.0)).collect()}
     assert got == brute(rows, 3, 60.0)
+
+
+def test_a_stretch_is_walked_in_one_piece_when_a_join_is_planned_anew(spark):
+    rows = data(11, 600, 0.9)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # a large table: the join turns small only when it runs
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10MB")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["request_id"]: r["admitted"] for r in admission.admit(frame(spark, rows), 3, 60.0).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == brute(rows, 3, 60.0)
