@@ -326,7 +326,7 @@ def sentences_sql(key: str, source: str, column: str = "text") -> str:
 )
 def x14(spark, sf):
     src = load(spark, sf, "conversations").selectExpr("conv_id * 100 + turn AS id", f"{TALK_EXPR} AS text")
-    return src.select("id", F.explode(F.array_distinct(text.sentences(F.col("text")))).alias("sentence"))
+    return src.select("id", F.explode(F.array_distinct(text.sentences(F.col("text")))).alias("sentence")).distinct()
 
 
 @query(

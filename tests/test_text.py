@@ -79,3 +79,23 @@ def test_only_rhetorical_questions_are_kept(spark):
 
 def test_boilerplate(spark):
     assert one(spark, text.cut_boilerplate, "(3)\nDSGVO\nText bleibt\n← Art. 5 DSGVO →\nFehler melden weg") == "Text bleibt"
+
+
+def test_a_derived_sentence_counts_each_time(spark):
+    twice = "Das System liest Zeitungen aus aller Welt. Die Software liest Zeitungen aus aller Welt."
+    df = spark.createDataFrame([(twice,)], "t string").select(text.sentences(F.col("t")).alias("s"))
+    assert df.first()["s"][2:] == ["Wir liest Zeitungen aus aller Welt."] * 2
+
+
+def test_sentences_of_turns_with_one_id_are_distinct(spark, tmp_path):
+    from statuta.registry.text import x14
+
+    rows = [(1, 100, "user", "Wir lesen."), (2, 0, "user", "Wir lesen.")]  # conv_id * 100 + turn is 200 for both
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = [tuple(r) for r in x14(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) > 0
+
+
+def test_the_first_word_of_a_preamble_ends_before_an_umlaut(spark):
+    said = "Dieäutz und mehr nicht, die die Schriften aller Welt liest."
+    assert one(spark, text.sentences, said) == [said, "Wir die Schriften aller Welt liest."]
