@@ -35,7 +35,25 @@ def partition_by_page(nodes: DataFrame) -> DataFrame:
     return nodes.repartition("page_id")
 
 
-def enclosing(nodes: DataFrame, test: Column, name: str, value: Column) -> DataFrame:
+def enclosing(nodes: DataFrame, tag: str | None, pattern: str, name: str, start: int = 1) -> DataFrame:
+    """Adds `name`: (seq, value) of the innermost node of the tag and an id of that form that holds the row.
+
+    The value is the id from character `start` on. Nodes know the ids above them, so nothing is shuffled; where
+    ids were given afterwards, the last such node in page order that still encloses the row counts.
+    """
+    test = _is_id(pattern) if tag is None else (F.col("tag") == tag) & _is_id(pattern)
+    value = F.substr("node_id", F.lit(start))
+    if "up" not in nodes.columns:
+        return enclosing_before(nodes, test, name, value)
+    above = F.try_element_at(
+        F.filter("up", lambda u: u["id"].rlike(pattern) & (F.lit(True) if tag is None else u["tag"] == tag)), F.lit(-1)
+    )
+    own = F.when(test, F.struct("seq", value.alias("value")))
+    held = let(above, lambda u: F.when(u.isNotNull(), F.struct(u["seq"].alias("seq"), F.substr(u["id"], F.lit(start)).alias("value"))))
+    return nodes.withColumn(name, F.coalesce(own, held))
+
+
+def enclosing_before(nodes: DataFrame, test: Column, name: str, value: Column) -> DataFrame:
     """Adds `name`: (seq, end_seq, value) of the last matching node that still encloses the row."""
     order = W.partitionBy("page_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
     last = F.last(F.when(test, F.struct("seq", "end_seq", value.alias("value"))), ignorenulls=True).over(order)
@@ -45,37 +63,34 @@ def enclosing(nodes: DataFrame, test: Column, name: str, value: Column) -> DataF
     ).drop("_c")
 
 
-def first_inside(nodes: DataFrame, container: str, test: Column, name: str) -> DataFrame:
-    """Adds `name`: text of the first node in the container that passes the test."""
-    order = (
-        W.partitionBy("page_id", F.col(container + ".seq"))
-        .orderBy("seq")
-        .rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+def first_inside(ctx: DataFrame, container: str, names: str, title: str) -> DataFrame:
+    """(page_id, <container>_seq, title): text of the first node of such a class in every container."""
+    return (
+        ctx.where(F.col(container).isNotNull() & has_class(names) & F.col("text").isNotNull())
+        .groupBy("page_id", F.col(container + ".seq").alias(container + "_seq"))
+        .agg(F.min_by("text", "seq").alias(title))
     )
-    inside = F.col(container).isNotNull() & test
-    return nodes.withColumn(name, F.first(F.when(inside, F.col("text")), ignorenulls=True).over(order))
 
 
 def with_context(nodes: DataFrame) -> DataFrame:
-    """Nodes with their article, annex, chapter and section, and the titles of these."""
-    n = partition_by_page(nodes)
-    n = enclosing(n, _is_id(r"^cpt_[IVXLC]+$"), "cpt", F.col("node_id"))
-    n = enclosing(n, _is_id(r"^cpt_[IVXLC]+\.sct_\d+$"), "sct", F.col("node_id"))
-    n = enclosing(
-        n, (F.col("tag") == "div") & _is_id(r"^art_\d+$"), "art", F.substr("node_id", F.lit(5))
-    )
-    n = first_inside(n, "cpt", has_class("oj-ti-section-1|oj-ti-section-2"), "_cpt_title")
-    n = first_inside(n, "sct", has_class("oj-ti-grseq-1"), "_sct_title")
-    n = first_inside(n, "art", has_class("eli-title"), "_eli_title")
-    n = first_inside(n, "art", has_class("oj-sti-art"), "_sti_title")
-    chapter = F.coalesce("_cpt_title", F.replace("cpt.value", F.lit("cpt_"), F.lit("Kapitel ")))
-    section = F.coalesce("_sct_title", F.substring_index("sct.value", ".", -1))
-    return n.select(
-        *[c for c in n.columns if not c.startswith("_")],
-        F.when(F.col("cpt").isNotNull(), chapter).otherwise("").alias("chapter"),
-        F.when(F.col("sct").isNotNull(), section).otherwise("").alias("section"),
-        F.coalesce("_eli_title", "_sti_title", F.lit("")).alias("article_title"),
+    """Nodes with the chapter, section and article that hold them; their titles are looked up for articles only."""
+    n = nodes if "up" in nodes.columns else partition_by_page(nodes)
+    n = enclosing(n, None, r"^cpt_[IVXLC]+$", "cpt")
+    n = enclosing(n, None, r"^cpt_[IVXLC]+\.sct_\d+$", "sct")
+    return enclosing(n, "div", r"^art_\d+$", "art", 5)
+
+
+def unit_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes with their context, with the texts that the unit rules read and no others, written once.
+
+    A text stands in every node around it; those of chapters, rows and cells are the larger part.
+    """
+    read = (
+        (F.col("tag") == "table")
+        | has_class(r"oj-ti-section-[12]|oj-ti-grseq\S*|eli-title|oj-sti-art|oj-normal|oj-doc-ti")
+        | _is_id(r"^(?:art_\d+|\d{3}\.\d{3}|anx_[IVXLC]+|rct_\d+)$")
     )
+    return cut_lineage(with_context(nodes.withColumn("text", F.when(read, F.col("text"))).drop("path")), "nodes")
 
 
 def table_labels(nodes: DataFrame) -> DataFrame:
@@ -83,34 +98,16 @@ def table_labels(nodes: DataFrame) -> DataFrame:
 
     The label is the first non-empty cell among all but the last; the next cell holds the text.
     """
-    inside = nodes.where(F.col("tag").isin("tr", "td", "th")).select(
-        "page_id", "seq", "tag", "path", "text"
-    )
-    tables = nodes.where("tag = 'table'").select("page_id", F.col("seq").alias("table_seq"))
-    rows = inside.select("page_id", "seq", "tag", "path", "text", F.explode("path").alias("table_seq")).join(
-        tables, ["page_id", "table_seq"]
-    )
-    first_row = W.partitionBy("page_id", "table_seq")
-    cells = (
-        rows.withColumn("_row", F.min(F.when(F.col("tag") == "tr", F.col("seq"))).over(first_row))
-        .where("tag <> 'tr' AND array_contains(path, _row)")
-        .groupBy("page_id", "table_seq")
-        .agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("_cells"))
-    )
-    named = F.filter(
-        F.slice("_cells", 1, F.greatest(F.size("_cells") - 1, F.lit(0))),
-        lambda c: F.length(c["text"]) > 0,
-    )
-    label = F.try_element_at(named, F.lit(1))
-    after = F.filter("_cells", lambda c: c["seq"] > label["seq"])
-    return cells.select(
-        "page_id",
-        "table_seq",
-        F.size("_cells").alias("cells"),
-        F.regexp_replace(F.element_at("_cells", 1)["text"], r"[.)]+$", "").alias("first_cell"),
-        F.coalesce(F.regexp_replace(label["text"], r"[.)]+$", ""), F.lit("")).alias("label"),
-        F.try_element_at(after, F.lit(1))["seq"].alias("text_cell"),
-    )
+    return nodes.where("tag = 'table' AND label IS NOT NULL").select("page_id", F.col("seq").alias("table_seq"), *_label_columns())
+
+
+def _label_columns() -> list[Column]:
+    return [
+        F.col("label.cells").alias("cells"),
+        F.regexp_replace("label.first", r"[.)]+$", "").alias("first_cell"),
+        F.coalesce(F.regexp_replace("label.label", r"[.)]+$", ""), F.lit("")).alias("label"),
+        F.col("label.text_cell").alias("text_cell"),
+    ]
 
 
 def without_label(text: Column, label: Column) -> Column:
@@ -121,21 +118,37 @@ def without_label(text: Column, label: Column) -> Column:
 
 def item_tables(ctx: DataFrame) -> DataFrame:
     """Tables with label, first cell and text without the label."""
-    labels = table_labels(ctx)
-    return ctx.where("tag = 'table'").join(
-        labels.withColumnRenamed("table_seq", "seq"), ["page_id", "seq"]
+    return ctx.where("tag = 'table' AND label IS NOT NULL").select(
+        *[c for c in ctx.columns if c != "label"], *_label_columns()
     )
 
 
 def article_bodies(ctx: DataFrame) -> DataFrame:
-    """One row per article container with its context."""
-    return ctx.where(F.col("seq") == F.col("art.seq")).select(
+    """One row per article container with its title, chapter and section."""
+    bodies = ctx.where(F.col("seq") == F.col("art.seq")).select(
         "page_id",
         F.col("art.seq").alias("art_seq"),
         F.col("art.value").alias("number"),
-        F.col("article_title").alias("title"),
-        "chapter",
-        "section",
+        F.col("cpt.seq").alias("cpt_seq"),
+        F.col("sct.seq").alias("sct_seq"),
+        F.replace("cpt.value", F.lit("cpt_"), F.lit("Kapitel ")).alias("_cpt"),
+        F.substring_index("sct.value", ".", -1).alias("_sct"),
+        "text",
+    )
+    for container, names, title in (
+        ("cpt", "oj-ti-section-1|oj-ti-section-2", "_cpt_title"),
+        ("sct", "oj-ti-grseq-1", "_sct_title"),
+        ("art", "eli-title", "_eli_title"),
+        ("art", "oj-sti-art", "_sti_title"),
+    ):
+        bodies = bodies.join(first_inside(ctx, container, names, title), ["page_id", container + "_seq"], "left")
+    return bodies.select(
+        "page_id",
+        "art_seq",
+        "number",
+        F.coalesce("_eli_title", "_sti_title", F.lit("")).alias("title"),
+        F.when(F.col("cpt_seq").isNotNull(), F.coalesce("_cpt_title", "_cpt")).otherwise("").alias("chapter"),
+        F.when(F.col("sct_seq").isNotNull(), F.coalesce("_sct_title", "_sct")).otherwise("").alias("section"),
         "text",
     )
 
@@ -180,7 +193,7 @@ def paragraphs(ctx: DataFrame) -> DataFrame:
         body.alias("text"),
         F.col("seq").alias("box_seq"),
     ).where("text <> ''")
-    bodies = article_bodies(ctx).select("page_id", "art_seq")
+    bodies = ctx.where(F.col("seq") == F.col("art.seq")).select("page_id", F.col("art.seq").alias("art_seq"))
     loose = (
         ctx.where((F.col("tag") == "p") & has_class("oj-normal") & F.col("art").isNotNull() & (F.col("text") != ""))
         .select("page_id", F.col("art.seq").alias("art_seq"), "seq", "text")
@@ -328,12 +341,8 @@ def article_units(ctx: DataFrame, act: Column) -> DataFrame:
 
 def annex_units(nodes: DataFrame, act: Column) -> DataFrame:
     """Annexes, their points grouped by section headings, and nested points."""
-    ctx = enclosing(
-        partition_by_page(nodes),
-        (F.col("tag") == "div") & _is_id(r"^anx_[IVXLC]+$"),
-        "anx",
-        F.substr("node_id", F.lit(5)),
-    ).where("anx IS NOT NULL")
+    nodes = nodes if "up" in nodes.columns else partition_by_page(nodes)
+    ctx = enclosing(nodes, "div", r"^anx_[IVXLC]+$", "anx", 5).where("anx IS NOT NULL")
     titles = ctx.where(has_class("oj-doc-ti"))
     in_annex = W.partitionBy("page_id", "anx.seq").orderBy("seq")
     second = (
@@ -404,7 +413,8 @@ def annex_points(ctx: DataFrame) -> DataFrame:
         F.nullif(F.regexp_extract("text", pattern, 2), F.lit("")),
     )
     order = W.partitionBy("page_id", "anx.seq").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    grouped = ctx.withColumn("group", F.last(F.when(heading, named), ignorenulls=True).over(order))
+    carrying = ctx.where(heading | (F.col("tag") == "table"))
+    grouped = carrying.withColumn("group", F.last(F.when(heading, named), ignorenulls=True).over(order))
     items = item_tables(grouped).where("text_cell IS NOT NULL").select(
         "page_id",
         F.col("anx.seq").alias("anx_seq"),
@@ -461,8 +471,8 @@ def recital_units(nodes: DataFrame, act: Column) -> DataFrame:
 
 def statute_units(nodes: DataFrame, act: str = K.ACT_BDSG) -> DataFrame:
     """§ units of a statute page: parts and chapters only set context, independently of each other."""
-    ctx = enclosing(partition_by_page(nodes), has_class("jnnorm"), "norm", F.lit("")).where("norm IS NOT NULL")
-    ctx = enclosing(ctx, has_class("jnhtml"), "body", F.lit(""))
+    ctx = enclosing_before(partition_by_page(nodes), has_class("jnnorm"), "norm", F.lit("")).where("norm IS NOT NULL")
+    ctx = enclosing_before(ctx, has_class("jnhtml"), "body", F.lit(""))
 
     def first(test: Column) -> Column:
         return F.min_by(F.when(test, F.col("text")), F.when(test, F.col("seq")))
@@ -518,8 +528,7 @@ def regulation_units(nodes: DataFrame, act: str | Column) -> DataFrame:
     written once.
     """
     act = F.lit(act) if isinstance(act, str) else act
-    nodes = cut_lineage(nodes, "nodes")
-    ctx = cut_lineage(with_context(nodes), "context")
+    nodes = ctx = unit_nodes(nodes)
     return reduce(
         DataFrame.unionByName,
         [

@@ -61,7 +61,7 @@ def x01_units(spark, sf):
     named = P.rename_anchors(numbered, [("tag = 'article'", "'art_1'"), ("tag = 'p'", "concat('001.', lpad(_n, 3, '0'))")])
     boxed = named.withColumn("tag", F.when(F.col("tag").isin("article", "p"), "div").otherwise(F.col("tag")))
     boxed = boxed.withColumn("class", F.when(F.col("tag") == "h1", "eli-title").otherwise(F.col("class"))).drop("_n")
-    return U.article_units(U.with_context(boxed), F.lit("SEITE")).select(
+    return U.article_units(cut_lineage(U.with_context(boxed), "context"), F.lit("SEITE")).select(
         "page_id", "unit_key", "title", F.length("text").cast("bigint").alias("chars"))
 
 
@@ -110,7 +110,7 @@ def nodes(spark, sf):
 
 
 def context(spark, sf):
-    return cut_lineage(U.with_context(nodes(spark, sf)), "context")
+    return U.unit_nodes(nodes(spark, sf))
 
 
 def all_units(spark, sf):
@@ -175,7 +175,7 @@ def w03(spark, sf):
 
 @query("x06_label_cells", f"""WITH {SRC} SELECT label, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(['a', 'b', 'a', 'c', '1', '2', '1', 'a', 'i', '1', '2']) AS label FROM src) GROUP BY label""")
 def x06(spark, sf):
-    return U.table_labels(U.partition_by_page(nodes(spark, sf))).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return U.table_labels(nodes(spark, sf)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 ANNEX_SQL = f"""pt AS ({item('1', '1', joined('p1', "'a)'", 'p2', "'i)'", 'p3'), 60)} UNION ALL {item('a', '1-a', joined('p2', "'i)'", 'p3'), 40)}
@@ -184,7 +184,7 @@ ANNEX_SQL = f"""pt AS ({item('1', '1', joined('p1', "'a)'", 'p2', "'i)'", 'p3'),
 
 
 def annex(spark, sf):
-    return U.annex_units(nodes(spark, sf), F.lit(K.ACT_AI))
+    return U.annex_units(context(spark, sf), F.lit(K.ACT_AI))
 
 
 @query("x07_annex_points", f"WITH {SRC}, {ANNEX_SQL} SELECT page_id, 'KI-VO/anh-III/nr-' || mark AS unit_key, text FROM pt")
@@ -209,8 +209,7 @@ def x09(spark, sf):
 
 @query("x10_ancestor_context", f"WITH {SRC} SELECT page_id, 'KAPITEL II' AS chapter, p6 AS section FROM src")
 def x10(spark, sf):
-    ctx = context(spark, sf)
-    return ctx.where(F.col("seq") == F.col("art.seq")).where("section <> '' OR chapter <> ''").select("page_id", "chapter", "section")
+    return U.article_bodies(context(spark, sf)).where("section <> '' OR chapter <> ''").select("page_id", "chapter", "section")
 
 
 # statute pages: parts and chapters in front of paragraphs, a new part keeps the old chapter

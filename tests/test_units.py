@@ -69,3 +69,13 @@ def test_key_forms(spark):
     keys = ["KI-VO/art-6/abs-2-a", "KI-VO/art-3/nr-39", "KI-VO/anh-III/nr-5-a", "BDSG/par-26/abs-1", "fall/x", "KI-VO/art 6", "ohne", "KI-VO/teil-1"]
     df = spark.createDataFrame([(k,) for k in keys], "k string").select(quality.key_problem(F.col("k")).alias("p"))
     assert [r["p"] for r in df.collect()] == [None] * 5 + ["leerzeichen", "ohne_trenner", "form"]
+
+
+def test_labels_and_context_take_no_shuffle_of_page_texts(spark):
+    nodes = P.node_table(spark.createDataFrame([(1, PAGE)], "page_id long, html string"))
+    for df in (U.table_labels(nodes), U.with_context(nodes)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
+    kept = {r["tag"] for r in U.unit_nodes(nodes).where("text IS NOT NULL").collect()}
+    assert kept.isdisjoint({"tr", "td", "html", "body"})
+    assert [(r["label"], r["cells"]) for r in U.table_labels(nodes).orderBy("table_seq").limit(2).collect()] == [("a", 3), ("b", 3)]
