@@ -314,7 +314,8 @@ def s04(spark, sf):
         F.when(F.col("doc_id") % 10 != 3, F.col("doc_id").cast("string")).alias("kennung"), F.col("lang").alias("titel"),
         F.col("text").alias("lage"))
     files = load(spark, sf, "documents").groupBy(F.floor(F.col("doc_id") / 50)).agg(F.collect_list(fall).alias("faelle"))
-    files.select(F.to_json(F.struct("faelle"))).write.option("maxRecordsPerFile", 1).text(path)
+    lines = F.array_join(F.transform("faelle", lambda f: F.to_json(f)), ",\n")
+    files.select(F.concat(F.lit('{"faelle":[\n'), lines, F.lit("\n]}"))).write.option("maxRecordsPerFile", 1).text(path)
     return case_units(read_cases(spark, path)).select("unit_key", "title")
 
 
