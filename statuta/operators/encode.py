@@ -16,7 +16,9 @@ from statuta import constants as K
 from statuta.functions.vectors import blank_words, hash_buckets
 
 #: Words whose buckets a task keeps.
-KNOWN = 400_000
+KNOWN = 100_000
+#: Rows that are counted at a time.
+ROWS = 1_024
 
 
 @dataclass(frozen=True)
@@ -59,22 +61,28 @@ def hashing_dense(df: DataFrame, key: str, text: str, buckets: int = K.HASH_BUCK
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in batches:
-            lists = batch.column(1)
-            listed = lists.flatten().dictionary_encode()
-            if len(known) > KNOWN:
-                known.clear()
-            at = np.array([known[w] if w in known else known.setdefault(w, _bucket(w, buckets)) for w in listed.dictionary.to_pylist()], np.int64)
-            sizes = np.diff(np.asarray(lists.offsets)) * lists.is_valid().to_numpy(zero_copy_only=False)
-            place = np.repeat(np.arange(len(sizes)) * buckets, sizes) + (at[listed.indices.to_numpy()] if len(at) else 0)
-            dense = np.bincount(place.astype(np.int64), minlength=len(sizes) * buckets).reshape(-1, buckets).astype(np.float64)
-            ends = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * buckets)
-            rows = pa.ListArray.from_arrays(ends, pa.array(unit_rows(dense).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), rows], names=[key, "embedding"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                dense = unit_rows(bucket_counts(part.column(1), buckets, known))
+                ends = pa.array(np.arange(len(dense) + 1, dtype=np.int32) * buckets)
+                rows = pa.ListArray.from_arrays(ends, pa.array(dense.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), rows], names=[key, "embedding"])
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, blank_words(F.col(text)).alias("_w")).mapInArrow(count, f"{key} {kind}, embedding array<double>")
 
 
+def bucket_counts(lists: pa.ListArray, buckets: int, known: dict[str, int]) -> np.ndarray:
+    """Words per hash bucket, one row a list; `known` keeps the buckets of words between calls."""
+    listed = lists.flatten().dictionary_encode()
+    if len(known) > KNOWN:
+        known.clear()
+    at = np.array([known[w] if w in known else known.setdefault(w, _bucket(w, buckets)) for w in listed.dictionary.to_pylist()], np.int64)
+    sizes = np.diff(np.asarray(lists.offsets)) * lists.is_valid().to_numpy(zero_copy_only=False)
+    place = np.repeat(np.arange(len(sizes)) * buckets, sizes) + (at[listed.indices.to_numpy()] if len(at) else 0)
+    return np.bincount(place.astype(np.int64), minlength=len(sizes) * buckets).reshape(-1, buckets).astype(np.float64)
+
+
 def _bucket(word: str, buckets: int) -> int:
     """As `bucket` of the search words: the first 32 bits of the word's MD5."""
     return int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big") % buckets

@@ -388,10 +388,7 @@ def z03(spark, sf):
 @query("a10_best_purpose", DECIDE + " SELECT desc_id, unit_key, rule, round(sim, 4) AS value, sentence FROM bb")
 def a10(spark, sf):
     scored = purposes.score_pairs(pair_rows(spark, sf), PURPOSES, None)
-    catalogue = spark.createDataFrame([(p.id, p.text, p.key, p.klass, p.rule, p.counter, list(p.required)) for p in PURPOSES],
-                                      "line_id int, purpose string, unit_key string, class string, rule string, counter boolean, required array<string>")
-    named = scored.join(F.broadcast(catalogue), "line_id").where("NOT counter")
-    return purposes.best_per_key(named, "desc_id").select("desc_id", "unit_key", "rule", F.round("value", 4).alias("value"), "sentence")
+    return purposes.best_purposes(scored, PURPOSES, "desc_id").select("desc_id", "unit_key", "rule", F.round("value", 4).alias("value"), "sentence")
 
 
 @query("z04_purpose_decision", DECIDE + """ SELECT desc_id, unit_key, class, rule, round(sim, 4) AS value, purpose, sentence,
