@@ -16,6 +16,10 @@ from statuta.operators.bm25 import SCORE_DIGITS, top_per_query
 
 QUERY_BLOCK = 1_024
 UNIT_BLOCK = 8_192
+#: Queries up to which every task gets them all; the units then stay where they are.
+PASSED = 4_096
+#: Units that are multiplied at a time where they pass by.
+PART = 4_096
 #: Blocks of units a slot holds, about.
 SLOT_BLOCKS = 4
 
@@ -29,15 +33,20 @@ def dense_search(
 ) -> DataFrame:
     """Top-k units per query by dot product (cosine, as vectors are normalised).
 
-    Vectors travel in blocks, each once: a block of units goes to a slot, of which there are as many as the
-    units fill, and every slot gets a copy of each block of queries. In a slot the units come first and stay,
-    then the blocks of queries pass by; pairs of blocks are never rows. A slot hands on k rows a query.
+    Up to `PASSED` queries go to the tasks that read the units, which pass by in parts and leave k rows a
+    query and task; no vector of a unit is exchanged. Beyond, vectors travel in blocks, each once: a block of
+    units goes to a slot, of which there are as many as the units fill, and every slot gets a copy of each block
+    of queries. In a slot the units come first and stay, then the blocks of queries pass by; pairs of blocks are
+    never rows. A slot hands on k rows a query.
     A first product in single precision leaves the units that can be among the k best, within its rounding
     error; these are multiplied again in double precision.
     """
+    q_type = queries.schema["query_id"].dataType.simpleString()
+    few = queries.select("query_id", "embedding").limit(PASSED + 1).toArrow()
+    if few.num_rows <= PASSED:
+        return top_per_query(_passing(units.select("unit_key", "embedding"), few, q_type, k), k)
     slots = max(1, math.ceil(units.count() / (unit_block * SLOT_BLOCKS)))
     u_type = units.schema["unit_key"].dataType.simpleString()
-    q_type = queries.schema["query_id"].dataType.simpleString()
     own = _blocks(units.select("unit_key", "embedding"), u_type, unit_block).select(
         F.pmod(F.xxhash64("keys"), F.lit(slots)).cast("int").alias("slot"),
         F.lit(0).alias("side"),
@@ -77,6 +86,37 @@ def dense_search(
     return top_per_query(scored, k)
 
 
+def _passing(units: DataFrame, asked: pa.Table, q_type: str, k: int) -> DataFrame:
+    """(query_id, unit_key, score): the k best units of each task for every query."""
+    u_type = units.schema["unit_key"].dataType.simpleString()
+    kind = asked.schema.field("query_id").type
+    keys = asked["query_id"].to_pylist()
+    rows = _vectors(asked["embedding"].combine_chunks(), len(keys))
+    shared = units.sparkSession.sparkContext.broadcast((keys, rows))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, rows = shared.value
+        found: list[list[tuple]] = [[] for _ in keys]
+        unit_kind = None
+        for batch in batches:
+            unit_kind = batch.column(0).type
+            for at in range(0, batch.num_rows if keys else 0, PART):
+                part = batch.slice(at, PART)
+                for q in range(0, len(keys), QUERY_BLOCK):
+                    held = found[q : q + QUERY_BLOCK]
+                    _better(held, part.column(0).to_pylist(), _vectors(part.column(1), part.num_rows), rows[q : q + QUERY_BLOCK], k)
+                    found[q : q + QUERY_BLOCK] = held
+        if unit_kind is not None:
+            yield _rows(keys, found, [kind, unit_kind])
+
+    return units.mapInArrow(best, f"query_id {q_type}, unit_key {u_type}, score double")
+
+
+def _vectors(lists: pa.Array, n: int) -> np.ndarray:
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(n, -1) if n else flat.reshape(0, 0)
+
+
 def _matrix(raw: pa.Scalar, keys: list) -> np.ndarray:
     return np.frombuffer(raw.as_buffer(), np.float64).reshape(len(keys), -1)
 

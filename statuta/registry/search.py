@@ -218,9 +218,8 @@ def j01(spark, sf):
 
 @query("a02_bm25_score", SCORES_CTE + " SELECT query_id, unit_key, round(score, 5) AS score FROM bm")
 def a02(spark, sf):
-    return bm25.bm25_scores(
-        bm25.text_statistics(plan.searchable(units(spark, sf))), questions(spark, sf)
-    ).withColumn("score", SCORE)
+    u, q = plan.searchable(units(spark, sf)), questions(spark, sf)
+    return bm25.bm25_scores(bm25.asked_statistics(u, q), q).withColumn("score", SCORE)
 
 
 @query(

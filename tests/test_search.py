@@ -65,3 +65,15 @@ def test_fusion_counts_a_unit_listed_twice_twice(spark):
     ranked = spark.createDataFrame([(1, "a", 1, "fundstelle"), (1, "a", 2, "fundstelle"), (1, "b", 1, "stichwort")], "query_id long, unit_key string, rank int, way string")
     got = {r["unit_key"]: r["score"] for r in fusion.fuse(ranked).collect()}
     assert got == {"a": round(3 / 61 + 3 / 62, 9), "b": round(1 / 61, 9)}
+
+
+def test_few_queries_go_to_the_units_and_many_in_blocks(spark, monkeypatch):
+    units = spark.range(300).selectExpr("id AS unit_key", "array(cast(id % 17 AS double), cast(id % 5 AS double)) AS embedding")
+    queries = spark.range(7).selectExpr("id AS query_id", "array(1D, cast(id AS double)) AS embedding")
+    found = dense.dense_search(units, queries, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(slot" not in plan and plan.count("Exchange") == 1
+    few = rows(found, "query_id", "unit_key", "rank")
+    monkeypatch.setattr(dense, "PASSED", 6)
+    assert rows(dense.dense_search(units, queries, 4), "query_id", "unit_key", "rank") == few
+    assert dense.dense_search(units, queries.limit(0), 4).count() == 0
