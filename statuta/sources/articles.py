@@ -15,14 +15,18 @@ STEM_OF = {"artikel": "art", "anhang": "anh", "erwaegungsgrund": "erw"}
 MIN_PART = 25
 
 
-def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    """All article files below a folder; `_…` files, the contents file and unreadable rows are skipped."""
+def read_articles(spark: SparkSession, path: str, files: str = "*.json") -> DataFrame:
+    """All article files below a folder; `_…` files, the contents file and unreadable rows are skipped.
+
+    A file holds one article or a list of them; many small articles are better kept in lists, as every
+    file costs an opening. `files` is the pattern of the names that are read.
+    """
     name = F.element_at(F.split("_path", "/"), -1)
     reader = (
         spark.read.schema(ARTICLE_JSON_DDL)
         .option("multiLine", True)
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json")
+        .option("pathGlobFilter", files)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt")
     )

@@ -40,3 +40,12 @@ def test_cases_and_logs_are_lists_over_several_lines(spark, tmp_path):
         (tmp_path / f"{name}.json").write_text(json.dumps([{"index": i, "soll": name, "ist": "x"} for i in range(n)], indent=1))
         logs.append(str(tmp_path / f"{name}.json"))
     assert sorted((r["index"], r["soll"]) for r in read_logs(spark, logs).collect()) == [(0, "a"), (0, "b"), (1, "a"), (1, "b"), (2, "a")]
+
+
+def test_article_files_hold_up_to_fifty_articles(spark, tmp_path, monkeypatch):
+    from statuta.registry import corpus
+
+    spark.range(1000).selectExpr("id AS doc_id", "'s' AS source", "'de' AS lang", "concat('a', char(10), char(34), 'b') AS text").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(corpus, "scratch", lambda spark, name: str(tmp_path / name))
+    assert [tuple(r) for r in corpus.s03(spark, str(tmp_path)).collect()] == [(1000, 500)]
+    assert len([p for p in (tmp_path / "artikel").rglob("*.txt") if p.is_file()]) == 20
