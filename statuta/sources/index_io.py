@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from statuta.functions.text import settled
 from statuta.operators.bm25 import counted_rows, postings, saturation, text_statistics, totals
 from statuta.operators.encode import Encoder, encode, hashing_dense
+from statuta.operators.scale import BROADCAST_ROWS
 from statuta.plans.search import searchable
 from statuta.session import cut_lineage
 
@@ -129,10 +130,12 @@ def build_index(spark: SparkSession, units: DataFrame, path: str, encoder: Encod
         todo = pending(units, spark.read.parquet(target), model)
     else:
         todo = units.withColumn("content", content_hash()).withColumn("model", F.lit(model))
-    coded = (
-        encode(todo, "unit_key", "text", encoder) if encoder else hashing_dense(todo, "unit_key", "text")
-    )
-    todo.select("unit_key", "content", "model").join(coded, "unit_key").write.mode("append").parquet(target)
+    if encoder:
+        coded = todo.select("unit_key", "content", "model").join(encode(todo, "unit_key", "text", encoder), "unit_key")
+    else:  # what belongs to a vector passes the encoder with the key, so no vector is exchanged
+        named = todo.select(F.struct("unit_key", "content", "model").alias("row"), "text")
+        coded = hashing_dense(named, "row", "text").select("row.*", "embedding")
+    coded.write.mode("append").parquet(target)
     write_postings(spark, units, path, part)
     manifest(units, model, size).write.mode("overwrite").parquet(f"{path}/manifest")
 
@@ -151,7 +154,7 @@ def load_index(spark: SparkSession, path: str, units: DataFrame, model: str) ->
         raise ValueError(f"index belongs to another corpus: {row['units']} / {live['units']} units, first {first}")
     current = searchable(units).select("unit_key", content_hash().alias("content"))
     return Index(
-        vectors.join(current, ["unit_key", "content"], "left_semi"),
+        _current(vectors, current),
         spark.read.schema(TF_DDL).parquet(f"{path}/tf"),
         spark.read.parquet(f"{path}/blocks"),
         spark.read.parquet(f"{path}/totals"),
@@ -159,6 +162,17 @@ def load_index(spark: SparkSession, path: str, units: DataFrame, model: str) ->
     )
 
 
+def _current(vectors: DataFrame, current: DataFrame) -> DataFrame:
+    """The vectors whose key and content are those of a unit. Only keys are exchanged to find the others."""
+    keys = ["unit_key", "content"]
+    other = vectors.select(keys).join(current, keys, "left_anti").distinct()
+    known = vectors.where("unit_key IS NOT NULL AND content IS NOT NULL")
+    some = other.limit(BROADCAST_ROWS + 1).count()
+    if some > BROADCAST_ROWS:
+        return vectors.join(current, keys, "left_semi")
+    return known.join(F.broadcast(other), keys, "left_anti") if some else known
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -77,3 +77,18 @@ def test_an_empty_corpus_has_an_empty_index(spark, tmp_path):
     index_io.build_index(spark, units, str(tmp_path / "index"))
     index = index_io.load_index(spark, str(tmp_path / "index"), units, "hashing-256")
     assert index.postings(["a"]).collect() == [] and index.totals.first()["units"] == 0
+
+
+def test_no_vector_is_exchanged_and_changed_texts_lose_theirs(spark, tmp_path):
+    path = str(tmp_path / "bestand")
+    units = spark.range(40).selectExpr("concat('k', id) AS unit_key", "concat('wort', id) AS text")
+    index_io.build_index(spark, units, path)
+    index = index_io.load_index(spark, path, units, "hashing-256")
+    assert "Exchange" not in index.vectors._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    assert {r["unit_key"] for r in index.vectors.collect()} == {f"k{i}" for i in range(40)}
+    changed = units.selectExpr("unit_key", "if(unit_key = 'k7', 'anders', text) AS text")
+    index = index_io.load_index(spark, path, changed, "hashing-256")
+    assert {r["unit_key"] for r in index.vectors.collect()} == {f"k{i}" for i in range(40) if i != 7}
+    index_io.build_index(spark, changed, path)
+    index = index_io.load_index(spark, path, changed, "hashing-256")
+    assert sorted(r["unit_key"] for r in index.vectors.collect()) == sorted(f"k{i}" for i in range(40))
