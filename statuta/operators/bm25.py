@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,8 +15,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from statuta import constants as K
-from statuta.functions.text import settled
+from statuta.functions.text import fold, settled
 from statuta.functions.tokens import words
+from statuta.operators.listed import few, listed_scores
 from statuta.operators.scale import fits, salted_join
 from statuta.session import cut_lineage
 
@@ -23,6 +26,11 @@ SCORE_DIGITS = 9
 
 #: Distinct words of all queries up to which the tasks get them as a list.
 ASKED = 100_000
+#: Bytes of text whose words are counted together.
+SLICE = 8 << 20
+#: Letters of folded words, their hyphens and what lies beyond ASCII; all others become blanks.
+LETTERS = np.array([c if c > 127 or chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789-" else 32 for c in range(256)], np.uint8)
+PLAIN, COMPOUND = re.compile("[a-z0-9]+"), re.compile("[a-z]+(?:-[a-z]+)+")
 
 
 @dataclass(frozen=True)
@@ -32,6 +40,7 @@ class TextStatistics:
     tokens: DataFrame | None  # unit_key, len, words
     totals: DataFrame  # one row: units, words, avg_len
     stored: DataFrame | None = None  # unit_key, word, tf, len
+    rows: DataFrame | None = None  # unit_key, len, hits: the stored counts with all words of a unit in one row
 
     def term_frequency(self) -> DataFrame:
         """(unit_key, word, tf, len)."""
@@ -66,6 +75,12 @@ class TextStatistics:
         """(unit_key, token, weight): a word's share of its unit."""
         return self.term_frequency().select("unit_key", F.col("word").alias("token"), (F.col("tf") / F.col("len")).alias("weight"))
 
+    def listed_weights(self) -> DataFrame:
+        """(unit_key, items): the same with all words of a unit in one row."""
+        return self.rows.select(
+            "unit_key", F.transform("hits", lambda h: F.struct(h["word"].alias("token"), (h["tf"] / F.col("len")).alias("value"))).alias("items")
+        )
+
 
 def counted_rows(tokens: DataFrame, asked: list[str] | None = None) -> DataFrame:
     """(unit_key, len, hits) of rows (unit_key, len, words): word and count of the asked words, of all without a list.
@@ -97,6 +112,73 @@ def counted_rows(tokens: DataFrame, asked: list[str] | None = None) -> DataFrame
     )
 
 
+def counted_texts(units: DataFrame, text: str, asked: list[str] | None = None) -> DataFrame:
+    """`counted_rows` of units (unit_key, text), whose words are cut where they are counted.
+
+    Texts are folded natively. What stands between two ASCII characters that no word holds is looked at once for
+    all texts of a slice: mostly it is a word; where it has hyphens or lies beyond ASCII, it is decomposed and cut as
+    `words` does it.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stop = pa.array(K.STOP_WORDS, pa.string())
+        wanted = None if asked is None else pa.array(asked, pa.string())
+        for batch in batches:
+            ends, lo = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)), 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE, "right")))
+                texts = batch.column(1).slice(lo, hi - lo)
+                sizes, hits = _count(texts.cast(pa.string()).fill_null(""), stop, wanted)
+                sizes = pa.array(sizes, pa.int32(), mask=texts.is_null().to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sizes, hits], names=["unit_key", "len", "hits"])
+                lo = hi
+
+    kind = units.schema["unit_key"].dataType.simpleString()
+    return units.select("unit_key", fold(F.col(text)).alias("text")).mapInArrow(
+        count, f"unit_key {kind}, len INT, hits ARRAY<STRUCT<word: STRING, tf: BIGINT>>"
+    )
+
+
+def _count(texts: pa.Array, stop: pa.Array, wanted: pa.Array | None) -> tuple[np.ndarray, pa.ListArray]:
+    """How many words each folded text has, and how often it has the wanted ones."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    raw = LETTERS[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]]
+    plain = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(raw))
+    listed = pc.ascii_split_whitespace(plain)
+    row = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(np.asarray(listed.offsets)))
+    listed = listed.flatten().dictionary_encode()
+    at, met = listed.indices.to_numpy(), listed.dictionary
+    size = pc.binary_length(met).to_numpy()
+    other = pc.match_substring(met, "-").to_numpy(zero_copy_only=False) | (size > pc.utf8_length(met).to_numpy())
+    word = ~other & (size >= 2) & ~pc.is_in(met, value_set=stop).to_numpy(zero_copy_only=False)
+    parts, stopped = {}, set(K.STOP_WORDS)
+    for i, found in zip(np.nonzero(other)[0].tolist(), met.filter(pa.array(other)).to_pylist()):
+        found = unicodedata.normalize("NFKD", found).encode("ascii", "ignore").decode()
+        parts[i] = [w for w in PLAIN.findall(found) if len(w) >= 2 and w not in stopped]
+        parts[i] += [w for c in COMPOUND.findall(found) for w in c.split("-") if len(w) > 2 and w not in stopped]
+    if wanted is None:
+        more = pa.array([w for ws in parts.values() for w in ws], pa.string())
+        wanted = pc.unique(pa.concat_arrays([met.filter(pa.array(word)), more]))
+    # words of each distinct piece, one after another
+    many = word.astype(np.int64)
+    many[list(parts)] = [len(ws) for ws in parts.values()]
+    first = np.cumsum(many) - many
+    place = np.full(int(many.sum()), -1, np.int64)
+    place[first[word]] = pc.index_in(met.filter(pa.array(word)), value_set=wanted).fill_null(-1).to_numpy()
+    flat = pa.array([w for ws in parts.values() for w in ws], pa.string())
+    inside = [np.arange(first[i], first[i] + len(ws)) for i, ws in parts.items()]
+    if len(flat):
+        place[np.concatenate(inside)] = pc.index_in(flat, value_set=wanted).fill_null(-1).to_numpy()
+    m = many[at]
+    sizes = np.bincount(row, m, len(texts)).astype(np.int32)
+    row, seen = np.repeat(row, m), place[np.repeat(first[at] - np.cumsum(m) + m, m) + np.arange(m.sum())]
+    n = max(1, len(wanted))
+    seen, tf = np.unique((row * n + seen)[seen >= 0], return_counts=True)
+    ends = np.r_[0, np.cumsum(np.bincount(seen // n, minlength=len(texts)))].astype(np.int32)
+    hits = pa.StructArray.from_arrays([wanted.take(pa.array(seen % n)), pa.array(tf.astype(np.int64))], names=["word", "tf"])
+    return sizes, pa.ListArray.from_arrays(pa.array(ends), hits)
+
+
 def postings(rows: DataFrame) -> DataFrame:
     """(unit_key, word, tf, len) of counted rows."""
     return rows.select("unit_key", "len", F.explode("hits").alias("h")).select("unit_key", "h.word", "h.tf", "len")
@@ -129,8 +211,8 @@ def asked_statistics(units: DataFrame, queries: DataFrame, text: str = "text") -
     No word that is not asked leaves its row. The counted rows are written once; frequencies, scores and
     totals are read from there.
     """
-    rows = cut_lineage(counted_rows(text_statistics(units, text=text).tokens, asked_words(queries)), "words")
-    return TextStatistics(None, totals(rows), postings(rows))
+    rows = cut_lineage(counted_texts(units, text, asked_words(queries)), "words")
+    return TextStatistics(None, totals(rows), postings(rows), rows)
 
 
 def term_weight(n: Column, df: Column) -> Column:
@@ -186,5 +268,24 @@ def top_per_query(scores: DataFrame, k: int = K.PER_WAY) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def bm25_top(stats: TextStatistics, queries: DataFrame, k: int = K.PER_WAY) -> DataFrame:
+    """Best k units per query with their rank.
+
+    Where the words of a unit stand in one row and the queries are few, each task scores its units and hands on k a
+    query; else scores are exchanged.
+    """
+    if stats.rows is not None:
+        row = stats.totals.first()
+        df = stats.stored.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+        weights = query_words(queries).join(df, "word").select("query_id", F.col("word").alias("token"), term_weight(F.lit(row["units"]), F.col("df")).alias("weight"))
+        asked, avg = few(weights), F.lit(row["avg_len"] or 1.0)
+        if asked is not None:
+            value = lambda h: saturation(h["tf"], F.col("len"), avg)
+            items = F.transform("hits", lambda h: F.struct(h["word"].alias("token"), value(h).alias("value")))
+            q_type = queries.schema["query_id"].dataType.simpleString()
+            return top_per_query(listed_scores(stats.rows.select("unit_key", items.alias("items")), asked, q_type, k, SCORE_DIGITS), k)
+    return top_per_query(bm25_scores(stats, queries), k)
+
+
 def bm25_search(units: DataFrame, queries: DataFrame, k: int = K.PER_WAY) -> DataFrame:
-    return top_per_query(bm25_scores(asked_statistics(units, queries), queries), k)
+    return bm25_top(asked_statistics(units, queries), queries, k)

@@ -9,11 +9,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statuta import constants as K
-from statuta.functions.vectors import blank_words, hash_buckets
+from statuta.functions.vectors import hash_buckets
 
 #: Words whose buckets a task keeps.
 KNOWN = 100_000
@@ -55,7 +56,7 @@ def hashing_encode(df: DataFrame, key: str, text: str, buckets: int = K.HASH_BUC
 def hashing_dense(df: DataFrame, key: str, text: str, buckets: int = K.HASH_BUCKETS) -> DataFrame:
     """(key, embedding): the same vectors as dense arrays; texts without words give zeros.
 
-    Words are cut natively; in Arrow batches each distinct word is hashed once, and one count fills all rows.
+    In Arrow batches texts are cut at white space, each distinct word is hashed once, and one count fills all rows.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,23 +64,25 @@ def hashing_dense(df: DataFrame, key: str, text: str, buckets: int = K.HASH_BUCK
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                dense = unit_rows(bucket_counts(part.column(1), buckets, known))
+                dense = unit_rows(bucket_counts(pc.ascii_split_whitespace(part.column(1)), buckets, known))
                 ends = pa.array(np.arange(len(dense) + 1, dtype=np.int32) * buckets)
                 rows = pa.ListArray.from_arrays(ends, pa.array(dense.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), rows], names=[key, "embedding"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, blank_words(F.col(text)).alias("_w")).mapInArrow(count, f"{key} {kind}, embedding array<double>")
+    return df.select(key, F.lower(F.col(text)).alias("_w")).mapInArrow(count, f"{key} {kind}, embedding array<double>")
 
 
 def bucket_counts(lists: pa.ListArray, buckets: int, known: dict[str, int]) -> np.ndarray:
-    """Words per hash bucket, one row a list; `known` keeps the buckets of words between calls."""
+    """Words per hash bucket, one row a list; `known` keeps the buckets of words between calls. Empty words do not count."""
     listed = lists.flatten().dictionary_encode()
     if len(known) > KNOWN:
         known.clear()
     at = np.array([known[w] if w in known else known.setdefault(w, _bucket(w, buckets)) for w in listed.dictionary.to_pylist()], np.int64)
     sizes = np.diff(np.asarray(lists.offsets)) * lists.is_valid().to_numpy(zero_copy_only=False)
     place = np.repeat(np.arange(len(sizes)) * buckets, sizes) + (at[listed.indices.to_numpy()] if len(at) else 0)
+    if pc.any(pc.equal(listed.dictionary, "")).as_py():
+        place = place[pc.not_equal(listed.dictionary, "").to_numpy(zero_copy_only=False)[listed.indices.to_numpy()]]
     return np.bincount(place.astype(np.int64), minlength=len(sizes) * buckets).reshape(-1, buckets).astype(np.float64)
 
 

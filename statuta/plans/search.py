@@ -11,7 +11,7 @@ from statuta import constants as K
 from statuta.functions.citations import label
 from statuta.functions.text import excerpt, search_text, settled
 from statuta.functions.tokens import words
-from statuta.operators.bm25 import TextStatistics, asked_statistics, asked_words, bm25_scores, top_per_query
+from statuta.operators.bm25 import TextStatistics, asked_statistics, asked_words, bm25_top
 from statuta.operators.dense import dense_search
 from statuta.operators.encode import hashing_dense
 from statuta.operators.fusion import candidate_cut, cap_cases, citation_search, fuse, union_ways
@@ -45,7 +45,7 @@ def ranked_ways(
     statistics = statistics or asked_statistics(searchable(units), queries)
     ways = {
         "fundstelle": citation_search(units, queries),
-        "stichwort": top_per_query(bm25_scores(statistics, queries)),
+        "stichwort": bm25_top(statistics, queries),
     }
     if unit_vectors is not None and query_vectors is not None:
         ways["vektor"] = dense_search(unit_vectors, query_vectors)
@@ -54,6 +54,11 @@ def ranked_ways(
     return ways
 
 
+def fused_ways(units: DataFrame, queries: DataFrame, **vectors: DataFrame | TextStatistics | None) -> DataFrame:
+    """The fused list, written: it is small, and what reads it (a count, a join) must not search again."""
+    return cut_lineage(fuse(union_ways(ranked_ways(units, queries, **vectors))), "fused")
+
+
 def hybrid_search(
     units: DataFrame,
     queries: DataFrame,
@@ -72,7 +77,7 @@ def hybrid_search(
         vectors["unit_vectors"] = hashing_dense(searchable(units), "unit_key", "text")
     if vectors.get("query_vectors") is None:
         vectors["query_vectors"] = hashing_dense(queries, "query_id", "text")
-    fused = fuse(union_ways(ranked_ways(units, queries, **vectors)))
+    fused = fused_ways(units, queries, **vectors)
     named = lookup_join(units.select("unit_key", "act", "kind"), fused, ["unit_key"])
     if "acts" in queries.columns or "n" in queries.columns:
         own = F.col("acts") if "acts" in queries.columns else F.lit(None).cast("array<string>")
@@ -112,7 +117,7 @@ def from_texts(units: DataFrame, queries: DataFrame) -> dict:
         "statistics": statistics,
         "unit_vectors": hashing_dense(texts, "unit_key", "text"),
         "query_vectors": hashing_dense(queries, "query_id", "text"),
-        "unit_weights": statistics.weights(),
+        "unit_weights": statistics.listed_weights(),
         "query_weights": word_weights(queries),
     }
 
@@ -133,7 +138,5 @@ def evidence(hits: DataFrame, units: DataFrame, chars: int = K.EXCERPT) -> DataF
         "title",
         excerpt(F.col("text"), chars).alias("excerpt"),
     )
-    return cited.join(
-        hits.select("query_id", "place", "unit_key", "act", "kind", F.round("score", 4).alias("score"), "ways"),
-        "unit_key",
-    )
+    hits = cut_lineage(hits.select("query_id", "place", "unit_key", "act", "kind", F.round("score", 4).alias("score"), "ways"), "hits")
+    return lookup_join(cited, hits, ["unit_key"])

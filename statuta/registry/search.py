@@ -144,7 +144,7 @@ def _ways(spark, sf):
 
 def _fused(spark, sf):
     u, q, vectors = _ways(spark, sf)
-    return u, fusion.fuse(fusion.union_ways(plan.ranked_ways(u, q, **vectors)))
+    return u, plan.fused_ways(u, q, **vectors)
 
 
 def _cut(spark, sf, acts=()):
