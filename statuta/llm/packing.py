@@ -37,7 +37,8 @@ SORTED = 64
 #: Words whose ids are gathered at a time, and the bytes of the store of pieces.
 GATHER = 1 << 19
 ROOM = 48 << 20
-SPACE = re.compile(f"(?!^)[{BLANK}]")
+#: Bytes of distinct words that go to the engine in one text.
+TOLD = 1 << 20
 
 
 class Encoder:
@@ -62,14 +63,31 @@ class Encoder:
         self.special = special_pattern(tuple(special))
         self.odd = "|".join([f" [{BLANK}]", " $", *map(re.escape, special)])
         self.specials = {t: self.kind.type(i).tobytes() for t, i in special.items()}
+        self.engine = engine
         self.known = Memo(lambda piece: np.array(engine.encode_ordinary(piece), self.kind).tobytes(), ROOM)
+        self.bytes_of = np.zeros(self.size, np.int64)
+        self.bytes_of[list(ranks.values())] = [len(t) for t in ranks]
 
     def plain(self, text: str) -> bytes:
         return b"".join(map(self.known.__getitem__, PIECE.findall(text)))
 
-    def parted(self, word: str) -> bytes:
-        """The ids of what stands between two blanks, with the blank before it."""
-        return self.plain(word) if SPACE.search(word) else self.known[word]
+    def parted(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of words that stand between two blanks, each with the blank before it.
+
+        The words go to the engine as one text, as no piece goes on behind a blank that a word follows; the bytes
+        of the ids tell where each word ends.
+        """
+        sizes = pc.binary_length(pa.array(words, pa.string())).to_numpy() + 1
+        told, counts, ends, lo = [], [], np.cumsum(sizes), 0
+        while lo < len(words):
+            start = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, start + TOLD, "right")))
+            ids = self.engine.encode_to_numpy(" " + " ".join(words[lo:hi]), disallowed_special=())
+            last = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends[lo:hi] - start) + 1
+            told.append(ids.astype(self.kind))
+            counts.append(np.diff(last, prepend=0))
+            lo = hi
+        return (np.concatenate(told), np.concatenate(counts)) if told else (np.zeros(0, self.kind), np.zeros(0, np.int64))
 
     def encode(self, text: str) -> bytes:
         """The identifiers of a text, little-endian, in the smallest kind that holds the vocabulary."""
@@ -88,18 +106,22 @@ class Encoder:
         """The ids of every text with `last` behind them.
 
         A blank goes with what follows it, unless white space follows. Texts without such a place are cut at
-        the blanks, and what stands between them is looked up once for all texts.
+        the blanks, and what stands between them is encoded once for all texts.
         """
         odd = pc.match_substring_regex(texts, self.odd)
         words, index, places = distinct_words(pc.if_else(odd, "", texts), " ")
-        coded = [self.parted(" " + w) for w in words]
         first = places[:-1]  # the word a text begins with has no blank before it
         opening, at = np.unique(index[first], return_inverse=True)
         index = index.astype(np.int64)
-        index[first] = len(coded) + at
-        coded += [self.plain(words[i]) for i in opening.tolist()]
-        size = np.array([len(c) for c in coded], np.int64) // self.kind.itemsize
-        begin, ids, out = np.cumsum(size) - size, np.frombuffer(b"".join(coded), self.kind), []
+        index[first] = -1
+        inner, index = np.unique(index, return_inverse=True)  # the others, one number less where there are first words
+        some = int(len(inner) > 0 and inner[0] < 0)
+        coded = [self.plain(words[i]) for i in opening.tolist()]
+        ids, size = self.parted([words[i] for i in inner[some:].tolist()])
+        index += len(coded) - some
+        index[first] = at
+        size = np.r_[np.array([len(c) for c in coded], np.int64) // self.kind.itemsize, size]
+        begin, ids, out = np.cumsum(size) - size, np.concatenate([np.frombuffer(b"".join(coded), self.kind), ids]), []
         for lo, hi in stretches(places, GATHER):
             at = index[places[lo] : places[hi]]
             flat = ids[gathered(begin[at], size[at])]
