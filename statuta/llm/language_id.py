@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,11 +64,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, shares = [], []
         for text in batch.column(2).to_pylist():
             found = [g for w in (text or "").lower().split() for g in known[w]]
-            at, n = np.unique(np.array(found, np.int32), return_counts=True)
+            at, n = np.unique(np.array(found, np.int16), return_counts=True)
             places.append(at)
             shares.append((n / max(1, n.sum())).astype(np.float32))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(places, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))],
+            [batch.column(0), batch.column(1), pa.array(places, pa.list_(pa.int16())), pa.array(shares, pa.list_(pa.float32()))],
             names=["id", "lang", "places", "shares"],
         )
 
@@ -129,15 +130,17 @@ def train(
     share = min(1.0, sample / n)
     drawn = rows.where(draw < F.lit(int(share * (1 << 30)))).limit(4 * sample) if share < 1 else rows
     found = drawn.select(F.col("id").cast("string"), "lang", "text").mapInArrow(
-        _features, "id STRING, lang STRING, places ARRAY<INT>, shares ARRAY<FLOAT>"
+        _features, "id STRING, lang STRING, places ARRAY<SMALLINT>, shares ARRAY<FLOAT>"
     )
-    told = found.toArrow().sort_by([("id", "ascending"), ("lang", "ascending")])
+    told = found.toArrow()
     if not told.num_rows:
         return None
-    names = sorted(set(told["lang"].to_pylist()))
-    labels = np.array([names.index(x) for x in told["lang"].to_pylist()])
-    places = [np.asarray(x.values) for x in told["places"]]
-    shares = [np.asarray(x.values) for x in told["shares"]]
+    order = pc.sort_indices(told.select(["id", "lang"]), sort_keys=[("id", "ascending"), ("lang", "ascending")])
+    langs = told["lang"].take(order).to_pylist()
+    names = sorted(set(langs))
+    labels = np.array([names.index(x) for x in langs])
+    places = [np.asarray(told["places"][i].values) for i in order.to_numpy()]  # views, no copies
+    shares = [np.asarray(told["shares"][i].values) for i in order.to_numpy()]
     held = np.arange(len(labels)) % 5 == 4
     if held.sum() < 10:
         held[:] = False
@@ -157,6 +160,8 @@ def train(
     p = softmax(scores / temperature)
     sure = p.max(axis=1)[p.argmax(axis=1) == labels[check]]
     threshold = float(min(0.5, np.quantile(sure, lost))) if len(sure) else 0.5
+    del told, found, places, shares
+    pa.default_memory_pool().release_unused()  # the driver goes on
     return Model(names, table.astype(np.float64), bias.astype(np.float64), temperature, threshold)
 
 

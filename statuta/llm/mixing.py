@@ -170,10 +170,12 @@ def train(labelled: DataFrame, features: int = FEATURES, rounds: int = 300, l2:
 
     told = sample.mapInArrow(rows, "domain STRING, at ARRAY<INT>, value ARRAY<DOUBLE>").toArrow()
     x = np.zeros((told.num_rows, len(names)), np.float32)
-    for i, (at, v) in enumerate(zip(told["at"].to_pylist(), told["value"].to_pylist())):
-        x[i, at] = v
+    for i in range(told.num_rows):
+        x[i, np.asarray(told["at"][i].values)] = np.asarray(told["value"][i].values)
     y = np.zeros((told.num_rows, len(domains)), np.float32)
     y[np.arange(told.num_rows), [domains.index(d) for d in told["domain"].to_pylist()]] = 1
+    del told
+    pa.default_memory_pool().release_unused()  # the driver goes on
     scale = np.maximum(1e-6, np.sqrt((x**2).mean(axis=0)))
     x /= scale
     weight, bias = np.zeros(blank.weight.shape, np.float32), np.log(y.mean(axis=0) + 1e-6)

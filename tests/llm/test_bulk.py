@@ -28,3 +28,12 @@ def test_a_plain_text_goes_to_the_engine_in_one_call():
     enc = packing.Encoder(PATH)
     enc.encode_all(pa.array([" ".join(f"word{i}" for i in range(500))]), b"")
     assert len(enc.known) <= 2
+
+
+def test_the_language_sample_reaches_the_driver_in_few_bytes():
+    from statuta.llm import language_id
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["1"]), pa.array(["de"]), pa.array(["Ein kurzer Satz über Katzen"])], names=["id", "lang", "text"])
+    found = next(language_id._features(iter([batch])))
+    assert found.schema.field("places").type.value_type == pa.int16() and language_id.BUCKETS <= 1 << 15
+    assert sorted(found["places"][0].as_py()) == sorted({g for w in "ein kurzer satz über katzen".split() for g in language_id.grams(w)})
