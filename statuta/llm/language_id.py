@@ -24,6 +24,8 @@ WIDTH = 16
 GRAMS = (2, 3, 4)
 #: Bound of the training sample, in documents; also the most that reach the driver.
 SAMPLE = 2400
+#: Bytes of the store of words while the sample is read.
+ROOM = 48 << 20
 UNKNOWN = "und"
 #: Step of an embedding as a multiple of the softmax's: an n-gram holds a small share of a text.
 EMBEDDING_RATE = 60.0
@@ -57,14 +59,15 @@ def softmax(scores: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+@given_back
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A text as its n-gram buckets and their shares."""
-    known = Memo(grams)
+    known = Memo(lambda word: np.array(grams(word), np.int16).tobytes(), ROOM)  # a list takes several times the bytes
     for batch in batches:
         places, shares = [], []
         for text in batch.column(2).to_pylist():
-            found = [g for w in (text or "").lower().split() for g in known[w]]
-            at, n = np.unique(np.array(found, np.int16), return_counts=True)
+            found = b"".join(map(known.__getitem__, (text or "").lower().split()))
+            at, n = np.unique(np.frombuffer(found, np.int16), return_counts=True)
             places.append(at)
             shares.append((n / max(1, n.sum())).astype(np.float32))
         yield pa.RecordBatch.from_arrays(

@@ -308,7 +308,9 @@ def mixed(
         rows = np.array(p.tolist()).reshape(-1, width)
         return pd.DataFrame({"domain": [names[i] for i in rows.argmax(axis=1)], "rate": rates_of(rows, residuals, ridge)[0]})
 
-    found = table.withColumn("_rated", rated("posterior"))
+    # as one that may differ from call to call it is called once a row; else a filter on the rate takes a call of its own,
+    # and with it a second Python worker for each task, which live on
+    found = table.withColumn("_rated", rated.asNondeterministic()("posterior"))
     return found.select(*keep, "n_tokens", "_rated.domain", "posterior", "_rated.rate")
 
 

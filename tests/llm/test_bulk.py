@@ -37,3 +37,19 @@ def test_the_language_sample_reaches_the_driver_in_few_bytes():
     found = next(language_id._features(iter([batch])))
     assert found.schema.field("places").type.value_type == pa.int16() and language_id.BUCKETS <= 1 << 15
     assert sorted(found["places"][0].as_py()) == sorted({g for w in "ein kurzer satz über katzen".split() for g in language_id.grams(w)})
+
+
+def test_the_store_of_words_of_the_language_sample_is_bounded_in_bytes():
+    import tracemalloc
+
+    from statuta.llm import language_id
+
+    texts = [" ".join(f"{i * 500 + k:x}bcdefghijklmnopqrst" for k in range(500)) for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["1"] * 300), pa.array(["de"] * 300), pa.array(texts)], names=["id", "lang", "text"])
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in language_id._features(iter([batch]))) == 300
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 100 << 20

@@ -173,6 +173,12 @@ def test_the_shape_is_that_of_the_whole_word():
     assert set(a) != set(b)
 
 
+def test_a_task_rates_its_rows_with_one_python_worker(spark, documents):
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    out = M.resampled(documents, labels, {"toxic": 0.0})
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_copies_have_the_rate_as_mean(spark):
     rows = spark.range(4000).select(M.copies(F.lit(1.5), F.col("id").cast("string")).alias("c"), M.copies(F.lit(0.97), F.col("id").cast("string")).alias("d"))
     mean, least, most = rows.agg(F.avg("c"), F.min("d"), F.max("d")).first()
