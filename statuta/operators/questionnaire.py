@@ -60,10 +60,11 @@ class Compiled:
     def state_columns(self) -> list[str]:
         return [f"{k}_{w}" for k in KINDS for w in range(self.words)]
 
-    def state(self, answers: DataFrame, cases: DataFrame | None = None) -> DataFrame:
+    def state(self, answers: DataFrame, cases: DataFrame | None = None, more: Iterable[Column] = ()) -> DataFrame:
         """answers (case_id, question_id, answer, each pair once) → one row of bit sets per case.
 
-        With `cases` (case_id, ...) every one of them has a row, also without any answer.
+        With `cases` (case_id, ...) every one of them has a row, also without any answer. `more` are further
+        aggregates of a case's answers.
         """
         spark = answers.sparkSession
         places = spark.createDataFrame(
@@ -81,7 +82,8 @@ class Compiled:
                 ).alias(f"{k}_{w}")
                 for k in KINDS
                 for w in range(self.words)
-            ]
+            ],
+            *more,
         )
         if cases is None:
             return found

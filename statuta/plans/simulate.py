@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statuta.operators.questionnaire import KINDS, Compiled
-from statuta.session import cut_lineage
+from statuta.session import compiled_methods, cut_lineage
 
 MAX_STEPS = 60
 
@@ -70,7 +70,8 @@ def run_to_end(patterns: DataFrame, compiled: Compiled, max_steps: int = MAX_STE
     running = cut_lineage(start)
     step = Step(compiled)
     for _ in range(max_steps + 1):
-        running = cut_lineage(step.advance(running))
+        with compiled_methods(patterns.sparkSession):
+            running = cut_lineage(step.advance(running))
         finished.append(running.where("done"))
         running = running.where("NOT done")
         if running.isEmpty():

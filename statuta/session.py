@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +49,21 @@ def _submitted() -> SparkConf | None:
     return SparkConf()
 
 
+@contextmanager
+def compiled_methods(spark: SparkSession) -> Iterator[None]:
+    """Plans that are started inside get no generated method that the JVM leaves uncompiled for its size.
+
+    Such a stage runs with one projection split into many methods instead, several times as fast for very long
+    expressions. The session's setting is put back."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a frame once to the shared folder and go on from the written table.
 

@@ -84,3 +84,53 @@ def test_follow_ups_put_facts_first_and_drop_self_counting():
 def test_latest_answer_wins(spark):
     rows = spark.createDataFrame([(1, "q", "yes", 1), (1, "q", "no", 3), (1, "q", "na", 2)], "case_id long, question_id string, answer string, ts long")
     assert [r["answer"] for r in Q.latest_answers(rows).select(F.col("answer")).collect()] == ["no"]
+
+
+def test_batch_rules_equal_the_per_case_rules():
+    import numpy as np
+
+    from statuta.operators.questionnaire_twin import NA, NO, OPEN, YES, Walks
+
+    path, codes = SURVEY.path(), {"yes": YES, "no": NO, "na": NA}
+    cases = list(random_cases(400, seed=8).values())
+    pattern = np.array([[codes.get(given.get(q.id), OPEN) for given in cases] for q in path], np.int8)
+    steps, rows, findings = Walks.run(SURVEY, pattern)
+    partly = Walks(SURVEY, pattern)
+    first, on = partly.sheet()
+    now, following = partly.finding(), partly.next()
+    for i, given in enumerate(cases):
+        walked = (int(steps[i]), [path[r].id for r in rows[i] if r >= 0], findings[i])
+        assert walked == Walk(SURVEY, {}).run(dict(given)), given
+        w = Walk(SURVEY, dict(given))
+        asked, sheet = w.next(), w.sheet()
+        assert now[i] == w.finding()
+        assert (path[following[i]] if following[i] >= 0 else None) == asked
+        assert (path[first[i]] if first[i] >= 0 else None) == (sheet[0] if sheet else None)
+        assert {path[r].id for r in np.flatnonzero(on[:, i])} == {q.id for q in sheet}
+    assert len(set(findings)) > 3
+
+
+def test_walked_cases_shuffle_words_and_refuse_two_answers(spark):
+    import pytest
+
+    patterns = Q.random_answers(spark.range(20).withColumnRenamed("id", "case_id"), C, 3)
+    walked = walk_cases(patterns, SURVEY)
+    plan = walked._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "bit_or" in plan
+    twice = patterns.unionByName(patterns.where("case_id = 7 AND question_id = 'vor:ki'"))
+    with pytest.raises(Exception, match="several answers"):
+        walk_cases(twice, SURVEY).collect()
+    other = patterns.withColumn("answer", F.when(F.col("question_id") == "vor:ki", "vielleicht").otherwise(F.col("answer")))
+    for r in walk_cases(other, SURVEY).collect():
+        given = {x["question_id"]: x["answer"] for x in other.where(F.col("case_id") == r["case_id"]).collect()} if r["case_id"] < 2 else None
+        assert given is None or (r["steps"], r["trace"], r["class"]) == Walk(SURVEY, {}).run(given)
+
+
+def test_two_evaluators_draw_the_patterns_once(spark, monkeypatch):
+    from statuta.registry import survey
+
+    drawn, real = [], survey.patterns
+    monkeypatch.setattr(survey, "patterns", lambda *a: drawn.append(a) or real(*a))
+    got = survey.e08(spark, "/root/testdata/sf0.001").collect()
+    assert len(drawn) == 1
+    assert [(r["status"], r["cases"]) for r in got] == [("same", 1500)]
