@@ -121,17 +121,12 @@ def counted_texts(units: DataFrame, text: str, asked: list[str] | None = None) -
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stop = pa.array(K.STOP_WORDS, pa.string())
         wanted = None if asked is None else pa.array(asked, pa.string())
         for batch in batches:
-            ends, lo = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)), 0
-            while lo < batch.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE, "right")))
-                texts = batch.column(1).slice(lo, hi - lo)
-                sizes, hits = _count(texts.cast(pa.string()).fill_null(""), stop, wanted)
-                sizes = pa.array(sizes, pa.int32(), mask=texts.is_null().to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sizes, hits], names=["unit_key", "len", "hits"])
-                lo = hi
+            lo = 0
+            for sizes, hits in text_counts(batch.column(1), wanted):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(sizes)), sizes, hits], names=["unit_key", "len", "hits"])
+                lo += len(sizes)
 
     kind = units.schema["unit_key"].dataType.simpleString()
     return units.select("unit_key", fold(F.col(text)).alias("text")).mapInArrow(
@@ -139,6 +134,18 @@ def counted_texts(units: DataFrame, text: str, asked: list[str] | None = None) -
     )
 
 
+def text_counts(texts: pa.Array, wanted: pa.Array | None = None) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    """Number of words, and (word, tf) of the wanted ones or of all, of folded texts: a slice of them at a time."""
+    stop = pa.array(K.STOP_WORDS, pa.string())
+    ends, lo = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)), 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE, "right")))
+        part = texts.slice(lo, hi - lo)
+        sizes, hits = _count(part.cast(pa.string()).fill_null(""), stop, wanted)
+        yield pa.array(sizes, pa.int32(), mask=part.is_null().to_numpy(zero_copy_only=False)), hits
+        lo = hi
+
+
 def _count(texts: pa.Array, stop: pa.Array, wanted: pa.Array | None) -> tuple[np.ndarray, pa.ListArray]:
     """How many words each folded text has, and how often it has the wanted ones."""
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]

@@ -64,15 +64,18 @@ def hashing_dense(df: DataFrame, key: str, text: str, buckets: int = K.HASH_BUCK
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                dense = unit_rows(bucket_counts(pc.ascii_split_whitespace(part.column(1)), buckets, known))
-                ends = pa.array(np.arange(len(dense) + 1, dtype=np.int32) * buckets)
-                rows = pa.ListArray.from_arrays(ends, pa.array(dense.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), rows], names=[key, "embedding"])
+                yield pa.RecordBatch.from_arrays([part.column(0), dense_lists(part.column(1), buckets, known)], names=[key, "embedding"])
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, F.lower(F.col(text)).alias("_w")).mapInArrow(count, f"{key} {kind}, embedding array<double>")
 
 
+def dense_lists(texts: pa.Array, buckets: int, known: dict[str, int]) -> pa.ListArray:
+    """The vectors of lower-cased texts."""
+    dense = unit_rows(bucket_counts(pc.ascii_split_whitespace(texts), buckets, known))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(dense) + 1, dtype=np.int32) * buckets), pa.array(dense.ravel()))
+
+
 def bucket_counts(lists: pa.ListArray, buckets: int, known: dict[str, int]) -> np.ndarray:
     """Words per hash bucket, one row a list; `known` keeps the buckets of words between calls. Empty words do not count."""
     listed = lists.flatten().dictionary_encode()

@@ -5,34 +5,46 @@ size are merged into one of `FAN` times the buckets, so a bucket keeps its size
 A batch reads the buckets its keys fall into and no others: at most (keys of the batch) x (rows a bucket) x
 `FAN` for each size, and the sizes number the logarithm of the batches. A row is rewritten once a size.
 
-Document frequencies are kept as differences: a batch adds one for each word of a new text and takes one off
-for each word of the text it replaces.
+A row holds all of a unit: digest, vector, and its words with their counts in one list. A batch makes it from the
+text in one pass and writes it where it stands; its document frequencies are then read from what was written. They
+are kept as differences: a batch adds one for each word of a new text and takes one off for each word of the text
+it replaces.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from statuta.operators.bm25 import text_statistics
-from statuta.operators.encode import hashing_dense
+from statuta.constants import HASH_BUCKETS
+from statuta.functions.text import FOLDED
+from statuta.operators.bm25 import postings, text_counts
+from statuta.operators.encode import ROWS, dense_lists
 from statuta.sources.index_io import content_hash
 
 MODEL = "hashing-256"
 #: Buckets of a fresh segment, and segments of one size that are merged into the next.
 BUCKETS, FAN = 4, 4
+#: Tasks a core in which the rows of a batch are made.
+TASKS = 3
 #: Buckets up to which a batch names those it reads.
 LISTED = 10_000
 
 _PLACE = ", buckets INT, first BIGINT, last BIGINT"
 TABLES = {
-    "units": "unit_key STRING, content STRING, version BIGINT, embedding ARRAY<DOUBLE>" + _PLACE + ", bucket INT",
-    "tf": "unit_key STRING, version BIGINT, word STRING, tf BIGINT, len INT" + _PLACE + ", bucket INT",
+    "units": "unit_key STRING, content STRING, version BIGINT, replaced BIGINT, embedding ARRAY<DOUBLE>, len INT, "
+    "hits ARRAY<STRUCT<word: STRING, tf: BIGINT>>" + _PLACE + ", bucket INT",
     "df": "word STRING, df BIGINT" + _PLACE,
 }
+ROW = ("unit_key", "content", "version", "replaced", "embedding", "len", "hits")
 
 
 @dataclass(frozen=True, order=True)
@@ -84,20 +96,29 @@ def _bucket(buckets: int):
     return F.pmod(F.xxhash64("unit_key"), F.lit(buckets)).cast("int")
 
 
-def _write(path: str, segment: Segment, units: DataFrame, tf: DataFrame, df: DataFrame) -> None:
-    """A segment's tables, whole; it counts from its mark on, which is made last."""
-    for table, rows in (("units", units), ("tf", tf)):
-        names = [f.split()[0] for f in TABLES[table].split(_PLACE)[0].split(", ")]
-        placed = rows.select(*names, _bucket(segment.buckets).alias("bucket")).repartition("bucket")
-        placed.sortWithinPartitions("bucket", "unit_key").write.mode("overwrite").partitionBy("bucket").parquet(segment.folder(path, table))
+def _split(spark: SparkSession, buckets: int):
+    """A part of a bucket, so that there is work for all cores however few the buckets are."""
+    parts = max(1, math.ceil(2 * spark.sparkContext.defaultParallelism / buckets))
+    return F.pmod(F.shiftright(F.xxhash64("unit_key"), 32), F.lit(parts)).cast("int")
+
+
+def _write(rows: DataFrame, path: str, segment: Segment) -> None:
+    """The units of a segment, in its buckets; rows are written by the tasks that have them."""
+    placed = rows.select(*ROW, _bucket(segment.buckets).alias("bucket"))
+    placed.sortWithinPartitions("bucket", "unit_key").write.mode("overwrite").partitionBy("bucket").parquet(segment.folder(path, "units"))
+
+
+def _finish(df: DataFrame, path: str, segment: Segment) -> None:
+    """The differences of a segment; it counts from its mark on, which is made last."""
     df.select("word", "df").write.mode("overwrite").parquet(segment.folder(path, "df"))
-    files, mark = _located(units.sparkSession, segment.mark(path))
+    files, mark = _located(df.sparkSession, segment.mark(path))
     files.create(mark).close()
 
 
-def _newest(rows: DataFrame, units: DataFrame) -> DataFrame:
-    newest = units.groupBy("unit_key").agg(F.max("version").alias("version"))
-    return rows.join(newest, ["unit_key", "version"], "left_semi")
+def _newest(units: DataFrame, *place: str) -> DataFrame:
+    """The newest row of every unit; `place` are columns that follow from its key and by which the rows lie together."""
+    order = W.partitionBy(*place, "unit_key").orderBy(F.desc("version"))
+    return units.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
 def merge(spark: SparkSession, path: str) -> None:
@@ -119,10 +140,11 @@ def merge(spark: SparkSession, path: str) -> None:
         if not full:
             return
         parts = full[0]
-        units = _read(spark, path, "units", parts)
-        df = _read(spark, path, "df", parts).groupBy("word").agg(F.sum("df").alias("df")).where("df != 0")
         whole = Segment(parts[0].buckets * FAN, min(s.first for s in parts), max(s.last for s in parts))
-        _write(path, whole, _newest(units, units), _newest(_read(spark, path, "tf", parts), units), df)
+        units = _read(spark, path, "units", parts).withColumn("bucket", _bucket(whole.buckets))
+        units = units.withColumn("split", _split(spark, whole.buckets)).repartition("bucket", "split")
+        _write(_newest(units, "bucket", "split"), path, whole)
+        _finish(_read(spark, path, "df", parts).groupBy("word").agg(F.sum("df").alias("df")).where("df != 0"), path, whole)
 
 
 def met(spark: SparkSession, path: str, table: str, keys: DataFrame) -> DataFrame:
@@ -142,6 +164,24 @@ def met(spark: SparkSession, path: str, table: str, keys: DataFrame) -> DataFram
     return rows.where(reduce(lambda a, b: a | b, [(F.col("buckets") == n) & F.col("bucket").isin(of) for n, of in numbers.items()]))
 
 
+def _made(named: DataFrame) -> DataFrame:
+    """(row, text) → (row, embedding, len, hits), from one reading of the text; what belongs to a unit passes along."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                row, texts = batch.slice(at, ROWS).columns
+                folded = reduce(lambda t, pair: pc.replace_substring(t, *pair), FOLDED, texts)
+                sizes, hits = map(pa.concat_arrays, zip(*text_counts(folded)))
+                yield pa.RecordBatch.from_arrays([row, dense_lists(texts, HASH_BUCKETS, known), sizes, hits], ["row", "embedding", "len", "hits"])
+
+    kind = named.schema["row"].dataType.simpleString()
+    return named.select("row", F.lower("text").alias("text")).mapInArrow(
+        make, f"row {kind}, embedding ARRAY<DOUBLE>, len INT, hits ARRAY<STRUCT<word: STRING, tf: BIGINT>>"
+    )
+
+
 def add_units(units: DataFrame, path: str, version: int) -> None:
     """Add the units (unit_key, text) whose newest stored form is another one, as the segment `version`.
 
@@ -154,29 +194,27 @@ def add_units(units: DataFrame, path: str, version: int) -> None:
     if any(s.first <= version <= s.last for s in _marked(spark, path)):
         return
     merge(spark, path)
-    given = units.where("unit_key IS NOT NULL").groupBy("unit_key").agg(F.max("text").alias("text"))
-    given = given.withColumn("content", F.coalesce(content_hash(), F.lit(""))).persist()
-    stored = met(spark, path, "units", given).groupBy("unit_key").agg(F.max_by(F.struct("content", "version"), "version").alias("held"))
+    segment, units = Segment(BUCKETS, version, version), units.where("unit_key IS NOT NULL")
+    # a number of tasks of its own: making the rows is long work, also where the texts are few bytes
+    dealt = units.repartition(TASKS * spark.sparkContext.defaultParallelism, "unit_key")
+    given = dealt.groupBy("unit_key").agg(F.max("text").alias("text")).withColumn("content", F.coalesce(content_hash(), F.lit("")))
+    stored = met(spark, path, "units", units).groupBy("unit_key").agg(F.max_by(F.struct("content", "version"), "version").alias("held"))
     live = given.join(stored, "unit_key", "left").where("held IS NULL OR held.content != content")
-    live = live.select("unit_key", "text", "content", F.col("held.version").alias("replaced")).persist()
-    try:
-        tf = text_statistics(live.select("unit_key", "text")).term_frequency().persist()
-        vectors = live.join(hashing_dense(live, "unit_key", "text"), "unit_key").withColumn("version", F.lit(version))
-        gone = live.where("replaced IS NOT NULL").select("unit_key", F.col("replaced").alias("version"))
-        out = met(spark, path, "tf", gone).join(gone, ["unit_key", "version"], "left_semi")
-        changes = tf.select("word", F.lit(1).alias("n")).unionByName(out.select("word", F.lit(-1).alias("n")))
-        df = changes.groupBy("word").agg(F.sum("n").alias("df")).where("df != 0")
-        _write(path, Segment(BUCKETS, version, version), vectors, tf.withColumn("version", F.lit(version)), df)
-        tf.unpersist()
-    finally:
-        live.unpersist()
-        given.unpersist()
+    named = live.select(F.struct("unit_key", "content", F.col("held.version").alias("replaced")).alias("row"), "text")
+    _write(_made(named).select("row.*", F.lit(version).cast("bigint").alias("version"), "embedding", "len", "hits"), path, segment)
+    written = _read(spark, path, "units", [segment])
+    gone = written.where("replaced IS NOT NULL").select("unit_key", F.col("replaced").alias("version"))
+    out = met(spark, path, "units", gone).join(gone, ["unit_key", "version"], "left_semi")
+    changes = postings(written).select("word", F.lit(1).alias("n")).unionByName(postings(out).select("word", F.lit(-1).alias("n")))
+    _finish(changes.groupBy("word").agg(F.sum("n").alias("df")).where("df != 0"), path, segment)
 
 
 def current(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """Rows of the newest version of every unit, of the table `units` or `tf`."""
-    chosen = segments(spark, path)
-    return _newest(_read(spark, path, table, chosen), _read(spark, path, "units", chosen)).drop("buckets", "first", "last", "bucket")
+    """Rows of the newest version of every unit: its digest and vector (`units`), or its words (`tf`)."""
+    rows = _newest(_read(spark, path, "units", segments(spark, path)))
+    if table == "units":
+        return rows.select("unit_key", "content", "version", "embedding")
+    return rows.select("unit_key", "version", "len", F.explode("hits").alias("h")).select("unit_key", "version", "h.word", "h.tf", "len")
 
 
 def document_frequency(spark: SparkSession, path: str) -> DataFrame:

@@ -81,3 +81,35 @@ def test_odd_rows(spark, tmp_path):
     upkeep.add_units(units(spark, [("u", None), ("e", "")]), path, 2)
     assert counts(spark, path) == {"beta": 1}
     assert {(r["unit_key"], r["version"]) for r in upkeep.current(spark, path, "units").collect()} == {("u", 1), ("e", 1), ("t", 1)}
+
+
+def test_a_batch_keeps_its_texts_and_words_in_no_cache_and_writes_from_many_tasks(spark, tmp_path, monkeypatch):
+    """All of a unit is one row, made in one pass; a merge gives each bucket to several tasks."""
+    path, cached = str(tmp_path / "store"), spark.sparkContext._jsc.getPersistentRDDs
+    before = len(cached())
+    monkeypatch.setattr(upkeep, "TASKS", 1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    for version in range(3):
+        rows = [(f"k{version}-{i}", f"alpha word{i}") for i in range(200)]
+        upkeep.add_units(units(spark, [*rows, ("k0-1", f"beta{version}")]), path, version)
+        assert len(cached()) == before
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert counts(spark, path)["alpha"] == 599 and counts(spark, path)["beta2"] == 1 and "beta0" not in counts(spark, path)
+    merged = next(s for s in upkeep.segments(spark, path) if s.buckets > upkeep.BUCKETS)
+    stored = spark.read.parquet(merged.folder(path, "units"))
+    assert stored.count() == stored.select("unit_key").distinct().count() == 400
+    files = stored.select("bucket", F.input_file_name().alias("f")).distinct().groupBy("bucket").count().collect()
+    assert max(r["count"] for r in files) > 1
+
+
+def test_made_rows_are_those_of_the_encoder_and_the_counts(spark):
+    from statuta.operators.bm25 import text_statistics
+    from statuta.operators.encode import hashing_dense
+
+    texts = ["Größe über ÄRGER ﬁn cafe\u0301", "ab-cde-f x-y ab ab", "", None, "Ⅳ ½ und die Straße"]
+    df = units(spark, [(f"u{i}", t) for i, t in enumerate(texts)])
+    made = upkeep._made(df.select(F.struct("unit_key").alias("row"), "text")).select("row.*", "embedding", "len", "hits")
+    vectors = {r["unit_key"]: r["embedding"] for r in hashing_dense(df, "unit_key", "text").collect()}
+    assert {r["unit_key"]: r["embedding"] for r in made.collect()} == vectors
+    rows = lambda d: sorted(tuple(r) for r in d.select("unit_key", "word", "tf", "len").collect())
+    assert rows(upkeep.postings(made)) == rows(text_statistics(df).term_frequency())
