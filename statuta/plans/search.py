@@ -11,7 +11,7 @@ from statuta import constants as K
 from statuta.functions.citations import label
 from statuta.functions.text import excerpt, search_text, settled
 from statuta.functions.tokens import words
-from statuta.operators.bm25 import TextStatistics, asked_statistics, asked_words, bm25_top
+from statuta.operators.bm25 import TextStatistics, asked_statistics, asked_words, bm25_top, postings
 from statuta.operators.dense import dense_search
 from statuta.operators.encode import hashing_dense
 from statuta.operators.fusion import candidate_cut, cap_cases, citation_search, fuse, union_ways
@@ -98,13 +98,21 @@ def hybrid_search(
 
 
 def indexed(index, queries: DataFrame) -> dict:
-    """What a search reads of a stored index, for `hybrid_search`: the blocks of the asked words alone."""
-    stored = index.postings(asked_words(queries))
-    statistics = TextStatistics(None, index.totals, stored)
+    """What a search reads of a stored index, for `hybrid_search`: the blocks of the asked words alone.
+
+    The asked words of a unit are put into one row, the only exchange; both word searches score it where it stands and
+    exchange no pairs of query and unit.
+    """
+    asked = asked_words(queries)
+    statistics = TextStatistics(None, index.totals, index.postings(asked))
+    if asked is not None:
+        hits = F.collect_list(F.struct("word", "tf")).alias("hits")
+        rows = cut_lineage(statistics.stored.groupBy("unit_key", "len").agg(hits), "words")
+        statistics = TextStatistics(None, index.totals, postings(rows), rows)
     return {
         "statistics": statistics,
         "unit_vectors": index.vectors.select("unit_key", "embedding"),
-        "unit_weights": statistics.weights(),
+        "unit_weights": statistics.weights() if asked is None else statistics.listed_weights(),
         "query_weights": word_weights(queries),
     }
 

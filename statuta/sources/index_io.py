@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.functions.text import settled
-from statuta.operators.bm25 import counted_rows, postings, saturation, text_statistics, totals
+from statuta.operators.bm25 import counted_texts, postings, saturation, totals
 from statuta.operators.encode import Encoder, encode, hashing_dense
 from statuta.operators.scale import BROADCAST_ROWS
 from statuta.plans.search import searchable
-from statuta.session import cut_lineage
 
 
 def content_hash(text: str = "text"):
@@ -98,7 +97,7 @@ def write_postings(spark: SparkSession, units: DataFrame, path: str, part: int =
     A word that many units hold goes on through several parts, split by unit; a block tells its first and
     last unit, its postings and the most that one of them can add to a score.
     """
-    rows = cut_lineage(counted_rows(text_statistics(units).tokens), "words")
+    rows = _written(counted_texts(units, "text"), f"{path}/_words")
     totals(rows).write.mode("overwrite").parquet(f"{path}/totals")
     row = spark.read.parquet(f"{path}/totals").first()
     parts = max(1, math.ceil((row["words"] or 0) / part))
@@ -115,14 +114,15 @@ def write_postings(spark: SparkSession, units: DataFrame, path: str, part: int =
         )
     )
     blocks.repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{path}/blocks")
+    _drop(spark, f"{path}/_words")
 
 
 def build_index(spark: SparkSession, units: DataFrame, path: str, encoder: Encoder | None = None, part: int = PART) -> None:
     """Compute what is missing and write all tables, over the searched text (citation, title, chapter, text).
 
     Vectors are appended, so a run that was cut short continues where it stopped; term statistics are
-    rewritten from the texts."""
-    units = cut_lineage(searchable(units).select("unit_key", settled(F.col("text")).alias("text")), "texts")
+    rewritten from the texts. Composed texts and counted words lie beside the tables while these are made."""
+    units = _written(searchable(units).select("unit_key", settled(F.col("text")).alias("text")), f"{path}/_texts")
     model = encoder.name if encoder else "hashing-256"
     size = encoder.dimensions if encoder else 256
     target = f"{path}/vectors"
@@ -138,6 +138,7 @@ def build_index(spark: SparkSession, units: DataFrame, path: str, encoder: Encod
     coded.write.mode("append").parquet(target)
     write_postings(spark, units, path, part)
     manifest(units, model, size).write.mode("overwrite").parquet(f"{path}/manifest")
+    _drop(spark, f"{path}/_texts")
 
 
 def load_index(spark: SparkSession, path: str, units: DataFrame, model: str) -> Index:
@@ -173,7 +174,21 @@ def _current(vectors: DataFrame, current: DataFrame) -> DataFrame:
     return known.join(F.broadcast(other), keys, "left_anti") if some else known
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _located(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    files, target = _located(spark, path)
+    return files.exists(target)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    files, target = _located(spark, path)
+    files.delete(target, True)

@@ -92,3 +92,18 @@ def test_no_vector_is_exchanged_and_changed_texts_lose_theirs(spark, tmp_path):
     index_io.build_index(spark, changed, path)
     index = index_io.load_index(spark, path, changed, "hashing-256")
     assert sorted(r["unit_key"] for r in index.vectors.collect()) == sorted(f"k{i}" for i in range(40))
+
+
+def test_a_search_on_the_index_scores_rows_and_the_build_leaves_no_texts(spark, tmp_path):
+    from statuta.operators.bm25 import bm25_scores, bm25_top
+    from statuta.plans.search import indexed
+
+    _, index = build(spark, str(tmp_path / "index"), 300)
+    assert not [p.name for p in (tmp_path / "index").iterdir() if p.name.startswith("_")]
+    queries = spark.createDataFrame([(1, "common w05x"), (2, "w07x w07x other"), (3, "none")], "query_id long, text string")
+    given = indexed(index, queries)
+    assert given["statistics"].rows is not None and "items" in given["unit_weights"].columns
+    assert given["statistics"].rows.groupBy("unit_key").count().where("count > 1").isEmpty()
+    top = {(r["query_id"], r["unit_key"]): r["score"] for r in bm25_top(given["statistics"], queries, 1000).collect()}
+    every = bm25_scores(bm25.TextStatistics(None, index.totals, index.postings(None)), queries)
+    assert top and top == {(r["query_id"], r["unit_key"]): r["score"] for r in every.collect()}
