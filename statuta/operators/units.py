@@ -7,6 +7,7 @@ row, so no group is larger than a page.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,10 @@ from pyspark.sql import functions as F
 
 from statuta import constants as K
 from statuta.functions.text import count_marker_split, let, normalise_space
+from statuta.operators.corpus import first_wins
+from statuta.operators.scale import checked_broadcast, lookup_join
 from statuta.session import cut_lineage
+from statuta.sources.pages import node_table
 
 UNIT_COLUMNS = (
     "page_id", "act", "unit_key", "kind", "number", "paragraph", "title", "chapter", "section",
@@ -80,17 +84,27 @@ def with_context(nodes: DataFrame) -> DataFrame:
     return enclosing(n, "div", r"^art_\d+$", "art", 5)
 
 
+READ_CLASSES = r"oj-ti-section-[12]|oj-ti-grseq\S*|eli-title|oj-sti-art|oj-normal|oj-doc-ti"
+READ_IDS = r"art_\d+|\d{3}\.\d{3}|anx_[IVXLC]+|rct_\d+"
+_CLASSES, _IDS = re.compile(READ_CLASSES), re.compile(f"(?:{READ_IDS})")
+
+
+def may_be_read(tag: str, node_id: str | None, classes: str | None) -> bool:
+    """For the parser: a node that the unit rules may read. It lets through some more than `is_read`, never less."""
+    return tag == "table" or (node_id is not None and _IDS.match(node_id) is not None) or (classes is not None and _CLASSES.search(classes) is not None)
+
+
+def is_read() -> Column:
+    """Nodes whose rows and texts the unit rules read."""
+    return (F.col("tag") == "table") | has_class(READ_CLASSES) | _is_id(f"^(?:{READ_IDS})$")
+
+
 def unit_nodes(nodes: DataFrame) -> DataFrame:
     """Nodes with their context, with the texts that the unit rules read and no others, written once.
 
     A text stands in every node around it; those of chapters, rows and cells are the larger part.
     """
-    read = (
-        (F.col("tag") == "table")
-        | has_class(r"oj-ti-section-[12]|oj-ti-grseq\S*|eli-title|oj-sti-art|oj-normal|oj-doc-ti")
-        | _is_id(r"^(?:art_\d+|\d{3}\.\d{3}|anx_[IVXLC]+|rct_\d+)$")
-    )
-    return cut_lineage(with_context(nodes.withColumn("text", F.when(read, F.col("text"))).drop("path")), "nodes")
+    return cut_lineage(with_context(nodes.withColumn("text", F.when(is_read(), F.col("text"))).drop("path")), "nodes")
 
 
 def table_labels(nodes: DataFrame) -> DataFrame:
@@ -278,10 +292,11 @@ def _ord(kind: int, container: Column, seq: Column) -> Column:
 def article_units(ctx: DataFrame, act: Column) -> DataFrame:
     """Articles, definitions, paragraphs and letters as units."""
     defs = definitions(ctx)
-    bodies = article_bodies(ctx)
+    bodies = ctx.where(F.col("seq") == F.col("art.seq")).select("page_id", F.col("art.seq").alias("art_seq"), "text")
     keys = ["page_id", "art_seq"]
     defining = defs.select(*keys).distinct()
     paras = paragraphs(ctx).join(defining, keys, "left_anti")
+    head = cut_lineage(article_bodies(ctx).drop("text"), "heads")  # every kind of unit reads it
     full = paras.groupBy(*keys).agg(
         F.array_join(
             F.transform(
@@ -291,7 +306,6 @@ def article_units(ctx: DataFrame, act: Column) -> DataFrame:
             "\n\n",
         ).alias("full")
     )
-    head = bodies.drop("text")
     stem = F.concat(act, F.lit("/art-"), F.col("number"))
 
     def unit(df: DataFrame, suffix: Column, paragraph: Column, text: str, seq: Column) -> DataFrame:
@@ -312,7 +326,7 @@ def article_units(ctx: DataFrame, act: Column) -> DataFrame:
     none = F.lit(None)
     lettered = letters(ctx, paras)
     parts = [
-        unit(bodies.join(defining, keys, "left_semi"), F.lit(""), none, "text", F.lit(-1)),
+        unit(bodies.join(defining, keys, "left_semi").join(head, keys), F.lit(""), none, "text", F.lit(-1)),
         unit(
             defs.join(head, keys),
             F.concat(F.lit("/nr-"), "paragraph"),
@@ -525,10 +539,10 @@ def regulation_units(nodes: DataFrame, act: str | Column) -> DataFrame:
     """All units of regulation pages, duplicates included; `ord` is the order of first-wins.
 
     Parsing is the costly step and many rules read its result, so the nodes and their context are
-    written once.
+    written once. Where nodes know what is above them, those that no rule reads fall away before.
     """
     act = F.lit(act) if isinstance(act, str) else act
-    nodes = ctx = unit_nodes(nodes)
+    nodes = ctx = unit_nodes(nodes.where(is_read()) if "up" in nodes.columns else nodes)
     return reduce(
         DataFrame.unionByName,
         [
@@ -537,3 +551,17 @@ def regulation_units(nodes: DataFrame, act: str | Column) -> DataFrame:
             recital_units(nodes, act).select(*UNIT_COLUMNS),
         ],
     )
+
+
+def first_units(pages: DataFrame, act: str | Column) -> DataFrame:
+    """The units of regulation pages (page_id, html), of those with one key the first in the order of pages.
+
+    The first page of every key is found from keys alone, so no text is exchanged for units that do not win; then
+    the units of the pages that won are made with their texts. A page's units depend on that page only.
+    """
+    order = ("page_id", "ord")
+    keys = regulation_units(node_table(pages, wanted=may_be_read), act).select("unit_key", *order)
+    first = cut_lineage(first_wins(keys, "unit_key", *order), "first")
+    won = pages.join(checked_broadcast(first.select("page_id").distinct()), "page_id", "left_semi")
+    units = regulation_units(node_table(won, wanted=may_be_read), act)
+    return first_wins(lookup_join(units, first, ["unit_key", *order]), "unit_key", *order).select(*UNIT_COLUMNS)

@@ -114,7 +114,7 @@ def context(spark, sf):
 
 
 def all_units(spark, sf):
-    return U.regulation_units(nodes(spark, sf), K.ACT_AI)
+    return U.regulation_units(P.node_table(structured_pages(spark, sf), wanted=U.may_be_read), K.ACT_AI)
 
 
 # what the template must give; a text chunk is stripped first, then its blanks are normalised
@@ -431,7 +431,7 @@ def a17(spark, sf):
 @query("w01_units_of_all_pages")
 def w01_units(spark, sf):
     """Every page repeats the same keys: hot keys with one row per page; the first page wins."""
-    return corpus.first_wins(all_units(spark, sf), "unit_key", "page_id", "ord").select("page_id", "unit_key", F.length("text").cast("bigint").alias("chars"))
+    return U.first_units(structured_pages(spark, sf), K.ACT_AI).select("page_id", "unit_key", F.length("text").cast("bigint").alias("chars"))
 
 
 # nation as the official source, customer as the fallback: acts are regions / segments

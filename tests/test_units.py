@@ -79,3 +79,25 @@ def test_labels_and_context_take_no_shuffle_of_page_texts(spark):
     kept = {r["tag"] for r in U.unit_nodes(nodes).where("text IS NOT NULL").collect()}
     assert kept.isdisjoint({"tr", "td", "html", "body"})
     assert [(r["label"], r["cells"]) for r in U.table_labels(nodes).orderBy("table_seq").limit(2).collect()] == [("a", 3), ("b", 3)]
+
+
+def test_the_parser_hands_on_read_nodes_only_and_their_units_are_the_same(spark):
+    pages = spark.createDataFrame([(1, PAGE), (2, PAGE.replace("art_5", "art_6").replace("005.", "006.")), (3, None)], "page_id long, html string")
+    full, read = P.node_table(pages), P.node_table(pages, wanted=U.may_be_read)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(read.where(U.is_read())) == rows(full.where(U.is_read())) and read.count() < full.count() / 2
+    assert read.where("text IS NULL").isEmpty()
+    every = U.regulation_units(full, "KI-VO")
+    assert rows(U.regulation_units(read, "KI-VO")) == rows(every)
+    assert rows(U.first_units(pages, "KI-VO")) == rows(corpus.first_wins(every, "unit_key", "page_id", "ord").select(*U.UNIT_COLUMNS))
+
+
+def test_texts_of_nodes_are_normalised_as_columns_are(spark):
+    from statuta.functions.text import normalise_space
+
+    odd = ["a  b", " \t x", "c‑d\n\n\n\ne", "　f\t\tg ", "h​", "\x85i", "\x1cj", "k\n ​"]
+    pages = spark.createDataFrame([(i, f"<p>{a}<b>{b}</b>{a}</p>") for i, (a, b) in enumerate(zip(odd, odd[::-1]))], "page_id long, html string")
+    raw = {i: " ".join(t.strip() for t in (a, b, a)) for i, (a, b) in enumerate(zip(odd, odd[::-1]))}
+    want = spark.createDataFrame(list(raw.items()), "page_id long, t string").select("page_id", normalise_space(F.col("t")).alias("t"))
+    got = {r["page_id"]: r["text"] for r in P.node_table(pages).where("tag = 'p'").collect()}
+    assert got == {r["page_id"]: r["t"] for r in want.collect()}
